@@ -5,14 +5,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.shipping import ship
+
 from .decontaminate import decontaminate
 from .pieces import encode_and_decode
+from .secrets import KINDS, with_secrets
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_array_dedup
+from .toxicity import fit_toxicity, training_rows, with_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +29,26 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(documents, _table(spark, sf_dir, "labels"))
+    scored = with_toxicity(documents, model)
+    return scored.select("doc_id", (~training_rows()).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def _joined(spans, *kinds: str):
+    """kind:start:end of the spans of these kinds, by start, comma-joined."""
+    kept = F.filter(spans, lambda s: s["kind"].isin(*kinds))
+    return F.array_join(F.transform(kept, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = with_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("secret_spans")
+    counts = [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
+    return out.select("doc_id", *counts, F.sha2(_joined(spans, *KINDS[:3]).cast("binary"), 256).alias("base_sha256"), _joined(spans, *KINDS).alias("spans"))
+
+
 def op8_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode_and_decode(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
@@ -36,7 +60,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op8_sentencepiece_codec, op9_benchmark_decontamination, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op3_toxicity, op5_secret_scan, op8_sentencepiece_codec, op9_benchmark_decontamination, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
