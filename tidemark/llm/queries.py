@@ -45,7 +45,11 @@ def _joined(spans, *kinds: str):
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = with_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.col("secret_spans")
-    counts = [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
+
+    def of(kind: str):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [of(k) for k in KINDS[:3]]
     return out.select("doc_id", *counts, F.sha2(_joined(spans, *KINDS[:3]).cast("binary"), 256).alias("base_sha256"), _joined(spans, *KINDS).alias("spans"))
 
 
