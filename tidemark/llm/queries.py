@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.shipping import ship
 
 from .decontaminate import decontaminate
+from .minhash import near_duplicates
 from .pieces import encode_and_decode
 from .secrets import KINDS, with_secrets
 from .substring_dedup import substring_dedup
@@ -29,6 +30,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_toxicity(documents, _table(spark, sf_dir, "labels"))
@@ -64,7 +70,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op3_toxicity, op5_secret_scan, op8_sentencepiece_codec, op9_benchmark_decontamination, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_minhash_near_dedup, op3_toxicity, op5_secret_scan, op8_sentencepiece_codec, op9_benchmark_decontamination, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
