@@ -10,6 +10,7 @@ from tidemark.shipping import ship
 from .chat import END, TEXT, TURN, canonical_turns, format_chats, read_loss, read_turns
 from .decontaminate import decontaminate
 from .minhash import near_duplicates
+from .packing import pack_tokens
 from .permutation_index import fit_index
 from .pieces import encode_and_decode
 from .secrets import KINDS, with_secrets
@@ -44,6 +45,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~training_rows()).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_tokens(_table(spark, sf_dir, "documents"))
+
+
 def _joined(spans, *kinds: str):
     """kind:start:end of the spans of these kinds, by start, comma-joined."""
     kept = F.filter(spans, lambda s: s["kind"].isin(*kinds))
@@ -90,7 +95,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_minhash_near_dedup, op3_toxicity, op5_secret_scan, op6_chat_formatting, op7_permutation_index, op8_sentencepiece_codec, op9_benchmark_decontamination, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_minhash_near_dedup, op3_toxicity, op4_token_packing, op5_secret_scan, op6_chat_formatting, op7_permutation_index, op8_sentencepiece_codec, op9_benchmark_decontamination, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
