@@ -19,11 +19,10 @@ ignored.
 from __future__ import annotations
 
 import math
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import _text as X
 
@@ -192,74 +191,95 @@ def occurrences(phrases: Phrases, hashes: np.ndarray, at: np.ndarray) -> tuple[n
     return words[index.locate(row)], np.repeat(which, count)
 
 
-def _scan(phrases: Phrases, with_text: bool):
-    def scan(batches):
+_SPAN_LIST = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_ADDED = ("n_words", "n_hit", "hit_spans", "items")
+
+
+def _scan(phrases: Phrases, at_text: int, again: bool):
+    """Adds the hits of a block of phrases; again: to those of blocks before, in the last columns."""
+
+    def run(batches):
         for batch in batches:
-            ids, text = batch.column(0), batch.column(1)
-            for first, data, offsets in X.slices(text, SHARD_BYTES):
-                hashes, starts, ends, at = hashed_words(data, offsets)
+            for first, data, offsets in X.slices(batch.column(at_text), SHARD_BYTES):
+                rows = len(offsets) - 1
+                own = batch.slice(first, rows)
+                hashes, _, _, at = hashed_words(data, offsets)
                 word, phrase = occurrences(phrases, hashes, at)
                 edge = np.zeros(len(hashes) + 1, np.int64)
                 np.add.at(edge, word, 1)
                 np.add.at(edge, word + phrases.lengths[phrase], -1)
-                hit = np.cumsum(edge[:-1]) > 0
+                names: list[set] = [set() for _ in range(rows)]
                 doc = np.searchsorted(at, word, side="right") - 1
-                pairs = np.unique((doc << 32) | phrase)
-                cuts = np.searchsorted(pairs >> 32, np.arange(len(at)))
+                for pair in np.unique((doc << 32) | phrase).tolist():
+                    names[pair >> 32].update(phrases.items[pair & 0xFFFFFFFF])
+                carried = own.columns
+                if again:
+                    for r, (spans, found) in enumerate(zip(carried[-2].to_pylist(), carried[-1].to_pylist())):
+                        names[r].update(found)
+                        for s in spans:
+                            edge[at[r] + s["start"]] += 1
+                            edge[at[r] + s["end"]] -= 1
+                    carried = carried[:-4]
+                hit = np.cumsum(edge[:-1]) > 0
                 total = np.r_[0, np.cumsum(hit)]
-                spans, names, kept = [], [], []
-                for r in range(len(at) - 1):
-                    a, b = int(at[r]), int(at[r + 1])
-                    if cuts[r] == cuts[r + 1]:
-                        spans.append([])
-                        names.append([])
-                        if with_text:
-                            kept.append(data[offsets[r] : offsets[r + 1]].tobytes().decode())
-                        continue
-                    edges = np.flatnonzero(np.diff(np.r_[0, hit[a:b].astype(np.int8), 0]))
-                    spans.append([{"start": int(s), "end": int(e)} for s, e in edges.reshape(-1, 2)])
-                    names.append(sorted(set(chain.from_iterable(phrases.items[p] for p in (pairs[cuts[r] : cuts[r + 1]] & 0xFFFFFFFF).tolist()))))
-                    if with_text:
-                        left, last = [], int(offsets[r])
-                        for s, e in edges.reshape(-1, 2):
-                            left.append(data[last : starts[a + s]].tobytes())
-                            last = int(ends[a + e - 1])
-                        left.append(data[last : offsets[r + 1]].tobytes())
-                        kept.append(b"".join(left).decode())
-                columns = [
-                    ids.slice(first, len(at) - 1), pa.array(np.diff(at), pa.int64()), pa.array(total[at[1:]] - total[at[:-1]], pa.int64()),
-                    pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(names, pa.list_(pa.string())),
-                ] + ([pa.array(kept, pa.string())] if with_text else [])
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "n_words", "n_hit", "hit_spans", "items"] + (["kept"] if with_text else []))
-
-    return scan
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, with_text: bool = False, block_bytes: int = 16 << 20) -> DataFrame:
-    """id_col, n_words, n_hit, hit_spans (of words, end exclusive, merged), items (ids as strings of
-    the items with occurring windows, sorted) and, with_text, kept: the text without the hit spans.
-
-    with_text needs a benchmark of one block.
-    """
+                n_hit = total[at[1:]] - total[at[:-1]]
+                spans = [[] for _ in range(rows)]
+                for r in np.flatnonzero(n_hit).tolist():
+                    edges = np.flatnonzero(np.diff(np.r_[0, hit[at[r] : at[r + 1]].astype(np.int8), 0])).reshape(-1, 2)
+                    spans[r] = [{"start": int(s), "end": int(e)} for s, e in edges]
+                added = [pa.array(np.diff(at), pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, _SPAN_LIST), pa.array([sorted(x) for x in names], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*carried, *added], names=[*batch.schema.names[: len(carried)], *_ADDED])
+
+    return run
+
+
+def _cut(at_text: int):
+    """The text without its hit words; what stands between two of them in one span goes too."""
+
+    def run(batches):
+        for batch in batches:
+            for first, data, offsets in X.slices(batch.column(at_text), SHARD_BYTES):
+                rows = len(offsets) - 1
+                own = batch.slice(first, rows)
+                starts, ends, at = X.words(data, offsets, IN_WORD)
+                kept = []
+                for r, spans in enumerate(own.column("hit_spans").to_pylist()):
+                    left, last = [], int(offsets[r])
+                    for s in spans:
+                        left.append(data[last : starts[at[r] + s["start"]]].tobytes())
+                        last = int(ends[at[r] + s["end"] - 1])
+                    left.append(data[last : offsets[r + 1]].tobytes())
+                    kept.append(b"".join(left).decode())
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(kept, pa.string())], names=[*batch.schema.names, "kept"])
+
+    return run
+
+
+def with_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, with_text: bool = False, block_bytes: int = 16 << 20) -> DataFrame:
+    """The rows of docs with all their columns and n_words, n_hit, hit_spans (of words, end exclusive,
+    merged), items (ids as strings of the items with occurring windows, sorted) and, with_text, kept:
+    the text without the hit spans. Blocks of the benchmark follow each other in one pass."""
+    taken = {*_ADDED, "kept"} & set(docs.columns)
+    if taken:
+        raise ValueError(f"docs has columns {sorted(taken)}; rename them")
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
-    if with_text and blocks > 1:
-        raise ValueError(f"the benchmark has {total} bytes; kept texts need one block: raise block_bytes")
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = "id long, n_words long, n_hit long, hit_spans array<struct<start: long, end: long>>, items array<string>" + (", kept string" if with_text else "")
-    found = []
+    at = docs.columns.index(text_col)
+    fields = [T.StructField(f.name, f.dataType, True) for f in docs.schema]
+    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    fields += [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("hit_spans", T.ArrayType(span)), T.StructField("items", T.ArrayType(T.StringType()))]
+    out = docs
     for block in range(blocks):
         rows = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
         phrases = Phrases([tuple(r) for r in rows.collect()], window)
-        found.append(source.mapInArrow(_scan(phrases, with_text), schema))
-    if blocks == 1:
-        return found[0].withColumnRenamed("id", id_col)
-    # hits of all blocks: spans united by a running maximum of their ends
-    every = found[0]
-    for other in found[1:]:
-        every = every.unionByName(other)
-    merged = every.groupBy("id", "n_words").agg(F.array_sort(F.flatten(F.collect_list("hit_spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    joined = F.aggregate("s", F.array().cast("array<struct<start: bigint, end: bigint>>"), lambda a, x: F.when((F.size(a) > 0) & (F.element_at(a, -1)["end"] >= x["start"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["start"].alias("start"), F.greatest(F.element_at(a, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(a, F.array(x))))
-    merged = merged.withColumn("hit_spans", joined)
-    return merged.select(F.col("id").alias(id_col), "n_words", F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]).alias("n_hit"), "hit_spans", "items")
+        out = out.mapInArrow(_scan(phrases, at, block > 0), T.StructType(fields))
+    if with_text:
+        out = out.mapInArrow(_cut(at), T.StructType([*fields, T.StructField("kept", T.StringType())]))
+    return out
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, **options) -> DataFrame:
+    """id_col and what with_contamination adds."""
+    source = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
+    return with_contamination(source, benchmark, "_text", with_text=with_text, **options).drop("_text")
