@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark import model as M
@@ -71,7 +71,10 @@ class KeyState:
         return M.UNKNOWN
 
 
-_NAMES = [c.split()[0] for c in RESULTS.split(", ")]
+_ARROW = pa.schema([
+    ("kind", pa.string()), ("key", pa.binary()), ("ts", pa.int64()), ("start_ts", pa.int64()), ("live", pa.bool_()), ("value", pa.binary()),
+    ("status", pa.string()), ("primary_key", pa.binary()), ("lock_time", pa.float64()), ("idx", pa.int64()), ("code", pa.int32()),
+])
 
 
 def _left(key, state: KeyState) -> list[dict]:
@@ -80,23 +83,21 @@ def _left(key, state: KeyState) -> list[dict]:
     return rows + [{"kind": "lock", "key": key, "start_ts": s} | lock for s, lock in state.locks.items()]
 
 
-def _fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Commands by key and log order; the state of one key is held at a time."""
     state, key = KeyState(), None
-    whole = lambda x: None if pd.isna(x) else int(x)
-    for frame in frames:
+    for batch in batches:
         rows = []
-        for c in frame.to_dict("records"):
+        for c in batch.to_pylist():
             if c["key"] != key:
                 rows += _left(key, state)
                 state, key = KeyState(), c["key"]
-            c |= {n: whole(c[n]) for n in ("timestamp", "start_ts", "commit_ts")}
             rows.append({"kind": "result", "key": key, "idx": c["idx"], "code": state.apply(c)})
-        yield pd.DataFrame(rows, columns=_NAMES)
-    yield pd.DataFrame(_left(key, state), columns=_NAMES)
+        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+    yield pa.RecordBatch.from_pylist(_left(key, state), schema=_ARROW)
 
 
 def apply_log(log: DataFrame) -> DataFrame:
     """Outcome of a whole log: a row per command (kind result, with idx and code), and the versions,
     write records and locks it leaves (kinds version, write, lock)."""
-    return log.repartition("key").sortWithinPartitions("key", "idx").mapInPandas(_fold, RESULTS)
+    return log.repartition("key").sortWithinPartitions("key", "idx").mapInArrow(_fold, RESULTS)
