@@ -419,12 +419,13 @@ def _cut(rule: Rule):
 def remove_repeats(docs: DataFrame, rule: Rule, resolve, id_col: str, text_col: str, chunks: int | None = None) -> DataFrame:
     """id, units, removed, spans (of symbols, end exclusive) and kept (binary) of each row of docs.
 
-    chunks: shares that documents and triggers are dealt into, by default three per shuffle
-    partition, so that a share stays bounded where the partition count follows the input.
+    chunks: shares that documents are dealt into, by default two per shuffle partition; triggers are
+    dealt into as many buckets as there are shuffle partitions. Both stay bounded where the partition
+    count follows the input, and a chunk sends at most one message of a kind to a bucket.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = chunks or 3 * parts
-    buckets = chunks
+    chunks = chunks or 2 * parts
+    buckets = max(1, chunks // 2)
     dealt = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int")).repartition(parts, "chunk")
     counted = dealt.groupBy("chunk").applyInArrow(_count_triggers(rule, buckets), _MESSAGE)
     repeated = counted.groupBy("bucket").applyInArrow(_repeated_triggers(), _MESSAGE)
