@@ -33,6 +33,7 @@ from . import _text as X
 SPACE_OR_CONTROL = X.byte_class(0x20, (0x09, 0x0D))
 #: A trigger with more occurrences than this is dealt out by window.
 HOT_TRIGGER = 200
+PHRASES_AT_ONCE = 40_000
 
 _COUNTED = np.dtype([("fp", "<u4"), ("n", "u1")])
 _SPAN = np.dtype([("row", "<i4"), ("start", "<i4"), ("end", "<i4")])
@@ -124,6 +125,24 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
+def _squeezed(rows: np.ndarray) -> bytes:
+    """Phrases field by field, texts last, compressed."""
+    plain = b"".join(X.pack(rows[name]) for name in rows.dtype.names)
+    return len(rows).to_bytes(8, "little") + pa.compress(plain, codec="zstd", asbytes=True)
+
+
+def _unsqueezed(blob, dtype: np.dtype) -> np.ndarray:
+    blob = memoryview(blob)
+    rows = np.empty(int.from_bytes(blob[:8], "little"), dtype)
+    plain = np.frombuffer(pa.decompress(pa.py_buffer(blob[8:]), rows.nbytes, codec="zstd"), np.uint8)
+    at = 0
+    for name in dtype.names:
+        size = rows[name].nbytes
+        rows[name] = plain[at : at + size].view(dtype[name].base).reshape(rows[name].shape)
+        at += size
+    return rows
+
+
 def _messages(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     columns = list(zip(*rows)) if rows else [[], [], [], []]
     return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "chunk", "kind", "blob"])
@@ -273,7 +292,7 @@ def _send_phrases(rule: Rule, buckets: int):
             made["n"] = n
             m = made[done]
             spans.append(_merged(m["row"], m["pos"] + m["lo"].astype(np.int32), m["pos"] + m["hi"].astype(np.int32) + length))
-            out += [(b, chunk, _PHRASES, X.pack(x)) for b, x in X.by_key(where[sent], made[sent])]
+            out += [(b, chunk, _PHRASES, _squeezed(x)) for b, x in X.by_key(where[sent], made[sent])]
         if windows:
             made = np.concatenate(windows)
             done, sent, made["n"] = _settle(rule, made["hash"], made["doc"])
@@ -316,7 +335,7 @@ def _answer_phrases(rule: Rule, resolve):
             own = np.flatnonzero(kinds == kind)
             if not len(own):
                 continue
-            parts = [np.frombuffer(blobs[i], dtype) for i in own]
+            parts = [_unsqueezed(blobs[i], dtype) if kind == _PHRASES else np.frombuffer(blobs[i], dtype) for i in own]
             rows, origin = np.concatenate(parts), np.repeat(chunks[own], [len(p) for p in parts])
             which, start, end = settle(rule, rows, resolve)
             if len(which):
@@ -337,8 +356,21 @@ def _answer_phrases(rule: Rule, resolve):
         return hit, rows["pos"][hit], rows["pos"][hit] + length
 
     def _settle_phrases(rule, rows, resolve):
+        """Runs of whole triggers, a bounded number of phrases at a time."""
+        order = np.argsort(rows["fp"], kind="stable")
+        cuts = np.r_[_group_starts(rows["fp"][order]), len(order)]
+        found, at = [], 0
+        while at < len(cuts) - 1:
+            to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + PHRASES_AT_ONCE, side="right")) - 1)
+            own = order[cuts[at] : cuts[to]]
+            which, start, end = _settle_run(rule, rows[own], resolve)
+            found.append((own[which], start, end))
+            at = to
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def _settle_run(rule, rows, resolve):
         """Phrases that are equal as a whole first; only where a trigger stands in different
-        phrases are their windows looked at one by one."""
+        phrases are their windows looked at one by one. rows come by trigger."""
         values = X.BYTE_VALUE[rows["text"]] if not rule.words else rows["text"]
         scale = X.mix(np.arange(1, rule.context + 1, dtype=np.uint64)) | np.uint64(1)
         whole = np.zeros(len(rows), np.uint64)
@@ -364,14 +396,12 @@ def _answer_phrases(rule: Rule, resolve):
             place[some] = np.arange(len(some))
             owners = np.flatnonzero(~full & (place[group] >= 0))
             lows, tot = resolve(rule, one, least[some], total[some])
-            for i in range(0, len(owners), 65536):
-                o = owners[i : i + 65536]
-                p = place[group[o]]
-                hit = _repeats(rule, lows[p], tot[p], rows["doc"][o][:, None], None)
-                w, offset = np.nonzero(hit)
-                which.append(o[w])
-                start.append(rows["pos"][o[w]] + offset)
-                end.append(rows["pos"][o[w]] + offset + length)
+            p = place[group[owners]]
+            hit = _repeats(rule, lows[p], tot[p], rows["doc"][owners][:, None], None)
+            w, offset = np.nonzero(hit)
+            which.append(owners[w])
+            start.append(rows["pos"][owners[w]] + offset)
+            end.append(rows["pos"][owners[w]] + offset + length)
         return np.concatenate(which), np.concatenate(start), np.concatenate(end)
 
     return answer
