@@ -84,7 +84,7 @@ def json_paths(record: Column, ignored: tuple[str, ...]) -> Column:
     """Nested field paths of a JSON object, one level below the top."""
 
     def below(key: Column) -> Column:
-        value = F.get_json_object(record, F.concat(F.lit("$['"), key, F.lit("']")))
+        value = F.call_function("get_json_object", record, F.concat(F.lit("$['"), key, F.lit("']")))
         inner = F.coalesce(F.json_object_keys(value), F.json_object_keys(F.get_json_object(value, "$[0]")))
         return F.coalesce(F.transform(inner, lambda k: F.concat(key, F.lit("."), k)), F.array(key))
 

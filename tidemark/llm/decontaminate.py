@@ -241,7 +241,7 @@ def _cut(at_text: int):
             for first, data, offsets in X.slices(batch.column(at_text), SHARD_BYTES):
                 rows = len(offsets) - 1
                 own = batch.slice(first, rows)
-                starts, ends, at = X.words(data, offsets, IN_WORD)
+                starts, ends, at = X.words(LOWER[data], offsets, IN_WORD)
                 kept = []
                 for r, spans in enumerate(own.column("hit_spans").to_pylist()):
                     left, last = [], int(offsets[r])

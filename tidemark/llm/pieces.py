@@ -27,6 +27,7 @@ from . import _text as X
 MARK = "▁"
 MODEL_BYTES_MOST = 64 << 20
 _CACHED_BYTES = 48
+_MARK_BYTES = MARK.encode()
 
 
 def default_model_path() -> str:
@@ -197,12 +198,17 @@ class Codec:
         begins[1:] &= ~space[:-1]
         if not self.can_cut:
             begins[:] = False
+        raw = spaced.tobytes()
+        at = raw.find(_MARK_BYTES)
+        while at >= 0:  # a mark in the text itself joins the spaces after it
+            begins[at + 3 : at + 4] = False
+            at = raw.find(_MARK_BYTES, at + 3)
         begins[first] = True
         starts = np.flatnonzero(begins)
         ends = np.r_[starts[1:], len(spaced)] if len(starts) else starts
         hashes = X.span(X.prefix(X.BYTE_VALUE[spaced]), starts, ends)
-        distinct, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        places = self._ids_of(distinct, spaced.tobytes(), starts[at], ends[at])[inverse]
+        distinct, one, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        places = self._ids_of(distinct, raw, starts[one], ends[one])[inverse]
         count, place = places & 0xFFFFFF, places >> 24
         row = np.searchsorted(np.append(first, len(spaced)), starts, side="right") - 1
         row = np.flatnonzero(filled)[row] if len(row) else row
