@@ -8,13 +8,14 @@ the text's region is the coordinate's value. Two texts agree in a coordinate wit
 their weighted Jaccard similarity. Bands of the signature are joined, and every candidate pair is
 verified on the exact shingle sets, so that chance agreements link nothing.
 
-No group is expanded into pairs. Texts with equal shingle sets are one from the start (an aggregate
-with partial sums). In a band's group everybody is compared with the group's smallest text; the
-verified links give components (alternating large-star and small-star steps over tables in the shared
-folder). Only groups that still hold several components are compared further: each member outside
-the group's largest component with the members of other components, so that a link that goes past
-the smallest text is not lost. Bands are chosen for a miss of under one in a million at the
-threshold. Candidates are neither capped nor sampled.
+No large group is expanded into pairs. Texts with equal shingle sets are one from the start (an
+aggregate with partial sums). In a band's group everybody is compared with the group's most central
+text; the verified links give components (alternating large-star and small-star steps over tables in
+the shared folder). Only groups that still hold several components are compared further, so that a
+link that goes past the central text is not lost: small ones by pairs, large ones in blocks whose
+exact comparison happens inside a task and gives only the links that join components. Bands are
+chosen for a miss of under one in a million at the threshold. Candidates are neither capped nor
+sampled.
 
 Defined results: words are runs of letters, digits and non-ASCII characters, ASCII lower-cased; a text
 with fewer words than a shingle has is one shingle; a text without words (or null) is its own class;
@@ -33,6 +34,9 @@ from .toxicity import IN_WORD, _LOWER
 
 #: Tables of at most so many ids are broadcast, larger ones shuffled.
 BROADCAST_IDS = 1_000_000
+#: Groups of up to so many texts are compared by pairs, larger ones in blocks.
+SMALL_GROUP = 12
+BLOCK = 256
 
 
 class DartMinHash:
@@ -186,6 +190,65 @@ def _links(signed: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(_verify(threshold), "a long, b long")
 
 
+def _pairs_of_small_groups(open_: DataFrame) -> DataFrame:
+    """Each member outside its group's largest component with the members of other components, but
+    for the hub, which has met everybody."""
+    small = open_.where("root <> largest").select("band", "key", F.col("rep").alias("a"), F.col("root").alias("ra"))
+    other = open_.select("band", "key", "hub", F.col("rep").alias("b"), F.col("root").alias("rb"), "largest")
+    pairs = small.join(other, ["band", "key"]).where("ra <> rb and (rb = largest or a < b) and a <> hub and b <> hub")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _block_links(threshold: float):
+    def run(key, table):
+        table = table.sort_by([("side", "ascending"), ("rep", "ascending")])
+        ids, roots = (table.column(c).to_numpy() for c in ("rep", "root"))
+        few = int((table.column("side").to_numpy() == 0).sum())
+        sets = [np.frombuffer(b.as_buffer(), "<u4") for b in table.column("shingles")]
+        sizes = np.array([len(x) for x in sets])
+        names, place = np.unique(np.concatenate(sets), return_inverse=True)
+        member = np.repeat(np.arange(len(sets)), sizes)
+        common = np.zeros((few, len(sets) - few), np.float32)
+        for at in range(0, len(names), 4096):  # exact counts below 2**24
+            part = (place >= at) & (place < at + 4096)
+            has = np.zeros((len(sets), min(4096, len(names) - at)), np.float32)
+            has[member[part], place[part] - at] = 1
+            common += has[:few] @ has[few:].T
+        near = common >= threshold * (sizes[:few, None] + sizes[None, few:] - common) - 1e-6
+        near &= roots[:few, None] != roots[None, few:]
+        parent: dict[int, int] = {}
+
+        def find(x):
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+
+        out = []
+        for x, y in zip(*np.nonzero(near)):  # links that join components, no others
+            a, b = find(int(roots[x])), find(int(roots[few + y]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((int(ids[x]), int(ids[few + y])))
+        return pa.table([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _links_in_blocks(signed: DataFrame, large: DataFrame, threshold: float) -> DataFrame:
+    """Links between the components of large groups: the members outside the largest component, and
+    all members, are cut into blocks of bounded size, each block of the first meets each of the
+    second in one task, and what comes out are the links that join components."""
+    large = large.where("rep <> hub")
+    sets = signed.select(F.col("id").alias("rep"), "shingles").join(large.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"])
+    few_blocks, all_blocks = (F.greatest(F.ceil(c / BLOCK), F.lit(1)).cast("int") for c in (F.col("size") - F.col("most"), F.col("size")))
+    dealt = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    few = large.where("root <> largest").select("band", "key", dealt(few_blocks).alias("i"), every(all_blocks).alias("j"), F.lit(0).alias("side"), "rep", "root")
+    rest = large.select("band", "key", every(few_blocks).alias("i"), dealt(all_blocks).alias("j"), F.lit(1).alias("side"), "rep", "root")
+    rows = few.union(rest).join(scratch(sets), "rep").select("band", "key", "i", "j", "side", "rep", "root", "shingles")
+    return rows.groupBy("band", "key", "i", "j").applyInArrow(_block_links(threshold), "a long, b long").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root: the smallest node of each node's component, for the nodes that have links."""
     edges = scratch(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
@@ -211,19 +274,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = signed.where("n > 0").groupBy("name1", "name2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
     sets = scratch(sets)
     entries = sets.select("rep", F.posexplode("bands").alias("band", "key"))
-    hubs = entries.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    entries = scratch(entries.join(hubs, ["band", "key"]).select("band", "key", "hub", "rep"))
-    linked = scratch(_links(signed, entries.where("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), threshold))
+    groups = entries.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
+    entries = scratch(entries.join(groups, ["band", "key"]).select("band", "key", "size", "rep"))
+    # the hub of a group is its most central text: the one that meets most others over all bands
+    central = entries.groupBy("rep").agg(F.sum("size").alias("meets"))
+    entries = entries.join(central, "rep")
+    hubs = entries.groupBy("band", "key").agg(F.max_by("rep", F.struct("meets", -F.col("rep"))).alias("hub"))
+    entries = scratch(entries.join(hubs, ["band", "key"]).select("band", "key", "size", "hub", "rep"))
+    linked = scratch(_links(signed, entries.where("hub <> rep").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct(), threshold))
     first = scratch(components(linked))
     # groups that still hold several components
-    labelled = entries.join(first, entries.rep == first.node, "left").select("band", "key", "hub", "rep", F.coalesce("root", "rep").alias("root"))
-    parts = labelled.groupBy("band", "key", "root").agg(F.count("*").alias("size"))
-    mixed = parts.groupBy("band", "key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("size", "root")).alias("largest")).where("roots > 1")
-    open_ = scratch(labelled.join(mixed.select("band", "key", "largest"), ["band", "key"]))
-    small = open_.where("root <> largest").select("band", "key", F.col("rep").alias("a"), F.col("root").alias("ra"))
-    other = open_.select("band", "key", "hub", F.col("rep").alias("b"), F.col("root").alias("rb"), "largest")
-    further = small.join(other, ["band", "key"]).where("ra <> rb and (rb = largest or a < b) and a <> hub and b <> hub").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = _links(signed, further, threshold)
+    labelled = entries.join(first, entries.rep == first.node, "left").select("band", "key", "size", "hub", "rep", F.coalesce("root", "rep").alias("root"))
+    parts = labelled.groupBy("band", "key", "root").agg(F.count("*").alias("own"))
+    mixed = parts.groupBy("band", "key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("own", "root")).alias("largest"), F.max("own").alias("most")).where("roots > 1")
+    open_ = scratch(labelled.join(mixed.select("band", "key", "largest", "most"), ["band", "key"]))
+    more = _links(signed, _pairs_of_small_groups(open_.where(F.col("size") <= SMALL_GROUP)), threshold)
+    large = open_.where(F.col("size") > SMALL_GROUP)
+    if large.head(1):
+        more = more.union(_links_in_blocks(signed, large, threshold))
     roots = components(linked.union(more))
     members = signed.where("n > 0").select("id", "name1", "name2").join(sets.select("name1", "name2", "rep"), ["name1", "name2"])
     classed = members.join(roots, members.rep == roots.node, "left").select("id", F.coalesce("root", "rep").alias("class_id"))
