@@ -135,11 +135,12 @@ def oracle_sql() -> dict[str, str]:
         "op1_suffix_array_dedup": """
             WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
             b AS (SELECT doc_id, h, len(h) // 2 AS n FROM d),
-            places AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS win FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM b WHERE n >= 50)),
+            cut AS (SELECT doc_id, n, base, substr(h, 2 * base + 1, 610) AS part FROM (SELECT doc_id, h, n, unnest(range(0, n - 49, 256)) AS base FROM b WHERE n >= 50)),
+            places AS (SELECT doc_id, base + j AS i, substr(part, 2 * j + 1, 100) AS win FROM (SELECT doc_id, base, part, unnest(range(0, least(256, n - 49 - base))) AS j FROM cut)),
             firsts AS (SELECT win, min(doc_id) AS first FROM places GROUP BY win HAVING count(*) > 1),
             gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM places JOIN firsts USING (win) WHERE first < doc_id),
             spans AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (before IS NULL OR before < k - 1) AS n_spans FROM (SELECT doc_id, k, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM gone) GROUP BY doc_id),
-            left_over AS (SELECT doc_id, string_agg(byte, '' ORDER BY k) AS kept FROM (SELECT doc_id, k, substr(h, 2 * k + 1, 2) AS byte FROM (SELECT doc_id, h, unnest(range(0, n)) AS k FROM b SEMI JOIN spans USING (doc_id))) t ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+            left_over AS (SELECT doc_id, string_agg(byte, '' ORDER BY k) AS kept FROM (SELECT doc_id, unnest(range(0, n)) AS k, unnest(regexp_extract_all(h, '..')) AS byte FROM b SEMI JOIN spans USING (doc_id)) t ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
             SELECT b.doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(CASE WHEN n_removed IS NULL THEN h ELSE coalesce(kept, '') END)) AS kept_sha256
             FROM b LEFT JOIN spans USING (doc_id) LEFT JOIN left_over USING (doc_id)""",
     }
