@@ -1,6 +1,6 @@
 """Token-ID output: texts packed into rows of an id matrix by best-fit decreasing.
 
-Texts are encoded (`pieces`), documents longer than a row are split into row-sized pieces without
+Texts are encoded (segments of `pieces`, by the sentencepiece library), documents longer than a row are split into row-sized pieces without
 losing an id, and the pieces of a group of documents are placed longest first, each in the row with
 the least room that still holds it. A segment tree over the possible amounts of room finds that row
 in logarithmic time. A group is a run of whole documents with about `group_tokens` ids, so a task's
@@ -132,7 +132,7 @@ def pack_tokens(docs: DataFrame, model_path: str | None = None, id_col: str = "d
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        codec = codec_of(shared.value, cache_segments)
+        codec = codec_of(shared.value, cache_segments, True)
         dtype = "<u2" if len(codec.surface_size) <= 1 << 16 else "<u4"
         held, tokens = [], 0
 

@@ -37,14 +37,16 @@ def default_model_path() -> str:
 
 
 class Codec:
-    """One model's vocabulary with the encoder, the decoder and their memory."""
+    """One model's vocabulary with the encoder, the decoder and their memory. by_library: new segments
+    are encoded by the sentencepiece library, for callers that only need ids."""
 
-    def __init__(self, model: bytes, cache_segments: int = 600_000):
+    def __init__(self, model: bytes, cache_segments: int = 600_000, by_library: bool = False):
         import ahocorasick
         import sentencepiece
 
         library = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = library.get_piece_size()
+        self.library = library if by_library else None
         self.bos, self.eos, self.unknown = library.bos_id(), library.eos_id(), library.unk_id()
         pieces = [library.id_to_piece(i) for i in range(n)]
         self.byte_ids = {}
@@ -169,10 +171,11 @@ class Codec:
             self._forget()
         known = self.known
         found = [known.get(h) for h in hashes.tolist()]
+        ready = self._by_library(found, data, starts, ends) if self.library else {}
         for i, place in enumerate(found):
             if place is None:
                 a, b = int(starts[i]), int(ends[i])
-                ids = self.segment(data[a:b].decode().replace(" ", MARK))
+                ids = ready[i] if i in ready else self.segment(data[a:b].decode().replace(" ", MARK))
                 at = self.used
                 while at + len(ids) > len(self.pool):
                     self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
@@ -183,6 +186,14 @@ class Codec:
                     known[int(hashes[i])] = found[i]
         return np.array(found, np.int64)
 
+    def _by_library(self, found: list, data: bytes, starts: np.ndarray, ends: np.ndarray) -> dict[int, list[int]]:
+        """Ids of the unknown segments, encoded together; the library puts the first space back. Those
+        of spaces alone are left out."""
+        new = [i for i, place in enumerate(found) if place is None]
+        texts = [data[int(starts[i]) : int(ends[i])].decode()[1:] for i in new]
+        new, texts = zip(*kept) if (kept := [(i, t) for i, t in zip(new, texts) if t.strip(" ")]) else ((), ())
+        return dict(zip(new, self.library.encode(list(texts), num_threads=1))) if texts else {}
+
     def encode_slice(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a slice one after the other, with begin and end ids, and each end."""
         rows = len(offsets) - 1
@@ -245,12 +256,12 @@ class Codec:
 _codecs: dict[int, Codec] = {}
 
 
-def codec_of(model: bytes, cache_segments: int) -> Codec:
+def codec_of(model: bytes, cache_segments: int, by_library: bool = False) -> Codec:
     """The worker's codec; one model is kept."""
-    key = hash((model, cache_segments))
+    key = hash((model, cache_segments, by_library))
     if key not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(model, cache_segments)
+        _codecs[key] = Codec(model, cache_segments, by_library)
     return _codecs[key]
 
 
