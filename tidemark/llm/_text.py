@@ -8,6 +8,8 @@ which makes the hash of any span of bytes or words a constant-time lookup.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,6 +20,12 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 BYTE_VALUE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 NULL_ID = np.iinfo(np.int64).max
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim(0)
+except (OSError, AttributeError):  # another C library
+    _libc = None
+
 _powers = np.ones(1, np.uint64)
 _inverses = np.ones(1, np.uint64)
 
@@ -97,6 +105,16 @@ def slices(column, most: int = SLICE_BYTES):
         to = min(rows, max(to, at + 1))
         yield at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
+    del data
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a worker lives on after its task, beside those of the next
+    stage."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
 
 
 def ids_of(column) -> np.ndarray:

@@ -11,7 +11,7 @@ The benchmark is cut into blocks of at most `block_bytes` of text by a hash of i
 size has been measured; one block at a time goes to the executors, so what is broadcast is bounded
 whatever the benchmark's size. Documents are never shuffled for a single block.
 
-Defined results: null or word-free texts and items have no words and no hits; items without an id
+Defined results: null or word-free texts and items have no words and no hits (and a null text stays null); items without an id
 are left out; an item id that stands on several rows is one item; columns besides ids and texts are
 ignored.
 """
@@ -195,15 +195,17 @@ _SPAN_LIST = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _ADDED = ("n_words", "n_hit", "hit_spans", "items")
 
 
-def _scan(phrases: Phrases, at_text: int, again: bool):
-    """Adds the hits of a block of phrases; again: to those of blocks before, in the last columns."""
+def _scan(phrases: Phrases, at_text: int, again: bool, cut: bool):
+    """Adds the hits of a block of phrases; again: to those of blocks before, in the last columns. cut:
+    adds the text without its hit words too; what stands between two of them in one span goes with
+    them."""
 
     def run(batches):
         for batch in batches:
             for first, data, offsets in X.slices(batch.column(at_text), SHARD_BYTES):
                 rows = len(offsets) - 1
                 own = batch.slice(first, rows)
-                hashes, _, _, at = hashed_words(data, offsets)
+                hashes, starts, ends, at = hashed_words(data, offsets)
                 word, phrase = occurrences(phrases, hashes, at)
                 edge = np.zeros(len(hashes) + 1, np.int64)
                 np.add.at(edge, word, 1)
@@ -223,36 +225,26 @@ def _scan(phrases: Phrases, at_text: int, again: bool):
                 hit = np.cumsum(edge[:-1]) > 0
                 total = np.r_[0, np.cumsum(hit)]
                 n_hit = total[at[1:]] - total[at[:-1]]
-                spans = [[] for _ in range(rows)]
+                spans, kept = [[] for _ in range(rows)], carried[at_text].to_pylist() if cut else []
                 for r in np.flatnonzero(n_hit).tolist():
                     edges = np.flatnonzero(np.diff(np.r_[0, hit[at[r] : at[r + 1]].astype(np.int8), 0])).reshape(-1, 2)
                     spans[r] = [{"start": int(s), "end": int(e)} for s, e in edges]
-                added = [pa.array(np.diff(at), pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, _SPAN_LIST), pa.array([sorted(x) for x in names], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*carried, *added], names=[*batch.schema.names[: len(carried)], *_ADDED])
+                    if cut:
+                        kept[r] = _without(data, int(offsets[r]), int(offsets[r + 1]), starts[at[r] + edges[:, 0]], ends[at[r] + edges[:, 1] - 1])
+                added = [pa.array(np.diff(at), pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, _SPAN_LIST), pa.array([sorted(x) for x in names], pa.list_(pa.string()))] + ([pa.array(kept, pa.string())] if cut else [])
+                yield pa.RecordBatch.from_arrays([*carried, *added], names=[*batch.schema.names[: len(carried)], *_ADDED, "kept"][: len(carried) + len(added)])
 
     return run
 
 
-def _cut(at_text: int):
-    """The text without its hit words; what stands between two of them in one span goes too."""
-
-    def run(batches):
-        for batch in batches:
-            for first, data, offsets in X.slices(batch.column(at_text), SHARD_BYTES):
-                rows = len(offsets) - 1
-                own = batch.slice(first, rows)
-                starts, ends, at = X.words(LOWER[data], offsets, IN_WORD)
-                kept = []
-                for r, spans in enumerate(own.column("hit_spans").to_pylist()):
-                    left, last = [], int(offsets[r])
-                    for s in spans:
-                        left.append(data[last : starts[at[r] + s["start"]]].tobytes())
-                        last = int(ends[at[r] + s["end"] - 1])
-                    left.append(data[last : offsets[r + 1]].tobytes())
-                    kept.append(b"".join(left).decode())
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(kept, pa.string())], names=[*batch.schema.names, "kept"])
-
-    return run
+def _without(data: np.ndarray, start: int, end: int, firsts: np.ndarray, lasts: np.ndarray) -> str:
+    """The text data[start:end] without the bytes from each first up to its last."""
+    left = []
+    for first, last in zip(firsts.tolist(), lasts.tolist()):
+        left.append(data[start:first].tobytes())
+        start = last
+    left.append(data[start:end].tobytes())
+    return b"".join(left).decode()
 
 
 def with_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, with_text: bool = False, block_bytes: int = 16 << 20) -> DataFrame:
@@ -273,9 +265,8 @@ def with_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     for block in range(blocks):
         rows = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
         phrases = Phrases([tuple(r) for r in rows.collect()], window)
-        out = out.mapInArrow(_scan(phrases, at, block > 0), T.StructType(fields))
-    if with_text:
-        out = out.mapInArrow(_cut(at), T.StructType([*fields, T.StructField("kept", T.StringType())]))
+        cut = with_text and block == blocks - 1
+        out = out.mapInArrow(_scan(phrases, at, block > 0, cut), T.StructType(fields + [T.StructField("kept", T.StringType())] * cut))
     return out
 
 
