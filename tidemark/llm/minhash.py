@@ -239,7 +239,10 @@ def _links_in_blocks(signed: DataFrame, large: DataFrame, threshold: float) -> D
     all members, are cut into blocks of bounded size, each block of the first meets each of the
     second in one task, and what comes out are the links that join components."""
     large = large.where("rep <> hub")
-    sets = signed.select(F.col("id").alias("rep"), "shingles").join(large.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"])
+    ids = scratch(large.select("rep").distinct())
+    if ids.count() <= BROADCAST_IDS:  # else the sets of all texts are shuffled
+        ids = F.broadcast(ids)
+    sets = signed.select(F.col("id").alias("rep"), "shingles").join(ids, "rep", "left_semi").dropDuplicates(["rep"])
     few_blocks, all_blocks = (F.greatest(F.ceil(c / BLOCK), F.lit(1)).cast("int") for c in (F.col("size") - F.col("most"), F.col("size")))
     dealt = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
