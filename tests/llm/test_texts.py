@@ -181,6 +181,17 @@ def test_held_out_rows_are_told_apart(spark, labelled):
     assert len(empty) == 3 and len({r.score for r in empty}) == 1 and 0 <= empty[0].score < 0.3
 
 
+def test_terms_misspelled_within_a_stem_are_found_in_held_out_texts(spark, labelled):
+    docs, labels = labelled
+    model = fit_toxicity(docs, labels)
+    assert {("idiot", False), ("pathetic", False), ("worthless", False)} <= set(model.entries)
+    texts = ["bal idot fen gor ixiot dul", "bal pthetic fen gor pxthetic dul paxthetic", "bal wothless fen gor wxrthless dul wroorthless", "bal fen gor dul rin"]
+    scores = [r.score for r in with_toxicity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()]
+    assert min(scores[:3]) >= 0.3 > scores[3]
+    both = Lexicon([("idiot", True), ("idiot", False), ("idio", True)])
+    assert both.find("idiots")[1] == 0 and both.find("idot") == (1, 1) and both.find("xdiot") is None
+
+
 def test_no_labels_and_no_rows(spark, labelled):
     docs, labels = labelled
     model = fit_toxicity(docs, labels.limit(0))

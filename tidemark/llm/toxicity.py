@@ -2,15 +2,17 @@
 
 Fitting, on a bounded sample of labelled rows, gathers how many toxic and clean texts hold each word
 and each word stem (a prefix that stands for all its continuations); terms that mark toxic texts
-become the lexicon. The trie of the lexicon and the automaton of all strings within an entry's edit
+become the lexicon, a word that may be misspelled also beside a stem that covers it, for a stem is found
+exactly alone. A word within reach that clean training texts hold no less than toxic ones is a word of
+its own and no misspelling. The trie of the lexicon and the automaton of all strings within an entry's edit
 distance run as one lazily determinised machine, so a word is read once whatever the lexicon's size,
 and misspelled entries are found with the exact ones. Each hit is scored in a window of words around
 it: inside quotation marks or beside words of reporting it counts as quotation, beside words of
 address it counts as abuse. A logistic regression over the sums of these scores gives the text's
 score. Labels are read by the fit alone; a score sees nothing but the text.
 
-What goes to the driver is the lexicon (at most `max_terms`) and the features of the sampled rows (at
-most `sample_rows`); what goes to executors is the model. Scoring is one pass without a shuffle.
+What goes to the driver is the lexicon (at most `max_terms`), the sample's own words near it and the
+features of the sampled rows (at most `sample_rows`); what goes to executors is the model. Scoring is one pass without a shuffle.
 
 Defined results: null, empty and blank texts have no hits and get the score of the intercept; a label
 row without an id or a label is left out, of several for an id the highest label counts; without any
@@ -37,7 +39,10 @@ WINDOW = 8
 REPORTING = {"said", "says", "say", "wrote", "called", "calls", "quote", "quoted", "quotes", "reported", "stated", "according", "word", "term", "dit", "dijo", "sagte", "schrieb"}
 ADDRESS = {"you", "your", "you're", "youre", "u", "tu", "vous", "du", "ihr", "dich", "usted", "eres"}
 QUOTES = '"“”„«»'
-FEATURES = 8
+FEATURES = 9
+#: A misspelled hit counts fully only of entries in many more toxic texts than this, and than clean
+#: texts with words near them by chance.
+CHANCE = 10
 _CACHED = 400_000
 
 
@@ -51,7 +56,7 @@ class Lexicon:
     def __init__(self, entries: list[tuple[str, bool]]):
         self.entries = entries
         self.children: list[dict[str, int]] = [{}]
-        self.ends: list[tuple[int, int, bool] | None] = [None]  # entry, edits allowed, is it a stem
+        self.ends: list[list[tuple[int, int, bool]]] = [[]]  # entry, edits allowed, is it a stem
         self.reach = [0]
         for number, (text, stem) in enumerate(entries):
             node, edits = 0, edits_allowed(text, stem)
@@ -59,12 +64,11 @@ class Lexicon:
                 if c not in self.children[node]:
                     self.children[node][c] = len(self.children)
                     self.children.append({})
-                    self.ends.append(None)
+                    self.ends.append([])
                     self.reach.append(0)
                 node = self.children[node][c]
                 self.reach[node] = max(self.reach[node], edits)
-            if self.ends[node] is None or stem:
-                self.ends[node] = (number, edits, stem)
+            self.ends[node].append((number, edits, stem))
         self._reset()
 
     def _reset(self) -> None:
@@ -82,9 +86,9 @@ class Lexicon:
             self.states.append(key)
             best = stem_hit
             for node, edits in self._with_missing(state):
-                end = self.ends[node]
-                if end is not None and edits <= end[1] and (best is None or (edits, end[0]) < (best[1], best[0])):
-                    best = (end[0], edits)
+                for entry, allowed, _ in self.ends[node]:
+                    if edits <= allowed and (best is None or (edits, self.entries[entry][1], entry) < (best[1], self.entries[best[0]][1], best[0])):
+                        best = (entry, edits)
             self.accepts.append(best)
         return self.names[key]
 
@@ -119,9 +123,9 @@ class Lexicon:
                     if other != c:
                         put(to, edits + 1)
         for node, edits in best.items():
-            end = self.ends[node]
-            if end is not None and end[2] and edits <= end[1] and (stem_hit is None or edits < stem_hit[1]):
-                stem_hit = (end[0], edits)
+            for entry, allowed, stem in self.ends[node]:
+                if stem and edits <= allowed and (stem_hit is None or edits < stem_hit[1]):
+                    stem_hit = (entry, edits)
         return self._name(tuple(sorted(best.items())), stem_hit)
 
     def find(self, word: str) -> tuple[int, int] | None:
@@ -145,6 +149,8 @@ class ToxicityModel:
     entries: tuple[tuple[str, bool], ...]
     strengths: tuple[float, ...]
     weights: tuple[float, ...]  # intercept first
+    own_words: frozenset[str] = frozenset()  # within reach of an entry, but no misspellings
+    credits: tuple[float, ...] = ()  # by entry, what a misspelled hit counts of an exact one
 
 
 class Scorer:
@@ -161,13 +167,17 @@ class Scorer:
         for i, code in enumerate(found):
             if code < 0:
                 a, b = int(starts[i]), int(ends[i])
-                hit = self.lexicon.find(data[a:b].decode(errors="replace").lower()) if b - a <= 64 else None
+                word = data[a:b].decode(errors="replace").lower()
+                hit = self.lexicon.find(word) if b - a <= 64 else None
+                if hit is not None and hit[1] and word in self.model.own_words:
+                    hit = None
                 found[i] = known[int(hashes[i])] = 0 if hit is None else 1 + 4 * hit[0] + hit[1]
         return np.array(found, np.int64)
 
-    def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def features(self, data: np.ndarray, offsets: np.ndarray, misspelled: bool = False) -> np.ndarray:
         """One row per text: exact and misspelled hits, each abusive, neutral and quoted (logarithms of
-        summed strengths), the largest number of hits in one window, and hits per word."""
+        summed strengths), the largest number of hits in one window, hits per word, and misspelled ones;
+        with misspelled, as if every hit were misspelled (and those that can't be, none)."""
         out = np.zeros((len(offsets) - 1, FEATURES))
         low = _LOWER[data]
         starts, ends, at = X.words(low, offsets, IN_WORD)
@@ -175,13 +185,21 @@ class Scorer:
             return out
         hashes = X.span(X.prefix(X.BYTE_VALUE[low]), starts, ends)
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        codes = self._codes(distinct, low.tobytes(), starts[first], ends[first])[inverse]
+        codes = self._codes(distinct, low.tobytes(), starts[first], ends[first])
+        if misspelled:
+            budgets = np.array([edits_allowed(*e) for e in self.model.entries] + [0])
+            codes = np.where(codes % 4 == 1, np.where(budgets[(codes - 1) // 4] > 0, codes + 1, 0), codes)
+        codes = codes[inverse]
         hits = np.flatnonzero(codes)
         if not len(hits):
             return out
         raw = data.tobytes()
         rows = np.searchsorted(at, hits, side="right") - 1
-        for h, r, code in zip(hits.tolist(), rows.tolist(), codes[hits].tolist()):
+        counts = np.ones(len(hits))
+        edited = (codes[hits] - 1) % 4 > 0
+        if self.model.credits:
+            counts[edited] = np.array(self.model.credits)[(codes[hits[edited]] - 1) // 4]
+        for h, r, code, count in zip(hits.tolist(), rows.tolist(), codes[hits].tolist(), counts.tolist()):
             a, b = max(h - WINDOW, int(at[r])), min(h + WINDOW + 1, int(at[r + 1]))
             before = raw[starts[a] : starts[h]].decode(errors="replace")
             after = raw[ends[h] : ends[b - 1]].decode(errors="replace")
@@ -190,11 +208,14 @@ class Scorer:
             quoted = (marks % 2 == 1 and any(q in after for q in QUOTES)) or bool(near & REPORTING)
             kind = 2 if quoted else 0 if near & ADDRESS else 1
             entry, edits = divmod(code - 1, 4)
-            out[r, kind + 3 * (edits > 0)] += self.model.strengths[entry] if self.model.strengths else 1.0
+            out[r, kind + 3 * (edits > 0)] += count * (self.model.strengths[entry] if self.model.strengths else 1.0)
         ends_of = np.searchsorted(hits, hits + WINDOW, side="right")
         ends_of = np.minimum(ends_of, np.searchsorted(rows, rows, side="right"))
-        np.maximum.at(out[:, 6], rows, np.log1p(ends_of - np.arange(len(hits))))
-        out[:, 7] = np.sqrt(np.bincount(rows, minlength=len(out)) / np.maximum(np.diff(at), 1))
+        sums = np.r_[0, np.cumsum(counts)]
+        np.maximum.at(out[:, 6], rows, np.log1p(sums[ends_of] - sums[:-1]))
+        n_words = np.maximum(np.diff(at), 1)
+        out[:, 7] = np.sqrt(np.bincount(rows, weights=counts, minlength=len(out)) / n_words)
+        out[:, 8] = np.sqrt(np.bincount(rows, weights=counts * edited, minlength=len(out)) / n_words)
         out[:, :6] = np.log1p(out[:, :6])
         return out
 
@@ -223,16 +244,30 @@ def _count_terms(batches):
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([toxic[t] for t in part], pa.int64()), pa.array([clean[t] for t in part], pa.int64())], names=["term", "toxic", "clean"])
 
 
-def _regress(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
-    """Ridge logistic regression by Newton steps."""
+def _misspelled(batches, lexicon: Lexicon):
+    for batch in batches:
+        found = [lexicon.find(t) or (0, 0) for t in batch.column(0).to_pylist()]
+        named = pa.RecordBatch.from_arrays([*batch.columns, pa.array([e for e, _ in found], pa.int64())], names=["term", "toxic", "clean", "entry"])
+        yield named.filter(pa.array([edits > 0 for _, edits in found], pa.bool_()))
+
+
+def _regress(x: np.ndarray, y: np.ndarray, each: np.ndarray, ridge: float = 0.05) -> np.ndarray:
+    """Ridge logistic regression by Newton steps; each: the weights of the rows."""
     x = np.c_[np.ones(len(x)), x]
     w = np.zeros(x.shape[1])
-    w[0] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+    w[0] = np.log((each @ y + 0.5) / (each @ (1 - y) + 0.5))
     penalty = np.diag([1e-6] + [ridge] * (x.shape[1] - 1))
-    for _ in range(30):
+
+    def loss(w):
+        z = x @ w
+        return each @ (np.logaddexp(0, z) - y * z) + w @ penalty @ w / 2
+
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty + 1e-6 * np.eye(len(w)), x.T @ (y - p) - penalty @ w)
-        w += np.clip(step, -5, 5)
+        step = np.linalg.solve((x * (each * p * (1 - p))[:, None]).T @ x + penalty + 1e-6 * np.eye(len(w)), x.T @ (each * (y - p)) - penalty @ w)
+        while loss(w + step) > loss(w) and np.abs(step).max() >= 1e-6:
+            step /= 2
+        w += step
         if np.abs(step).max() < 1e-6:
             break
     return w
@@ -258,28 +293,45 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     entries, strengths, stems = [], [], set()
     for row in sorted(chosen, key=lambda r: (not r.term.endswith("*"), len(r.term), r.term)):
         text, stem = row.term.removesuffix("*"), row.term.endswith("*")
-        if any(text[:k] in stems for k in range(min(STEM_LENGTHS), len(text) + 1)):
+        covered = any(text[:k] in stems for k in range(min(STEM_LENGTHS), len(text) + 1))
+        if covered and not edits_allowed(text, stem):  # a stem finds it exactly, which is all it may be found by
             continue
         entries.append((row.toxic, text, stem, float(row.lift)))
         if stem:
             stems.add(text)
     entries = sorted(entries, reverse=True)[:max_terms]
     strengths = tuple(s for *_, s in entries)
-    model = ToxicityModel(tuple((t, s) for _, t, s, _ in entries), strengths, (0.0,) * (FEATURES + 1))
-    measured = rows.mapInArrow(_featurize(model), "label int, features array<double>").collect()
+    lexicon = [(t, s) for _, t, s, _ in entries]
+    near = counted.where(~F.col("term").endswith("*")).select("term", "toxic", "clean")
+    near = near.mapInArrow(lambda batches: _misspelled(batches, Lexicon(lexicon)), "term string, toxic long, clean long, entry long").collect()
+    own = frozenset(r.term for r in near if r.clean >= 2 and r.clean * n_toxic > r.toxic * (n - n_toxic))
+    by_chance = Counter()
+    for r in near:
+        by_chance[r.entry] += r.clean if r.term not in own else 0
+    credits = tuple(e[0] / (e[0] + CHANCE * (1 + by_chance[i])) for i, e in enumerate(entries))
+    model = ToxicityModel(tuple(lexicon), strengths, (0.0,) * (FEATURES + 1), own, credits)
+    measured = rows.mapInArrow(_featurize(model), "label int, features array<double>, share double").collect()
     x, y = np.array([r.features for r in measured]).reshape(-1, FEATURES), np.array([r.label for r in measured], float)
+    each = np.array([r.share for r in measured])
     if not len(y) or y.sum() in (0, len(y)):
-        return ToxicityModel(model.entries, strengths, (float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))),) + (0.0,) * FEATURES)
-    return ToxicityModel(model.entries, strengths, tuple(map(float, _regress(x, y))))
+        return ToxicityModel(model.entries, strengths, (float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))),) + (0.0,) * FEATURES, own, credits)
+    return ToxicityModel(model.entries, strengths, tuple(map(float, _regress(x, y, each))), own, credits)
 
 
 def _featurize(model: ToxicityModel):
+    """Label, features and weight of each row. A toxic row comes at half weight as it is, and at the
+    other half as if misspelled: labelled texts spell most terms right, and would teach nothing of texts
+    that don't."""
+
     def run(batches):
         scorer = Scorer(model)
         for batch in batches:
             for first, data, offsets in X.slices(batch.column(0)):
-                f = scorer.features(data, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, len(f)), pa.array(f.tolist(), pa.list_(pa.float64()))], names=["label", "features"])
+                label = np.array(batch.column(1).slice(first, len(offsets) - 1).to_pylist(), np.int32)
+                f, toxic = scorer.features(data, offsets), label > 0
+                f = np.r_[f, scorer.features(data, offsets, misspelled=True)[toxic]]
+                share = np.r_[np.where(toxic, 0.5, 1.0), np.full(toxic.sum(), 0.5)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[label, label[toxic]]), pa.array(f.tolist(), pa.list_(pa.float64())), pa.array(share)], names=["label", "features", "share"])
 
     return run
 
