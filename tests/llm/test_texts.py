@@ -13,7 +13,7 @@ from tidemark.llm import _text as X, secrets as S
 from tidemark.llm.decontaminate import FMIndex, decontaminate, suffix_array
 from tidemark.llm.packing import best_fit_decreasing, pack_tokens, positions
 from tidemark.llm.pieces import default_model_path, encode_and_decode
-from tidemark.llm.toxicity import Lexicon, fit_toxicity, training_rows, with_toxicity
+from tidemark.llm.toxicity import Lexicon, Scorer, ToxicityModel, _terms, fit_toxicity, training_rows, with_toxicity
 
 # decontamination
 
@@ -192,6 +192,15 @@ def test_terms_misspelled_within_a_stem_are_found_in_held_out_texts(spark, label
     assert both.find("idiots")[1] == 0 and both.find("idot") == (1, 1) and both.find("xdiot") is None
 
 
+def test_words_end_at_unicode_marks_and_may_be_long():
+    scorer = Scorer(ToxicityModel((("idiot", False), ("loweich", True), ("été", False)), (1.0, 1.0, 1.0), (0.0,) * 10))
+    texts = ["“idiot”", "bal\u00a0idiot\u00a0fen", "«idiot»", "bal—idiot…", "。idiot、", "idiot😀", "loweich" + "x" * 100, "bal\u3000été", "été"]
+    clean = ["étéñ", "日本idiot", "x" * 100, "😀", "éé"]
+    data, offsets = X.text_buffer(pa.array(texts + clean))
+    assert (scorer.features(data, offsets)[:, :6].sum(axis=1) > 0).tolist() == [True] * len(texts) + [False] * len(clean)
+    assert {"idiot", "fen", "x" * 70} <= _terms("“idiot”\u00a0fen " + "x" * 70)
+
+
 def test_no_labels_and_no_rows(spark, labelled):
     docs, labels = labelled
     model = fit_toxicity(docs, labels.limit(0))

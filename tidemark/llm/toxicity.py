@@ -14,15 +14,18 @@ score. Labels are read by the fit alone; a score sees nothing but the text.
 What goes to the driver is the lexicon (at most `max_terms`), the sample's own words near it and the
 features of the sampled rows (at most `sample_rows`); what goes to executors is the model. Scoring is one pass without a shuffle.
 
-Defined results: null, empty and blank texts have no hits and get the score of the intercept; a label
+Defined results: words of any length end at ASCII characters other than letters and digits and at
+Unicode punctuation, symbols and spaces; null, empty and blank texts have no hits and get the score of the intercept; a label
 row without an id or a label is left out, of several for an id the highest label counts; without any
 toxic training row every score is the smoothed share of toxic rows; rows keep all their columns.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +49,29 @@ CHANCE = 10
 _CACHED = 400_000
 
 
+@lru_cache(maxsize=1)
+def _separators() -> np.ndarray:
+    """By code point: is it Unicode punctuation, a symbol or a space? None is beyond 0x1FFFF."""
+    return np.array([c >= 0x80 and (unicodedata.category(chr(c))[0] in "PSZ" or chr(c).isspace() or c == 0x200B) for c in range(0x20000)])
+
+
+def _spaced(low: np.ndarray) -> np.ndarray:
+    """The bytes with blanks for those of characters that separate words."""
+    leads = np.flatnonzero(low >= 0xC2)
+    if not len(leads):
+        return low
+    b = np.r_[low, np.zeros(3, np.uint8)][leads[:, None] + np.arange(4)].astype(np.int64)
+    size = 2 + (b[:, 0] >= 0xE0) + (b[:, 0] >= 0xF0)
+    tail = b & 0x3F
+    code = np.select([size == 2, size == 3], [(b[:, 0] & 0x1F) << 6 | tail[:, 1], (b[:, 0] & 0x0F) << 12 | tail[:, 1] << 6 | tail[:, 2]], (b[:, 0] & 0x07) << 18 | tail[:, 1] << 12 | tail[:, 2] << 6 | tail[:, 3])
+    apart = (code < 0x20000) & _separators()[np.minimum(code, 0x1FFFF)]
+    out = low.copy()
+    for k in range(4):
+        at = leads[apart & (size > k)] + k
+        out[at[at < len(out)]] = 0x20
+    return out
+
+
 def edits_allowed(entry: str, stem: bool) -> int:
     return 0 if stem or len(entry) < 5 else 1 if len(entry) < 9 else 2
 
@@ -168,7 +194,7 @@ class Scorer:
             if code < 0:
                 a, b = int(starts[i]), int(ends[i])
                 word = data[a:b].decode(errors="replace").lower()
-                hit = self.lexicon.find(word) if b - a <= 64 else None
+                hit = self.lexicon.find(word)
                 if hit is not None and hit[1] and word in self.model.own_words:
                     hit = None
                 found[i] = known[int(hashes[i])] = 0 if hit is None else 1 + 4 * hit[0] + hit[1]
@@ -179,7 +205,7 @@ class Scorer:
         summed strengths), the largest number of hits in one window, hits per word, and misspelled ones;
         with misspelled, as if every hit were misspelled (and those that can't be, none)."""
         out = np.zeros((len(offsets) - 1, FEATURES))
-        low = _LOWER[data]
+        low = _spaced(_LOWER[data])
         starts, ends, at = X.words(low, offsets, IN_WORD)
         if not len(starts):
             return out
@@ -225,10 +251,10 @@ class Scorer:
 
 
 def _terms(text: str) -> set[str]:
-    low = _LOWER[np.frombuffer(text.encode(), np.uint8)]
+    low = _spaced(_LOWER[np.frombuffer(text.encode(), np.uint8)])
     starts, ends, _ = X.words(low, np.array([0, len(low)]), IN_WORD)
     raw = low.tobytes()
-    found = {raw[a:b].decode(errors="replace").lower() for a, b in zip(starts.tolist(), ends.tolist()) if b - a <= 64}
+    found = {raw[a:b].decode(errors="replace").lower() for a, b in zip(starts.tolist(), ends.tolist())}
     stems = {w[:n] + "*" for w in found for n in STEM_LENGTHS if len(w) > n}
     return found | stems
 
