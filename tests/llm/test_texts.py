@@ -98,6 +98,16 @@ def test_base_spans_stay_and_redaction(spark):
     assert S.with_secrets(df.limit(0)).collect() == []
 
 
+def test_secrets_with_a_base_span_inside_are_redacted_whole(spark):
+    texts = ["key sk-0123456789abcdef0123456789abcdef-AbCdEf end", "x 0123456789abcdef01234567ZkQpW9rT7 y", "é ghp_ab0123456789abcdef01234567XyZ 0123456789abcdef0123456789abcdef.", "token = ghp_abcdefghijklmnopqrstuvwx12 end"]
+    rows = S.with_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).withColumn("red", S.redacted(F.col("text"), F.col("secret_spans"))).orderBy("doc_id").collect()
+    assert [r.red for r in rows] == ["key [SECRET] end", "x [SECRET] y", "é [SECRET] [SECRET]", "[SECRET] end"]
+    for t, r in zip(texts, rows):
+        assert [(s.start, S.KINDS.index(s.kind), s.end) for s in r.secret_spans if s.kind != "crf"] == base(t)
+    assert [s.kind for s in rows[3].secret_spans] == ["assign"]
+    assert S._covered(2, 9, [(0, 5), (1, 3), (5, 9)]) and not S._covered(2, 9, [(0, 5), (6, 9)]) and not S._covered(2, 9, [(3, 9)]) and not S._covered(2, 9, [(0, 8)])
+
+
 def test_pruned_decoding_is_exact():
     field = S.trained_field()
     pick = random.Random(4)

@@ -7,8 +7,8 @@ the conditional likelihood of a bounded training set written by rule in this mod
 outside score leads by more than any change of labels around it could win back is outside in every
 best labelling, which splits texts into short runs; only those are decoded, exactly.
 
-Base spans are whole matches of the patterns and always stay; spans of the field are added where
-they touch no base span. Offsets are code points, ends exclusive. One pass, no shuffle; the model is
+Base spans are whole matches of the patterns and always stay; spans of the field are added unless
+base spans cover them wholly, and so may overlap one that is a part of a longer secret. Offsets are code points, ends exclusive. One pass, no shuffle; the model is
 a few dozen numbers.
 
 Defined results: a null text counts as empty; texts without tokens have no spans; rows keep their
@@ -242,6 +242,17 @@ def trained_field(steps: int = 120, rate: float = 0.5, ridge: float = 1e-3) -> F
     return Field(*parts(w))
 
 
+def _covered(start: int, end: int, spans) -> bool:
+    """Do the spans, sorted by start, hold all of [start, end) between them?"""
+    for a, b in spans:
+        if a > start:
+            break
+        start = max(start, b)
+        if start >= end:
+            return True
+    return False
+
+
 class Scanner:
     def __init__(self, field: Field):
         self.field = field
@@ -342,7 +353,7 @@ class Scanner:
         taken: dict[int, list] = {}
         for r, _, a, b in base:
             taken.setdefault(r, []).append((a, b))
-        added = [(r, 3, a, b) for r, a, b in self.field_spans(data, offsets) if not any(a < y and x < b for x, y in taken.get(r, ()))]
+        added = [(r, 3, a, b) for r, a, b in self.field_spans(data, offsets) if not _covered(a, b, taken.get(r, ()))]
         out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(offsets) - 1)]
         points: dict[int, np.ndarray] = {}
         for r, kind, a, b in sorted(base + added, key=lambda s: (s[0], s[2], s[1])):
