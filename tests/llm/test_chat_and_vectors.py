@@ -85,6 +85,19 @@ def test_recall(spark):
     assert all(abs(s - dict((i, s) for s, i in want[q]).get(i, s)) < 1e-12 for q in got for s, i in got[q])
 
 
+def test_a_repeated_query_is_one_and_unlike_vectors_of_an_id_are_two(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(1, 41)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    index = fit_index(df)
+    asked = spark.createDataFrame([(10, [10.0, 1.0]), (10, [10.0, 1.0]), (20, [20.0, 1.0]), (20, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    for block in (1024, 1):
+        got = index.search(index.add_orders(df, "vec_id", "embedding"), index.add_orders(asked, "vec_id", "embedding"), block_queries=block).collect()
+        ten = sorted((r.rank, r.vec_id) for r in got if r.query_id == 10)
+        assert [rank for rank, _ in ten] == list(range(1, 11)) and len({v for _, v in ten}) == 10
+        twenty = sorted((r.rank, r.vec_id) for r in got if r.query_id == 20)
+        assert [rank for rank, _ in twenty] == [k for k in range(1, 11) for _ in (0, 1)] and {1, 2, 10, 19, 21} <= {v for _, v in twenty}
+
+
 def test_equal_unusable_and_few_vectors(spark):
     rows = [(i, [1.0, 2.0]) for i in range(40)] + [(100, None), (101, [0.0, 0.0]), (110, [1.0, None]), (120, [float("nan"), 1.0]), (130, [float("inf"), 1.0]), (140, [5.0, 5.0])]
     got = search(spark, rows)

@@ -11,7 +11,8 @@ footrule distance are never cut, so equal vectors, however many, compete by thei
 
 Defined results: vectors that are null or zero, or hold a null or a non-finite component, take no
 part, nor do those of another dimension than most of the sample; a query never finds rows with its
-own id; fewer candidates than k give fewer rows; other columns are ignored.
+own id; a query that stands on several rows is one, and queries of one id with unlike vectors have k
+results each; fewer candidates than k give fewer rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -102,7 +103,8 @@ class PermutationIndex:
         spark, index, parts = indexed.sparkSession, self, []
         for block in range(blocks):
             rows = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)
-            got = rows.select("id", "vector", "order").orderBy("id").collect()
+            got = rows.select("id", "vector", "order").orderBy("id", "vector").collect()
+            got = list({(r.id, tuple(r.vector)): r for r in got}.values())
             if not got and blocks > 1:
                 continue
             shared = spark.sparkContext.broadcast(([r.id for r in got], np.array([r.vector for r in got]), np.array([r.order for r in got], np.int64)))
@@ -113,10 +115,11 @@ class PermutationIndex:
                 def flush():
                     ids = np.concatenate([h[0] for h in held])
                     found = list(index._search_shard(ids, np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]), shared.value, k))
-                    who = np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64)
+                    sizes = [len(f[1]) for f in found]
+                    who, number = np.repeat([f[0] for f in found], sizes).astype(np.int64), np.repeat(np.arange(len(found)), sizes)
                     what = np.concatenate([f[1] for f in found]) if found else np.empty(0, np.int64)
                     how = np.concatenate([f[2] for f in found]) if found else np.empty(0)
-                    return pa.RecordBatch.from_arrays([pa.array(who), pa.array(what, pa.int64()), pa.array(how, pa.float64())], names=["query_id", "vec_id", "score"])
+                    return pa.RecordBatch.from_arrays([pa.array(who), pa.array(number, pa.int64()), pa.array(what, pa.int64()), pa.array(how, pa.float64())], names=["query_id", "number", "vec_id", "score"])
 
                 for batch in batches:
                     if not batch.num_rows:
@@ -129,11 +132,11 @@ class PermutationIndex:
                 if held:
                     yield flush()
 
-            parts.append(indexed.mapInArrow(run, "query_id long, vec_id long, score double"))
+            parts.append(indexed.mapInArrow(run, "query_id long, number long, vec_id long, score double"))
         found = parts[0]
         for p in parts[1:]:
             found = found.union(p)
-        order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        order = Window.partitionBy("query_id", "number").orderBy("score", "vec_id")
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
