@@ -48,7 +48,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out of the texts."""
     ship(spark)
-    out = with_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), with_text=True)
+    out = with_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), with_text=True, unnamed=True)
     return _retexted(out, docs.columns, F.when(F.col("n_hit") > 0, F.col("kept")).otherwise(F.col("text")))
 
 

@@ -58,6 +58,28 @@ def test_every_word_inside_a_test_phrase_is_hit(spark):
     assert {r.n_hit for r in decontaminate(df, bench.limit(0)).collect()} == {0}
 
 
+def test_items_without_an_id_mark_hits_where_asked_for(spark):
+    import corpus_pipeline
+
+    passage, other = " ".join(f"leak{i}" for i in range(12)), " ".join(f"named{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"before {passage} after {other} end"), (2, "clean text")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, passage), (4, other), (None, " ".join(passage.split()[:11]))], "item_id long, text string")
+    for block in (1 << 20, 60):
+        got = {r.doc_id: (r.n_hit, r["items"], r.kept.split()) for r in decontaminate(docs, bench, with_text=True, unnamed=True, block_bytes=block).collect()}
+        assert got == {1: (24, ["4"], ["before", "after", "end"]), 2: (0, [], ["clean", "text"])}
+    assert {r.doc_id: r.n_hit for r in decontaminate(docs, bench).collect()} == {1: 12, 2: 0}
+
+    class Reader:
+        def parquet(self, path):
+            return bench
+
+    class Session:
+        sparkContext, read = spark.sparkContext, Reader()
+
+    kept = {r.doc_id: r.text.split() for r in corpus_pipeline.decontamination(Session(), docs, "").collect()}
+    assert kept[1] == ["before", "after", "end"]
+
+
 def test_the_index_finds_and_locates_every_occurrence():
     pick = np.random.default_rng(2)
     text = np.r_[pick.integers(1, 4, 300), 0, pick.integers(1, 4, 200), 0, 1, 1, 1, 1, 1, 1, 0]

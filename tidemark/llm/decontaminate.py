@@ -12,7 +12,7 @@ size has been measured; one block at a time goes to the executors, so what is br
 whatever the benchmark's size. Documents are never shuffled for a single block.
 
 Defined results: null or word-free texts and items have no words and no hits (and a null text stays null); items without an id
-are left out; an item id that stands on several rows is one item; columns besides ids and texts are
+are left out unless asked for; an item id that stands on several rows is one item; columns besides ids and texts are
 ignored.
 """
 
@@ -43,7 +43,7 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 class Phrases:
     """The distinct windows of a block of benchmark items, over the block's own vocabulary."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int):
+    def __init__(self, items: list[tuple[str | None, str]], window: int):
         data, offsets = X.text_buffer(pa.array([t for _, t in items], pa.string()))
         hashes, _, _, at = hashed_words(data, offsets)
         self.vocabulary, number = np.unique(hashes, return_inverse=True)
@@ -52,7 +52,9 @@ class Phrases:
         for (name, _), a, b in zip(items, at[:-1].tolist(), at[1:].tolist()):
             symbols = number[a:b].tolist()
             for i in range(max(1, len(symbols) - window + 1) if symbols else 0):
-                found.setdefault(tuple(symbols[i : i + window]), set()).add(name)
+                names = found.setdefault(tuple(symbols[i : i + window]), set())
+                if name is not None:
+                    names.add(name)
         keys = sorted(found)
         self.items = [sorted(found[k]) for k in keys]
         self.lengths = np.array([len(k) for k in keys], np.int64)
@@ -247,14 +249,17 @@ def _without(data: np.ndarray, start: int, end: int, firsts: np.ndarray, lasts:
     return b"".join(left).decode()
 
 
-def with_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, with_text: bool = False, block_bytes: int = 16 << 20) -> DataFrame:
+def with_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, with_text: bool = False, block_bytes: int = 16 << 20, unnamed: bool = False) -> DataFrame:
     """The rows of docs with all their columns and n_words, n_hit, hit_spans (of words, end exclusive,
     merged), items (ids as strings of the items with occurring windows, sorted) and, with_text, kept:
-    the text without the hit spans. Blocks of the benchmark follow each other in one pass."""
+    the text without the hit spans. With unnamed, items without an id
+    mark hits too and add nothing to items. Blocks of the benchmark follow each other in one pass."""
     taken = {*_ADDED, "kept"} & set(docs.columns)
     if taken:
         raise ValueError(f"docs has columns {sorted(taken)}; rename them")
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null")
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
+    if not unnamed:
+        items = items.where("item is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
     at = docs.columns.index(text_col)
@@ -263,7 +268,7 @@ def with_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     fields += [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("hit_spans", T.ArrayType(span)), T.StructField("items", T.ArrayType(T.StringType()))]
     out = docs
     for block in range(blocks):
-        rows = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
+        rows = items if blocks == 1 else items.where(F.pmod(F.xxhash64(F.coalesce("item", "text")), F.lit(blocks)) == block)
         phrases = Phrases([tuple(r) for r in rows.collect()], window)
         cut = with_text and block == blocks - 1
         out = out.mapInArrow(_scan(phrases, at, block > 0, cut), T.StructType(fields + [T.StructField("kept", T.StringType())] * cut))
