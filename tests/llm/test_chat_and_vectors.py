@@ -54,6 +54,23 @@ def test_mixed_records_in_one_column(spark):
     assert canonical_turns(odd, "id", "record", on_unknown="drop").where("conv_id = 9").collect() == []
 
 
+def test_fingerprints_choose_a_tables_mapping_and_see_all_messages(spark, monkeypatch):
+    from tidemark.llm import chat
+
+    seen = []
+    monkeypatch.setattr(chat, "fingerprint", lambda paths, known=chat.fingerprint: seen.append(1) or known(paths))
+    table = spark.createDataFrame([(1, "q", "a", "more")], "id long, question string, answer string, note string")
+    assert [(r.role, r.text) for r in canonical_turns(table, "id").orderBy("turn").collect()] == [("user", "q"), ("assistant", "a")] and seen
+    with pytest.raises(ValueError, match="no mapping"):
+        canonical_turns(table.drop("answer"), "id")
+    alike, unlike = '{"messages": [{"role": "user", "content": "q"}, {"content": "a", "role": "assistant"}]}', '{"messages": [{"role": "user", "content": "q"}, {"from": "gpt", "value": "lost"}]}'
+    records = spark.createDataFrame([(1, alike), (2, unlike), (3, '{"messages": [{"role": "user", "content": "q"}, {"role": "user"}]}')], "id long, record string")
+    assert [(r.conv_id, r.text) for r in canonical_turns(records, "id", "record", on_unknown="drop").orderBy("conv_id", "turn").collect()] == [(1, "q"), (1, "a")]
+    for i in (2, 3):
+        with pytest.raises(Exception, match="no mapping"):
+            canonical_turns(records.where(f"id = {i}"), "id", "record").collect()
+
+
 def brute(rows, queries, k=10):
     usable = {i: np.array(v) for i, v in rows if v is not None and not any(x is None for x in v) and np.isfinite(v).all() and any(v)}
     out = {}

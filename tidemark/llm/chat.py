@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Other names of roles; fixed values.
@@ -80,14 +80,29 @@ def _of(mapping: Mapping) -> Column:
     return fingerprint(F.array(*map(F.lit, mapping.paths)))
 
 
+def _by_fingerprint(spark: SparkSession, paths: list[str], mappings: tuple[Mapping, ...]) -> Mapping | None:
+    """The mapping with the hash of the paths, or else the first with that of some of them."""
+    some = [[p for p in paths if p in m.paths] for m in mappings]
+    hashes = [fingerprint(F.array(*map(F.lit, p)).cast("array<string>")) for p in (paths, *some)]
+    found = spark.sql("SELECT 1").select(F.array(*hashes).alias("seen"), F.array(*map(_of, mappings)).alias("own")).first()
+    (known, *parts), own = found.seen, found.own
+    return next((m for m, h in zip(mappings, own) if h == known), None) or next((m for m, h, part in zip(mappings, own, parts) if h == part), None)
+
+
 def json_paths(record: Column, ignored: tuple[str, ...]) -> Column:
-    """Nested field paths of a JSON object, one level below the top."""
+    """Nested field paths of a JSON object, one level below the top; those of a list are its elements',
+    and a path that ends in * where these differ, which no mapping has."""
 
     def below(key: Column) -> Column:
         value = F.call_function("get_json_object", record, F.concat(F.lit("$['"), key, F.lit("']")))
-        inner = F.coalesce(F.json_object_keys(value), F.json_object_keys(F.get_json_object(value, "$[0]")))
+        inner = F.coalesce(F.json_object_keys(value), of_elements(value))
         return F.coalesce(F.transform(inner, lambda k: F.concat(key, F.lit("."), k)), F.array(key))
 
+    def of_elements(value: Column) -> Column:
+        keys = F.transform(F.from_json(value, "array<string>"), lambda e: F.array_sort(F.json_object_keys(e)))
+        every, alike = F.array_distinct(F.flatten(F.filter(keys, lambda k: k.isNotNull()))), F.size(F.array_distinct(keys)) == 1
+        return F.when(F.exists(keys, lambda k: k.isNotNull()), F.when(alike, every).otherwise(F.array_append(every, F.lit("*"))))
+
     keys = F.filter(F.json_object_keys(record), lambda k: ~k.isin(*ignored))
     return F.flatten(F.transform(keys, below))
 
@@ -118,7 +133,7 @@ def canonical_turns(df: DataFrame, id_col: str, json_col: str | None = None, ign
     skip = {id_col, *ignored}
     if json_col is None:
         paths = [p for p in field_paths(df.schema) if p.split(".")[0] not in skip]
-        chosen = next((m for m in mappings if m.paths == paths), None) or next((m for m in mappings if set(m.paths) <= set(paths)), None)
+        chosen = _by_fingerprint(df.sparkSession, paths, mappings)
         if chosen is None:
             raise ValueError(f"no mapping for fields {paths}")
         if chosen.rows:
