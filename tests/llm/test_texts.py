@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import _text as X, secrets as S
 from tidemark.llm.decontaminate import FMIndex, decontaminate, suffix_array
 from tidemark.llm.packing import best_fit_decreasing, pack_tokens, positions
-from tidemark.llm.pieces import default_model_path, encode_and_decode
+from tidemark.llm.pieces import Codec, default_model_path, encode_and_decode
 from tidemark.llm.toxicity import Lexicon, Scorer, ToxicityModel, _terms, fit_toxicity, training_rows, with_toxicity
 
 # decontamination
@@ -80,6 +80,65 @@ def test_items_without_an_id_mark_hits_where_asked_for(spark):
     assert kept[1] == ["before", "after", "end"]
 
 
+def test_columns_with_the_names_that_are_added(spark):
+    import corpus_pipeline
+
+    item = " ".join(f"leak{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"a {item} b", 3, "x", "y", 1.5), (2, None, 4, None, "z", None)], "doc_id long, Text string, Items int, kept string, _spans string, `_score` double")
+
+    class Reader:
+        def parquet(self, path):
+            return spark.createDataFrame([(1, item)], "item_id long, text string")
+
+    class Session:
+        sparkContext, read = spark.sparkContext, Reader()
+
+    cut = corpus_pipeline.decontamination(Session(), docs, "")
+    assert cut.columns == docs.columns and {tuple(r) for r in cut.collect()} == {(1, "a  b", 3, "x", "y", 1.5), (2, None, 4, None, "z", None)}
+    out = corpus_pipeline.secrets(Session(), docs, "")
+    assert out.columns == docs.columns and sorted(map(str, out.collect())) == sorted(map(str, docs.collect()))
+    with pytest.raises(ValueError):
+        decontaminate(docs.withColumnRenamed("doc_id", "kept_"), Reader().parquet(""), id_col="Items")
+
+
+def thue_morse(k):
+    """Two texts of 2**k letters that collide in any polynomial hash modulo 2**64, from k = 10 on."""
+    a, b = "a", "b"
+    for _ in range(k):
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("k", [10, 11, 12])
+def test_texts_built_to_collide(spark, k):
+    a, b = thue_morse(k)
+    phrase = " ".join(f"w{i}" for i in range(5))
+    docs = [(1, f"{phrase} {a} {phrase}"), (2, f"{phrase} {b} {phrase}"), (3, f"{a} {b}"), (4, f"{b} {a}"), (5, a)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate(df, spark.createDataFrame([(7, docs[0][1]), (8, a)], "item_id long, text string")).collect()}
+    assert got == contaminated(docs, [(7, docs[0][1]), (8, a)])
+    library = sentencepiece.SentencePieceProcessor(model_file=default_model_path())
+    for r in encode_and_decode(df).collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == library.encode(docs[r.doc_id - 1][1], add_bos=True, add_eos=True)
+    model = ToxicityModel(((a, False),), (1.0,), (0.0,) * 10)
+    data, offsets = X.text_buffer(pa.array([a, b]))
+    assert (Scorer(model).features(data, offsets).sum(axis=1) > 0).tolist() == [True, False]
+
+
+def test_distinct_spans_and_rows():
+    pick = random.Random(3)
+    words = ["".join(pick.choices("ab", k=pick.randint(1, 3))) for _ in range(500)]
+    data, offsets = X.text_buffer(pa.array([" ".join(words)]))
+    starts, ends, _ = X.words(data, offsets, X.byte_class((97, 98)))
+    which, distinct = X.distinct(data, starts, ends)
+    found = distinct.to_pylist()
+    assert [found[w].decode() for w in which] == words and len(found) == len(set(words))
+    rows = np.frombuffer("".join(w.ljust(11) for w in words).encode(), np.uint8).reshape(-1, 11)
+    group = X.equal_rows(rows)
+    assert len(set(group.tolist())) == len(set(words)) == len(set(zip(group.tolist(), words)))
+    assert len(X.distinct(data[:0], starts[:0], ends[:0])[0]) == 0 and len(X.equal_rows(rows[:0])) == 0
+
+
 def test_the_index_finds_and_locates_every_occurrence():
     pick = np.random.default_rng(2)
     text = np.r_[pick.integers(1, 4, 300), 0, pick.integers(1, 4, 200), 0, 1, 1, 1, 1, 1, 1, 0]
@@ -88,9 +147,13 @@ def test_the_index_finds_and_locates_every_occurrence():
     index = FMIndex(text)
 
     class P:
-        lengths = np.full(81, 4)
+        lengths, window = np.full(81, 4), 4
         symbols = np.array([[a, b, c, d] for a in (1, 2, 3) for b in (1, 2, 3) for c in (1, 2, 3) for d in (1, 2, 3)])
 
+        @classmethod
+        def symbol(cls, phrase, step):
+            return cls.symbols[phrase, -step]
+
     which, low, high = index.search(P)
     got = {(int(w), int(p)) for w, a, b in zip(which, low, high) for p in index.locate(np.arange(a, b))}
     assert got == {(w, p) for w in range(81) for p in range(len(text) - 3) if (text[p : p + 4] == P.symbols[w]).all()}
@@ -262,6 +325,19 @@ def test_ids_and_texts_are_the_librarys(spark):
     assert encode_and_decode(df.limit(0)).collect() == []
 
 
+def test_a_very_long_text_without_spaces_and_the_memory_of_a_worker():
+    library = sentencepiece.SentencePieceProcessor(model_file=default_model_path())
+    with open(default_model_path(), "rb") as f:
+        codec = Codec(f.read(), cache_segments=400)
+    pick = random.Random(2)
+    for text in ("日本語" * 60_000, "".join(pick.choices("abcdefgh", k=100_000))):
+        assert codec.encode(text) == library.encode(text, add_bos=True, add_eos=True)
+    for _ in range(20):
+        text = " ".join("".join(pick.choices("abcdefgh", k=80)) for _ in range(100)) + " " + " ".join("".join(pick.choices("abcdefgh", k=9)) for _ in range(100))
+        assert codec.encode(text) == library.encode(text, add_bos=True, add_eos=True)
+        assert len(codec.known) + len(codec.older) <= 700 and max(map(len, codec.known)) <= 48
+
+
 def test_best_fit_takes_the_fullest_row_that_holds_a_piece():
     pick = random.Random(1)
     for _ in range(200):

@@ -2,13 +2,17 @@
 
 Texts arrive as Arrow string columns; everything here works on their UTF-8 bytes with numpy, in
 slices of bounded size, so that memory does not depend on how many rows an Arrow batch holds.
-A substring hash is a difference of prefix sums (polynomial, modulo 2**64) put through a finaliser,
-which makes the hash of any span of bytes or words a constant-time lookup.
+
+Words are told apart by their bytes (`distinct`), never by a hash. Where something has to stand for a
+word or a run of words beyond a slice, it is `WordHashes` (BLAKE2) or `chained` (no polynomial, so
+that no texts are known that collide). A difference of prefix sums (polynomial, modulo 2**64) is the
+hash of a span in constant time; structured texts can collide in it, so it may nominate, not decide.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +38,7 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, 0 to n."""
     global _powers, _inverses
     if len(_powers) <= n:
-        size = max(n + 1, 2 * SLICE_BYTES)
+        size = max(n + 1, SLICE_BYTES + 4096)
         made = []
         for base in (_BASE, _INVERSE):
             steps = np.full(size, base, np.uint64)
@@ -158,6 +162,94 @@ def words(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray) -> tuple[n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Which of the distinct spans each span is, and those spans as binary. Spans must ascend and not
+    overlap; they are compared byte by byte."""
+    size = ends - starts
+    total = int(size.sum())
+    if total != len(data):
+        edge = np.zeros(len(data) + 1, np.int8)
+        edge[starts[size > 0]] += 1
+        np.subtract.at(edge, ends[size > 0], 1)
+        data = data[np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
+    at = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=at[1:])
+    wide = total >= 1 << 31
+    spans = pa.Array.from_buffers(pa.large_binary() if wide else pa.binary(), len(size), [None, pa.py_buffer(at if wide else at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+    found = spans.dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary
+
+
+class WordHashes:
+    """64-bit keyed BLAKE2 hashes of words, remembered for up to `most` short ones."""
+
+    def __init__(self, most: int = 300_000):
+        self.most, self.known = most, {}
+
+    def __call__(self, words: pa.Array) -> np.ndarray:
+        if len(self.known) > self.most:
+            self.known.clear()
+        known, blake = self.known, hashlib.blake2b
+        out = []
+        for w in words.to_pylist():
+            h = known.get(w)
+            if h is None:
+                h = int.from_bytes(blake(w, digest_size=8, key=b"tidemark").digest(), "little")
+                if len(w) <= 48:
+                    known[w] = h
+            out.append(h)
+        return np.array(out, np.uint64)
+
+
+def chained(columns, seed: int) -> np.ndarray:
+    """Hash of each row of the given columns of 64-bit numbers, one after the other."""
+    odd = np.uint64(0xD6E8FEB86659FD93)
+    h = mix(np.full(1, seed, np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    for column in columns:
+        h = mix((h ^ column) * odd + (h >> np.uint64(32)))
+    return h
+
+
+def as_numbers(rows: np.ndarray) -> np.ndarray:
+    """Rows of bytes or 64-bit numbers as columns of 64-bit numbers, padded with zeros."""
+    if rows.dtype == np.uint64:
+        return rows.T
+    wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    return wide.view(np.uint64).T
+
+
+def equal_rows(rows: np.ndarray) -> np.ndarray:
+    """A number for each row; equal rows, and only they, have the same."""
+    if not len(rows):
+        return np.empty(0, np.int64)
+    _, first, group = np.unique(chained(as_numbers(rows), 3), return_index=True, return_inverse=True)
+    for at in range(0, len(rows), 1 << 14):
+        if not np.array_equal(rows[at : at + (1 << 14)], rows[first[group[at : at + (1 << 14)]]]):
+            return np.unique(np.ascontiguousarray(rows).view(np.dtype((np.void, rows.itemsize * rows.shape[1]))).ravel(), return_inverse=True)[1]
+    return group
+
+
+def place_of(columns: list[str], name: str) -> int:
+    """Where a column stands; names are told apart as Spark does by default, whatever their case."""
+    return [c.lower() for c in columns].index(name.lower())
+
+
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, with underscores before those that columns have already."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def pack(array: np.ndarray) -> bytes:
     return np.ascontiguousarray(array).tobytes()
 

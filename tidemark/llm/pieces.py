@@ -1,15 +1,16 @@
 """SentencePiece encoding and decoding of merge-type (BPE) models, exactly, by backtracking.
 
 No merge queue runs over a text. A text is cut before each space that follows something else, where
-no piece can reach across (checked against the vocabulary), and each distinct segment is encoded
-once per worker: an Aho-Corasick automaton gives the pieces that start at each character, the longest
+no piece can reach across (checked against the vocabulary), and each distinct segment of a slice,
+told apart by its bytes, is encoded once, a short one once per worker: an Aho-Corasick automaton gives the pieces that start at each character, the longest
 is taken first, two neighbours are compatible if merging their joined characters afresh gives them
 back, a dead end goes back to the next shorter piece, and a bit per position remembers where no way
 on was found. Characters without a piece become byte pieces. Whole texts are then put together from
 the segments' ids with numpy, and decoded from the ids alone.
 
-Only the model's bytes (its size is checked) go to the executors; what a worker remembers is bounded
-by `cache_segments`. Texts are never shuffled.
+Only the model's bytes (its size is checked) go to the executors. A worker remembers at most
+`cache_segments` segments of at most `_CACHED_BYTES` bytes, and nothing of longer ones. Texts are
+never shuffled.
 
 Defined results: a null text counts as empty and encodes to the begin and end ids; a null id is kept;
 columns besides the id and the text are ignored. Models with user-defined symbols, other than
@@ -40,7 +41,7 @@ class Codec:
     """One model's vocabulary with the encoder, the decoder and their memory. by_library: new segments
     are encoded by the sentencepiece library, for callers that only need ids."""
 
-    def __init__(self, model: bytes, cache_segments: int = 600_000, by_library: bool = False):
+    def __init__(self, model: bytes, cache_segments: int = 300_000, by_library: bool = False):
         import ahocorasick
         import sentencepiece
 
@@ -87,8 +88,8 @@ class Codec:
             raise ValueError("not a BPE model with identity normalisation and a dummy prefix")
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.pool, self.used = np.empty(1 << 16, np.int32), 0
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _merge(self, text: str) -> list[int]:
         """Ids of a short text by merging: always the pair of the best score, the leftmost of equals."""
@@ -107,7 +108,7 @@ class Codec:
         key = left << 32 | right
         found = self.valid.get(key)
         if found is None:
-            if len(self.valid) > 2_000_000:
+            if len(self.valid) > 500_000:
                 self.valid.clear()
             found = self.valid[key] = self._merge(self.text[left] + self.text[right]) == [left, right]
         return found
@@ -165,34 +166,30 @@ class Codec:
         ids, ends = self.encode_slice(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
         return ids.tolist()
 
-    def _ids_of(self, hashes: np.ndarray, data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Where the ids of each (distinct) segment lie in the pool: start << 24 | number."""
-        if len(self.known) > self.cache_segments:
-            self._forget()
-        known = self.known
-        found = [known.get(h) for h in hashes.tolist()]
-        ready = self._by_library(found, data, starts, ends) if self.library else {}
-        for i, place in enumerate(found):
-            if place is None:
-                a, b = int(starts[i]), int(ends[i])
-                ids = ready[i] if i in ready else self.segment(data[a:b].decode().replace(" ", MARK))
-                at = self.used
-                while at + len(ids) > len(self.pool):
-                    self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
-                self.pool[at : at + len(ids)] = ids
-                self.used += len(ids)
-                found[i] = at << 24 | len(ids)
-                if b - a <= _CACHED_BYTES:
-                    known[int(hashes[i])] = found[i]
-        return np.array(found, np.int64)
-
-    def _by_library(self, found: list, data: bytes, starts: np.ndarray, ends: np.ndarray) -> dict[int, list[int]]:
-        """Ids of the unknown segments, encoded together; the library puts the first space back. Those
-        of spaces alone are left out."""
-        new = [i for i, place in enumerate(found) if place is None]
-        texts = [data[int(starts[i]) : int(ends[i])].decode()[1:] for i in new]
-        new, texts = zip(*kept) if (kept := [(i, t) for i, t in zip(new, texts) if t.strip(" ")]) else ((), ())
-        return dict(zip(new, self.library.encode(list(texts), num_threads=1))) if texts else {}
+    def _ids_of(self, segments: list[bytes]) -> list[bytes]:
+        """The ids of each (distinct) segment, as 32-bit numbers."""
+        if len(self.known) > self.cache_segments // 2:  # what is used goes on from the older half
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        found = [known.get(s) or older.get(s) for s in segments]
+        new = [i for i, ids in enumerate(found) if ids is None]
+        if older:
+            known.update((s, ids) for s, ids in zip(segments, found) if ids is not None and len(s) <= _CACHED_BYTES)
+        if self.library:
+            self._by_library(new, segments, found)
+        for i in new:
+            if found[i] is None:
+                found[i] = np.array(self.segment(segments[i].decode().replace(" ", MARK)), np.int32).tobytes()
+            if len(segments[i]) <= _CACHED_BYTES:
+                known[segments[i]] = found[i]
+        return found
+
+    def _by_library(self, new: list[int], segments: list[bytes], found: list) -> None:
+        """Ids of the new segments, encoded together; the library puts the first space back. Those of
+        spaces alone are left out."""
+        new = [i for i in new if segments[i].strip(b" ")]
+        for i, ids in zip(new, self.library.encode([segments[i].decode()[1:] for i in new], num_threads=1)):
+            found[i] = np.array(ids, np.int32).tobytes()
 
     def encode_slice(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a slice one after the other, with begin and end ids, and each end."""
@@ -209,18 +206,17 @@ class Codec:
         begins[1:] &= ~space[:-1]
         if not self.can_cut:
             begins[:] = False
-        raw = spaced.tobytes()
-        at = raw.find(_MARK_BYTES)
-        while at >= 0:  # a mark in the text itself joins the spaces after it
-            begins[at + 3 : at + 4] = False
-            at = raw.find(_MARK_BYTES, at + 3)
+        mark = np.frombuffer(_MARK_BYTES, np.uint8)  # a mark in the text itself joins the spaces after it
+        marks = np.flatnonzero((spaced[:-3] == mark[0]) & (spaced[1:-2] == mark[1]) & (spaced[2:-1] == mark[2])) if len(spaced) > 3 else np.empty(0, np.int64)
+        begins[marks + 3] = False
         begins[first] = True
         starts = np.flatnonzero(begins)
         ends = np.r_[starts[1:], len(spaced)] if len(starts) else starts
-        hashes = X.span(X.prefix(X.BYTE_VALUE[spaced]), starts, ends)
-        distinct, one, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        places = self._ids_of(distinct, raw, starts[one], ends[one])[inverse]
-        count, place = places & 0xFFFFFF, places >> 24
+        which, segments = X.distinct(spaced, starts, ends)
+        ids = self._ids_of(segments.to_pylist())
+        sizes = np.array([len(x) for x in ids], np.int64) // 4
+        pool = np.frombuffer(b"".join(ids), np.int32)
+        count, place = sizes[which], (np.cumsum(sizes) - sizes)[which]
         row = np.searchsorted(np.append(first, len(spaced)), starts, side="right") - 1
         row = np.flatnonzero(filled)[row] if len(row) else row
         total = int(count.sum())
@@ -231,7 +227,7 @@ class Codec:
         out[stop - per_row] = self.bos
         out[stop - 1] = self.eos
         within = np.arange(total)
-        out[within + np.repeat(2 * row + 1, count)] = self.pool[within + np.repeat(place - put, count)]
+        out[within + np.repeat(2 * row + 1, count)] = pool[within + np.repeat(place - put, count)]
         return out, stop
 
     def decode_slice(self, ids: np.ndarray, stop: np.ndarray) -> list[bytes]:
@@ -272,7 +268,7 @@ def _text_of(raw: bytes) -> str:
         return "".join(c if not "\udc80" <= c <= "\udcff" else "�" for c in raw.decode(errors="surrogateescape"))
 
 
-def encode_and_decode(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", cache_segments: int = 600_000) -> DataFrame:
+def encode_and_decode(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", cache_segments: int = 300_000) -> DataFrame:
     """id_col, n_tokens, ids (little-endian unsigned 32-bit, with begin and end ids) and decoded (the
     text of those ids)."""
     with open(model_path or default_model_path(), "rb") as f:

@@ -46,7 +46,7 @@ FEATURES = 9
 #: A misspelled hit counts fully only of entries in many more toxic texts than this, and than clean
 #: texts with words near them by chance.
 CHANCE = 10
-_CACHED = 400_000
+_CACHED = 200_000
 
 
 @lru_cache(maxsize=1)
@@ -182,22 +182,23 @@ class ToxicityModel:
 class Scorer:
     def __init__(self, model: ToxicityModel):
         self.model, self.lexicon = model, Lexicon(list(model.entries))
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
 
-    def _codes(self, hashes, data: bytes, starts, ends) -> np.ndarray:
+    def _codes(self, words: list[bytes]) -> np.ndarray:
         """For each distinct word 0, or 1 + 4 * entry + edits."""
         if len(self.known) > _CACHED:
             self.known.clear()
         known = self.known
-        found = [known.get(h, -1) for h in hashes.tolist()]
+        found = [known.get(w, -1) for w in words]
         for i, code in enumerate(found):
             if code < 0:
-                a, b = int(starts[i]), int(ends[i])
-                word = data[a:b].decode(errors="replace").lower()
+                word = words[i].decode(errors="replace").lower()
                 hit = self.lexicon.find(word)
                 if hit is not None and hit[1] and word in self.model.own_words:
                     hit = None
-                found[i] = known[int(hashes[i])] = 0 if hit is None else 1 + 4 * hit[0] + hit[1]
+                found[i] = 0 if hit is None else 1 + 4 * hit[0] + hit[1]
+                if len(words[i]) <= 48:
+                    known[words[i]] = found[i]
         return np.array(found, np.int64)
 
     def features(self, data: np.ndarray, offsets: np.ndarray, misspelled: bool = False) -> np.ndarray:
@@ -209,9 +210,8 @@ class Scorer:
         starts, ends, at = X.words(low, offsets, IN_WORD)
         if not len(starts):
             return out
-        hashes = X.span(X.prefix(X.BYTE_VALUE[low]), starts, ends)
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        codes = self._codes(distinct, low.tobytes(), starts[first], ends[first])
+        inverse, distinct = X.distinct(low, starts, ends)
+        codes = self._codes(distinct.to_pylist())
         if misspelled:
             budgets = np.array([edits_allowed(*e) for e in self.model.entries] + [0])
             codes = np.where(codes % 4 == 1, np.where(budgets[(codes - 1) // 4] > 0, codes + 1, 0), codes)
@@ -366,7 +366,7 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text",
     """The rows of docs with all their columns and their score between 0 and 1."""
     if score_col in docs.columns:
         raise ValueError(f"docs has a column {score_col}; name another")
-    at = docs.columns.index(text_col)
+    at = X.place_of(docs.columns, text_col)
 
     def run(batches):
         scorer = Scorer(model)
