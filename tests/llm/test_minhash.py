@@ -5,7 +5,9 @@ import re
 
 import numpy as np
 
-from tidemark.llm.minhash import DartMinHash, components, near_duplicates
+from pyspark.sql import functions as F
+
+from tidemark.llm.minhash import DartMinHash, components, near_duplicates, one_of_each
 
 WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 
@@ -94,6 +96,20 @@ def test_empty_and_null_ids(spark):
     assert sorted((str(r.doc_id), str(r.class_id)) for r in near_duplicates(df).collect()) == [("3", "3"), ("None", "3"), ("None", "None")]
 
 
+def test_rows_that_share_an_id_but_not_a_text(spark):
+    pick = random.Random(4)
+    a, b, c = ([f"{x}{i}" for i in range(80)] for x in "abc")
+    near = lambda w: " ".join(edited(pick, w, 1))
+    rows = [(1, " ".join(a)), (7, near(a)), (2, " ".join(b)), (7, near(b)), (None, near(c)), (None, " ".join(a)), (9, " ".join(c)), (None, "alone by itself here now"), (7, ""), (7, None), (2, " ".join(b))]
+    want = sorted(map(str, [(1, 1), (7, 1), (2, 2), (7, 2), (None, 9), (None, 1), (9, 9), (None, None), (7, 7), (7, 7), (2, 2)]))
+    for parts in (1, 3, 7):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        assert sorted(str((r.doc_id, r.class_id)) for r in near_duplicates(df).collect()) == want
+        left = one_of_each(df.withColumn("mark", F.lit(1)))
+        assert left.columns == ["doc_id", "text", "mark"]
+        assert sorted(str(tuple(r)[:2]) for r in left.collect()) == sorted(map(str, [rows[0], rows[2], rows[6], rows[7], rows[8], rows[9]]))
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 105), (105, 103)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

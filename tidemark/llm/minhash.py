@@ -17,16 +17,21 @@ exact comparison happens inside a task and gives only the links that join compon
 chosen for a miss of under one in a million at the threshold. Candidates are neither capped nor
 sampled.
 
+Nodes are shingle sets, not rows: rows with equal sets are in one class by that, and rows that share an
+id (or have none) but not a text are unlike each other like any others. Words are told apart by 64-bit
+BLAKE2 hashes, shingles by 64-bit hashes of these, sets by 128 bits.
+
 Defined results: words are runs of letters, digits and non-ASCII characters, ASCII lower-cased; a text
-with fewer words than a shingle has is one shingle; a text without words (or null) is its own class;
-equal ids are one node; a null id sorts last and comes back as null; other columns are ignored.
+with fewer words than a shingle has is one shingle; a text without words (or null) is its own class; a
+null id sorts last and comes back as null; a class is named by the smallest id of its rows, so two
+classes whose smallest rows share an id share their name; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import _text as X
 from ._scratch import scratch
@@ -108,35 +113,45 @@ def _poisson(hashes: np.ndarray, mean: float) -> np.ndarray:
     return np.searchsorted(np.array(terms), (hashes >> np.uint64(11)).astype(np.float64) * 2.0**-53, side="right")
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int, hashes_of: X.WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of each text, sorted, and their n + 1 offsets."""
     low = _LOWER[data]
     starts, ends, at = X.words(low, offsets, IN_WORD)
-    hashes = X.span(X.prefix(X.BYTE_VALUE[low]), starts, ends)
-    sums = X.prefix(hashes)
-    sets, sizes = [], []
-    runs = X.span_all(sums, words) if len(hashes) > words else np.empty(0, np.uint64)
-    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-        if b - a > words:
-            own = np.unique(runs[a : b - words + 1] if b < len(hashes) or b - words < len(runs) else np.r_[runs[a:], X.span(sums, np.array([b - words]), np.array([b]))])
-        elif b > a:
-            own = X.span(sums, np.array([a]), np.array([b]))
-        else:
-            own = np.empty(0, np.uint64)
-        sets.append(own)
-        sizes.append(len(own))
-    return np.concatenate(sets) if sets else np.empty(0, np.uint64), np.r_[0, np.cumsum(sizes)].astype(np.int64)
+    which, distinct = X.distinct(low, starts, ends)
+    hashes = hashes_of(distinct)[which]
+    size = np.diff(at)
+    row, made = [], []
+    long = np.flatnonzero(size >= words)
+    if len(long):
+        runs = X.chained([hashes[k : len(hashes) - words + 1 + k] for k in range(words)], words)
+        count = size[long] - words + 1
+        place = np.repeat(at[long] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        made.append(runs[place])
+        row.append(np.repeat(long, count))
+    for n in range(1, words):  # a shorter text is one shingle
+        short = np.flatnonzero(size == n)
+        if len(short):
+            made.append(X.chained([hashes[at[short] + k] for k in range(n)], n))
+            row.append(short)
+    if not made:
+        return np.empty(0, np.uint64), np.zeros(len(size) + 1, np.int64)
+    row, made = np.concatenate(row), np.concatenate(made)
+    order = np.lexsort((made, row))
+    row, made = row[order], made[order]
+    new = np.r_[True, (row[1:] != row[:-1]) | (made[1:] != made[:-1])]
+    return made[new], np.searchsorted(row[new], np.arange(len(size) + 1))
 
 
 def _signed(words: int, bands: int, rows: int):
     hasher = DartMinHash(bands * rows)
 
     def run(batches):
+        hashes_of = X.WordHashes()
         for batch in batches:
             ids = X.ids_of(batch.column(0))
-            for first, data, offsets in X.slices(batch.column(1)):
+            for first, data, offsets in X.slices(batch.column(2)):
                 n = len(offsets) - 1
-                elements, at = shingle_sets(data, offsets, words)
+                elements, at = shingle_sets(data, offsets, words, hashes_of)
                 filled = np.flatnonzero(np.diff(at) > 0)
                 signature = hasher.signatures(elements, np.ones(len(elements)), np.r_[at[filled], at[-1]]) if len(filled) else np.empty((0, bands * rows), np.uint64)
                 keys = np.zeros((len(filled), bands), np.uint64)
@@ -145,18 +160,15 @@ def _signed(words: int, bands: int, rows: int):
                 names = np.zeros((2, n), np.uint64)
                 if len(filled):
                     for i, salt in enumerate((1, 2)):
-                        names[i, filled] = np.add.reduceat(X.mix(elements ^ X.mix(np.array([salt], np.uint64))), at[filled])
+                        names[i, filled] = np.add.reduceat(X.chained([elements], salt), at[filled])
                 has = np.zeros(n, np.int64)
                 has[filled] = bands
                 put = np.r_[0, np.cumsum(has)].astype(np.int32)
-                short = (elements >> np.uint64(32)).astype("<u4")
-                blobs = []
-                for r in range(n):
-                    blobs.append(np.unique(short[at[r] : at[r + 1]]).tobytes())
+                blobs = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer((8 * at).astype(np.int32)), pa.py_buffer(elements.astype("<u8"))])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(ids[first : first + n]), pa.array(np.diff(at)), pa.array(names[0].view(np.int64)), pa.array(names[1].view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(put), pa.array(keys.ravel().view(np.int64))), pa.array(blobs, pa.binary()),
-                ], names=["id", "n", "name1", "name2", "bands", "shingles"])
+                    pa.array(ids[first : first + n]), batch.column(1).slice(first, n), pa.array(np.diff(at)), pa.array(names[0].view(np.int64)), pa.array(names[1].view(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(put), pa.array(keys.ravel().view(np.int64))), blobs,
+                ], names=["id", "mark", "n", "name1", "name2", "bands", "shingles"])
 
     return run
 
@@ -167,7 +179,7 @@ def _verify(threshold: float):
             a, b = batch.column(2), batch.column(3)
             keep = []
             for i in range(batch.num_rows):
-                x, y = np.frombuffer(a[i].as_buffer(), "<u4"), np.frombuffer(b[i].as_buffer(), "<u4")
+                x, y = np.frombuffer(a[i].as_buffer(), "<u8"), np.frombuffer(b[i].as_buffer(), "<u8")
                 if min(len(x), len(y)) < threshold * max(len(x), len(y)):
                     keep.append(False)
                     continue
@@ -178,15 +190,21 @@ def _verify(threshold: float):
     return run
 
 
-def _links(signed: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+def _sets_of(signed: DataFrame, sets: DataFrame, reps: DataFrame) -> DataFrame:
+    """rep and shingles of the named sets, each read from the one row that stands for it."""
+    named = scratch(sets.join(reps, "rep", "left_semi").select("rep", "name1", "name2", F.col("least.id").alias("id"), F.col("least.mark").alias("mark")))
+    if named.count() <= BROADCAST_IDS:  # else the rows that stand for a set are shuffled
+        named = F.broadcast(named)
+    rows = signed.select("id", "mark", "name1", "name2", "shingles").join(named, ["id", "mark", "name1", "name2"])
+    return scratch(rows.select("rep", "shingles").dropDuplicates(["rep"]))
+
+
+def _links(signed: DataFrame, sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets are as similar as the threshold says."""
     pairs = scratch(pairs)
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    if pairs.count() <= BROADCAST_IDS // 2:
-        ids = F.broadcast(ids)
-    sets = scratch(signed.select("id", "shingles").join(ids, "id", "left_semi").dropDuplicates(["id"]))
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
+    found = _sets_of(signed, sets, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct())
+    left = pairs.join(found.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
+    both = left.join(found.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
     return both.mapInArrow(_verify(threshold), "a long, b long")
 
 
@@ -204,7 +222,7 @@ def _block_links(threshold: float):
         table = table.sort_by([("side", "ascending"), ("rep", "ascending")])
         ids, roots = (table.column(c).to_numpy() for c in ("rep", "root"))
         few = int((table.column("side").to_numpy() == 0).sum())
-        sets = [np.frombuffer(b.as_buffer(), "<u4") for b in table.column("shingles")]
+        sets = [np.frombuffer(b.as_buffer(), "<u8") for b in table.column("shingles")]
         sizes = np.array([len(x) for x in sets])
         names, place = np.unique(np.concatenate(sets), return_inverse=True)
         member = np.repeat(np.arange(len(sets)), sizes)
@@ -234,21 +252,18 @@ def _block_links(threshold: float):
     return run
 
 
-def _links_in_blocks(signed: DataFrame, large: DataFrame, threshold: float) -> DataFrame:
+def _links_in_blocks(signed: DataFrame, sets: DataFrame, large: DataFrame, threshold: float) -> DataFrame:
     """Links between the components of large groups: the members outside the largest component, and
     all members, are cut into blocks of bounded size, each block of the first meets each of the
     second in one task, and what comes out are the links that join components."""
     large = large.where("rep <> hub")
-    ids = scratch(large.select("rep").distinct())
-    if ids.count() <= BROADCAST_IDS:  # else the sets of all texts are shuffled
-        ids = F.broadcast(ids)
-    sets = signed.select(F.col("id").alias("rep"), "shingles").join(ids, "rep", "left_semi").dropDuplicates(["rep"])
+    found = _sets_of(signed, sets, large.select("rep").distinct())
     few_blocks, all_blocks = (F.greatest(F.ceil(c / BLOCK), F.lit(1)).cast("int") for c in (F.col("size") - F.col("most"), F.col("size")))
     dealt = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     few = large.where("root <> largest").select("band", "key", dealt(few_blocks).alias("i"), every(all_blocks).alias("j"), F.lit(0).alias("side"), "rep", "root")
     rest = large.select("band", "key", every(few_blocks).alias("i"), dealt(all_blocks).alias("j"), F.lit(1).alias("side"), "rep", "root")
-    rows = few.union(rest).join(scratch(sets), "rep").select("band", "key", "i", "j", "side", "rep", "root", "shingles")
+    rows = few.union(rest).join(found, "rep").select("band", "key", "i", "j", "side", "rep", "root", "shingles")
     return rows.groupBy("band", "key", "i", "j").applyInArrow(_block_links(threshold), "a long, b long").distinct()
 
 
@@ -269,13 +284,13 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, words: int = 5, bands: int = 32, rows: int = 4) -> DataFrame:
-    """id_col and class_id, the smallest id of the row's class: texts linked, over any number of
-    steps, by a Jaccard similarity of their shingle sets of at least `threshold`."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = scratch(source.mapInArrow(_signed(words, bands, rows), "id long, n long, name1 long, name2 long, bands array<long>, shingles binary"))
-    sets = signed.where("n > 0").groupBy("name1", "name2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
-    sets = scratch(sets)
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, words: int = 5, bands: int = 32, rows: int = 4) -> DataFrame:
+    """id (NULL_ID for null) and mark (a hash of the text) of each row, and least, the smallest (id,
+    mark) of its class."""
+    source = docs.select(F.col(id_col).cast("long").alias("id"), mark_of(F.col(text_col)).alias("mark"), F.col(text_col).cast("string").alias("text"))
+    signed = scratch(source.mapInArrow(_signed(words, bands, rows), "id long, mark long, n long, name1 long, name2 long, bands array<long>, shingles binary"))
+    sets = signed.where("n > 0").groupBy("name1", "name2").agg(F.min(F.struct("id", "mark")).alias("least"), F.first("bands").alias("bands"))
+    sets = scratch(sets.withColumn("rep", F.monotonically_increasing_id()))  # once written, the numbers stay
     entries = sets.select("rep", F.posexplode("bands").alias("band", "key"))
     groups = entries.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
     entries = scratch(entries.join(groups, ["band", "key"]).select("band", "key", "size", "rep"))
@@ -284,19 +299,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     entries = entries.join(central, "rep")
     hubs = entries.groupBy("band", "key").agg(F.max_by("rep", F.struct("meets", -F.col("rep"))).alias("hub"))
     entries = scratch(entries.join(hubs, ["band", "key"]).select("band", "key", "size", "hub", "rep"))
-    linked = scratch(_links(signed, entries.where("hub <> rep").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct(), threshold))
+    linked = scratch(_links(signed, sets, entries.where("hub <> rep").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct(), threshold))
     first = scratch(components(linked))
     # groups that still hold several components
     labelled = entries.join(first, entries.rep == first.node, "left").select("band", "key", "size", "hub", "rep", F.coalesce("root", "rep").alias("root"))
     parts = labelled.groupBy("band", "key", "root").agg(F.count("*").alias("own"))
     mixed = parts.groupBy("band", "key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("own", "root")).alias("largest"), F.max("own").alias("most")).where("roots > 1")
     open_ = scratch(labelled.join(mixed.select("band", "key", "largest", "most"), ["band", "key"]))
-    more = _links(signed, _pairs_of_small_groups(open_.where(F.col("size") <= SMALL_GROUP)), threshold)
+    more = _links(signed, sets, _pairs_of_small_groups(open_.where(F.col("size") <= SMALL_GROUP)), threshold)
     large = open_.where(F.col("size") > SMALL_GROUP)
     if large.head(1):
-        more = more.union(_links_in_blocks(signed, large, threshold))
-    roots = components(linked.union(more))
-    members = signed.where("n > 0").select("id", "name1", "name2").join(sets.select("name1", "name2", "rep"), ["name1", "name2"])
-    classed = members.join(roots, members.rep == roots.node, "left").select("id", F.coalesce("root", "rep").alias("class_id"))
-    alone = signed.where("n = 0").select("id", F.col("id").alias("class_id"))
-    return classed.union(alone).select(F.when(F.col("id") != X.NULL_ID, F.col("id")).alias(id_col), F.when(F.col("class_id") != X.NULL_ID, F.col("class_id")).alias("class_id"))
+        more = more.union(_links_in_blocks(signed, sets, large, threshold))
+    # the smallest row of a component is the smallest of those of its sets
+    rooted = sets.select("rep", "name1", "name2", "least").join(components(linked.union(more)).withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    rooted = scratch(rooted)
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("class"))
+    named = rooted.join(smallest, "root").select("name1", "name2", F.col("class").alias("least"))
+    classed = signed.where("n > 0").select("id", "mark", "name1", "name2").join(named, ["name1", "name2"]).select("id", "mark", "least")
+    return classed.union(signed.where("n = 0").select("id", "mark", F.struct("id", "mark").alias("least")))
+
+
+def mark_of(text) -> Column:
+    """What tells rows of one id apart."""
+    return F.xxhash64(text.cast("string"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """id_col and class_id, the smallest id of the row's class: texts linked, over any number of
+    steps, by a Jaccard similarity of their shingle sets of at least `threshold`."""
+    of = lambda c: F.when(c != X.NULL_ID, c)
+    return classes(docs, id_col, text_col, **options).select(of(F.col("id")).alias(id_col), of(F.col("least.id")).alias("class_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Of each class the row with the smallest id (of several, that with the smallest hash of its text;
+    of equal rows, one), with all columns of docs."""
+    found = classes(docs, id_col, text_col, **options)
+    key, mark = X.free_names(docs.columns, "_id", "_mark")
+    kept = found.where(F.struct("id", "mark") == F.col("least")).select(F.col("id").alias(key), F.col("mark").alias(mark)).distinct()
+    rows = docs.withColumn(key, F.coalesce(F.col(X.quoted(id_col)).cast("long"), F.lit(X.NULL_ID))).withColumn(mark, mark_of(F.col(X.quoted(text_col))))
+    return rows.join(kept, [key, mark], "left_semi").dropDuplicates([key, mark]).select(*map(X.quoted, docs.columns))
