@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm._scratch import scratch
 from tidemark.llm.decontaminate import with_contamination
-from tidemark.llm.minhash import near_duplicates
+from tidemark.llm._text import free_names, place_of, quoted
+from tidemark.llm.minhash import one_of_each
 from tidemark.llm.pieces import encode_and_decode
 from tidemark.llm.secrets import redacted, with_secrets
 from tidemark.llm.toxicity import fit_toxicity, with_toxicity
@@ -21,42 +22,42 @@ TOXIC_FROM = 0.3
 
 def _retexted(docs: DataFrame, columns: list[str], text) -> DataFrame:
     """docs with another text, and its length where there is a column for it."""
-    changed = docs.withColumn("text", text)
-    if "n_chars" in columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return changed.select(*columns)
+    out = {place_of(columns, "text"): text}
+    lower = [c.lower() for c in columns]
+    if "n_chars" in lower:
+        at = lower.index("n_chars")
+        out[at] = F.length(text).cast(docs.schema[columns[at]].dataType)
+    return docs.select(*[out.get(i, F.col(quoted(c))).alias(c) for i, c in enumerate(columns)])
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose score says toxic go."""
     ship(spark)
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return with_toxicity(docs, model, score_col="_score").where(F.col("_score") < TOXIC_FROM).select(*docs.columns)
+    (score,) = free_names(docs.columns, "_score")
+    return with_toxicity(docs, model, score_col=score).where(F.col(score) < TOXIC_FROM).select(*map(quoted, docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class the row with the smallest id stays; rows without an id sort last, by text."""
     ship(spark)
-    last = (F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))).cast("long")
-    named = docs.withColumn("_node", F.coalesce(F.col("doc_id").cast("long"), last))
-    classes = near_duplicates(named, id_col="_node")
-    kept = classes.where(F.col("_node") == F.col("class_id")).select("_node").distinct()
-    left = named.join(kept, "_node", "left_semi").withColumn("_text", F.xxhash64("text"))
-    return left.dropDuplicates(["_node", "_text"]).select(*docs.columns)
+    return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out of the texts."""
     ship(spark)
-    out = with_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), with_text=True, unnamed=True)
-    return _retexted(out, docs.columns, F.when(F.col("n_hit") > 0, F.col("kept")).otherwise(F.col("text")))
+    names = free_names(docs.columns, "n_words", "n_hit", "hit_spans", "items", "kept")
+    out = with_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), with_text=True, unnamed=True, names=tuple(names))
+    return _retexted(out, docs.columns, F.when(F.col(names[1]) > 0, F.col(names[4])).otherwise(F.col("text")))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark."""
     ship(spark)
-    out = with_secrets(docs, spans_col="_spans")
-    return _retexted(out, docs.columns, redacted(F.col("text"), F.col("_spans")))
+    (spans,) = free_names(docs.columns, "_spans")
+    out = with_secrets(docs, spans_col=spans)
+    return _retexted(out, docs.columns, redacted(F.col("text"), F.col(spans)))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
