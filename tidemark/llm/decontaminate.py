@@ -1,19 +1,21 @@
 """Benchmark decontamination: an FM-index per shard of the training text, asked for test phrases.
 
 A shard is a run of whole documents of bounded size. Its words become numbers of the benchmark's
-vocabulary; a word outside it can be in no test phrase and ends a stretch. The stretches long enough
-for a phrase are indexed: suffix array, Burrows-Wheeler transform, wavelet matrix for ranks, and the
-suffix positions that are multiples of `_SAMPLE`. All phrases step backwards through the ranks
-together; those with rows left are located by walking to the next sampled position, and their words
-are marked and merged into removal spans.
-
-The benchmark is cut into blocks of at most `block_bytes` of text by a hash of its item, after its
-size has been measured; one block at a time goes to the executors, so what is broadcast is bounded
-whatever the benchmark's size. Documents are never shuffled for a single block.
-
-Defined results: null or word-free texts and items have no words and no hits (and a null text stays null); items without an id
-are left out unless asked for; an item id that stands on several rows is one item; columns besides ids and texts are
-ignored.
+vocabulary, by their bytes; a word outside it can be in no test phrase and ends a stretch. The
+stretches long enough for a phrase are indexed: suffix array, Burrows-Wheeler transform, wavelet
+matrix for ranks, and the suffix positions that are multiples of `_SAMPLE`. All phrases step backwards
+through the ranks together; those with rows left are located by walking to the next sampled position,
+and their words are marked and merged into removal spans.
+
+The benchmark is cut into blocks of at most about `block_bytes` of text by a hash of its item, after its
+size has been measured. A block goes to the executors as the numbers of its words and the places where
+its distinct phrases begin, some eight bytes a word. Between two blocks the documents with the hits so
+far are written to the shared folder, so one block is out at a time whatever the benchmark's size.
+Documents are never shuffled, and for a benchmark of one block not written either.
+
+Defined results: null or word-free texts and items have no words and no hits (and a null text stays
+null); items without an id are left out unless asked for; an item id that stands on several rows is one
+item; rows keep all their columns, whose names must differ from those added (`names` renames these).
 """
 
 from __future__ import annotations
@@ -22,46 +24,78 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import _text as X
+from ._scratch import scratch
 
 IN_WORD = ~X.byte_class((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 _SAMPLE = 8
 
 
-def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, starts, ends of lower-cased words, and each text's first word."""
+def lowered_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The lower-cased words: which of the distinct ones each is, these, starts, ends, and each text's
+    first word."""
     data = LOWER[data]
     starts, ends, at = X.words(data, offsets, IN_WORD)
-    return X.span(X.prefix(X.BYTE_VALUE[data]), starts, ends), starts, ends, at
+    which, words = X.distinct(data, starts, ends)
+    return which, words, starts, ends, at
+
+
+def _window_names(symbols: np.ndarray, length: int) -> np.ndarray:
+    """A number for each run of `length` symbols; equal runs have the same (names of runs twice as long
+    are made of pairs)."""
+    names, depth = symbols.astype(np.int64), 1
+    while depth < length:
+        step = min(depth, length - depth)
+        names = np.unique(names[:-step] << 32 | names[step:], return_inverse=True)[1]
+        depth += step
+    return names
 
 
 class Phrases:
-    """The distinct windows of a block of benchmark items, over the block's own vocabulary."""
+    """The distinct windows of a block of benchmark items: numbers of words over the block's own
+    vocabulary (from 1), where each phrase begins in them, its length, and its items."""
 
     def __init__(self, items: list[tuple[str | None, str]], window: int):
         data, offsets = X.text_buffer(pa.array([t for _, t in items], pa.string()))
-        hashes, _, _, at = hashed_words(data, offsets)
-        self.vocabulary, number = np.unique(hashes, return_inverse=True)
-        number = number + 1
-        found: dict[tuple, set[str]] = {}
-        for (name, _), a, b in zip(items, at[:-1].tolist(), at[1:].tolist()):
-            symbols = number[a:b].tolist()
-            for i in range(max(1, len(symbols) - window + 1) if symbols else 0):
-                names = found.setdefault(tuple(symbols[i : i + window]), set())
-                if name is not None:
-                    names.add(name)
-        keys = sorted(found)
-        self.items = [sorted(found[k]) for k in keys]
-        self.lengths = np.array([len(k) for k in keys], np.int64)
-        self.symbols = np.zeros((len(keys), window), np.int64)  # the last symbol in the last column
-        for i, k in enumerate(keys):
-            self.symbols[i, window - len(k) :] = k
-        self.shortest = int(self.lengths.min()) if len(keys) else 0
+        which, self.vocabulary, _, _, at = lowered_words(data, offsets)
+        self.window, self.words = window, which.astype(np.int32) + 1
+        size = np.diff(at)
+        of_item, starts, names = [], [], []
+        long = np.flatnonzero(size >= window)
+        if len(long):
+            count = size[long] - window + 1
+            starts.append(np.repeat(at[long] - (np.cumsum(count) - count), count) + np.arange(count.sum()))
+            of_item.append(np.repeat(long, count))
+            names.append(_window_names(self.words, window)[starts[0]])
+        short = np.flatnonzero((size > 0) & (size < window))
+        if len(short):
+            seen: dict[bytes, int] = {}
+            first = int(names[0].max()) + 1 if names else 0
+            starts.append(at[short])
+            of_item.append(short)
+            names.append(np.array([first + seen.setdefault(self.words[at[i] : at[i + 1]].tobytes(), len(seen)) for i in short.tolist()]))
+        joined = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (of_item, starts, names)]
+        of_item, starts, names = joined
+        _, one, phrase = np.unique(names, return_index=True, return_inverse=True)
+        self.starts, self.lengths = starts[one], np.minimum(size[of_item[one]], window)
+        self.shortest = int(self.lengths.min()) if len(one) else 0
+        # the named items of each phrase, one after the other
+        known = sorted({n for n, _ in items if n is not None})
+        number = {n: i for i, n in enumerate(known)}
+        item = np.array([-1 if n is None else number[n] for n, _ in items], np.int64)[of_item]
+        pairs = np.unique(phrase[item >= 0] << 32 | item[item >= 0])
+        self.names, self.items = known, pairs & 0xFFFFFFFF
+        self.items_at = np.searchsorted(pairs >> 32, np.arange(len(one) + 1))
+
+    def symbol(self, phrase: np.ndarray, step: int) -> np.ndarray:
+        """The word that is `step` words before the end of each phrase (1: its last)."""
+        return self.words[self.starts[phrase] + self.lengths[phrase] - step].astype(np.int64)
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
@@ -133,9 +167,8 @@ class FMIndex:
         alive = np.arange(len(phrases.lengths))
         low, high = np.zeros(len(alive), np.int64), np.full(len(alive), self.size, np.int64)
         done: list[tuple] = []
-        window = phrases.symbols.shape[1]
-        for step in range(1, window + 1):
-            symbol = phrases.symbols[alive, window - step]
+        for step in range(1, phrases.window + 1):
+            symbol = phrases.symbol(alive, step)
             known = symbol < (1 << self.bits)
             alive, low, high, symbol = alive[known], low[known], high[known], symbol[known]
             low, high = self.first[symbol] + self.rank(symbol, low), self.first[symbol] + self.rank(symbol, high)
@@ -161,14 +194,12 @@ class FMIndex:
         return self.samples[self.sample_rank[row]] + steps
 
 
-def occurrences(phrases: Phrases, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def occurrences(phrases: Phrases, which: np.ndarray, words: pa.Array, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(word, phrase) of each place of the shard's words where a phrase begins."""
     none = np.empty(0, np.int64)
-    if not len(phrases.lengths) or not len(hashes):
+    if not len(phrases.lengths) or not len(which):
         return none, none
-    place = np.searchsorted(phrases.vocabulary, hashes)
-    place[place == len(phrases.vocabulary)] = 0
-    number = np.where(phrases.vocabulary[place] == hashes, place + 1, 0)
+    number = pc.fill_null(pc.index_in(words, value_set=phrases.vocabulary), -1).to_numpy().astype(np.int64)[which] + 1
     inside = number > 0
     breaks = np.ones(len(number), bool)
     breaks[1:] = ~inside[:-1]
@@ -181,23 +212,42 @@ def occurrences(phrases: Phrases, hashes: np.ndarray, at: np.ndarray) -> tuple[n
         return none, none
     size = stop - start + 1
     put = np.cumsum(size) - size
-    words = np.arange(size.sum()) - np.repeat(put - start, size)  # the word at each symbol
-    symbols = number[np.minimum(words, len(number) - 1)]
+    places = np.arange(size.sum()) - np.repeat(put - start, size)  # the word at each symbol
+    symbols = number[np.minimum(places, len(number) - 1)]
     symbols[put + size - 1] = 0
     index = FMIndex(symbols)
-    which, low, high = index.search(phrases)
-    if not len(which):
+    found, low, high = index.search(phrases)
+    if not len(found):
         return none, none
     count = high - low
     row = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    return words[index.locate(row)], np.repeat(which, count)
+    return places[index.locate(row)], np.repeat(found, count)
 
 
 _SPAN_LIST = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-_ADDED = ("n_words", "n_hit", "hit_spans", "items")
+_ADDED = ("n_words", "n_hit", "hit_spans", "items", "kept")
+
+
+def _earlier_hits(edge: np.ndarray, spans: pa.Array, at: np.ndarray) -> None:
+    """Adds the spans found by blocks before."""
+    number = np.repeat(np.arange(len(spans)), pc.list_value_length(spans).to_numpy())
+    flat = spans.flatten()
+    np.add.at(edge, at[number] + flat.field("start").to_numpy(), 1)
+    np.add.at(edge, at[number] + flat.field("end").to_numpy(), -1)
 
 
-def _scan(phrases: Phrases, at_text: int, again: bool, cut: bool):
+def _without(data: np.ndarray, offsets: np.ndarray, firsts: np.ndarray, lasts: np.ndarray, text: pa.Array) -> pa.Array:
+    """The texts without the bytes from each first up to its last; null stays null."""
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[firsts] += 1
+    edge[lasts] -= 1
+    stay = np.cumsum(edge[:-1], dtype=np.int8) == 0
+    left = np.r_[0, np.cumsum(stay)][offsets]
+    made = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(left.astype(np.int64)), pa.py_buffer(data[stay])).cast(pa.string())
+    return pc.if_else(text.is_valid(), made, pa.scalar(None, pa.string())) if text.null_count else made
+
+
+def _scan(phrases: Phrases, at_text: int, again: bool, cut: bool, names: list[str]):
     """Adds the hits of a block of phrases; again: to those of blocks before, in the last columns. cut:
     adds the text without its hit words too; what stands between two of them in one span goes with
     them."""
@@ -207,71 +257,69 @@ def _scan(phrases: Phrases, at_text: int, again: bool, cut: bool):
             for first, data, offsets in X.slices(batch.column(at_text), SHARD_BYTES):
                 rows = len(offsets) - 1
                 own = batch.slice(first, rows)
-                hashes, starts, ends, at = hashed_words(data, offsets)
-                word, phrase = occurrences(phrases, hashes, at)
-                edge = np.zeros(len(hashes) + 1, np.int64)
+                which, words, starts, ends, at = lowered_words(data, offsets)
+                word, phrase = occurrences(phrases, which, words, at)
+                edge = np.zeros(len(which) + 1, np.int64)
                 np.add.at(edge, word, 1)
                 np.add.at(edge, word + phrases.lengths[phrase], -1)
-                names: list[set] = [set() for _ in range(rows)]
+                found: list[set] = [set() for _ in range(rows)]
                 doc = np.searchsorted(at, word, side="right") - 1
                 for pair in np.unique((doc << 32) | phrase).tolist():
-                    names[pair >> 32].update(phrases.items[pair & 0xFFFFFFFF])
+                    p = pair & 0xFFFFFFFF
+                    found[pair >> 32].update(phrases.names[i] for i in phrases.items[phrases.items_at[p] : phrases.items_at[p + 1]].tolist())
                 carried = own.columns
                 if again:
-                    for r, (spans, found) in enumerate(zip(carried[-2].to_pylist(), carried[-1].to_pylist())):
-                        names[r].update(found)
-                        for s in spans:
-                            edge[at[r] + s["start"]] += 1
-                            edge[at[r] + s["end"]] -= 1
+                    _earlier_hits(edge, carried[-2], at)
+                    for r, before in enumerate(carried[-1].to_pylist()):
+                        found[r].update(before)
                     carried = carried[:-4]
                 hit = np.cumsum(edge[:-1]) > 0
                 total = np.r_[0, np.cumsum(hit)]
-                n_hit = total[at[1:]] - total[at[:-1]]
-                spans, kept = [[] for _ in range(rows)], carried[at_text].to_pylist() if cut else []
-                for r in np.flatnonzero(n_hit).tolist():
-                    edges = np.flatnonzero(np.diff(np.r_[0, hit[at[r] : at[r + 1]].astype(np.int8), 0])).reshape(-1, 2)
-                    spans[r] = [{"start": int(s), "end": int(e)} for s, e in edges]
-                    if cut:
-                        kept[r] = _without(data, int(offsets[r]), int(offsets[r + 1]), starts[at[r] + edges[:, 0]], ends[at[r] + edges[:, 1] - 1])
-                added = [pa.array(np.diff(at), pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, _SPAN_LIST), pa.array([sorted(x) for x in names], pa.list_(pa.string()))] + ([pa.array(kept, pa.string())] if cut else [])
-                yield pa.RecordBatch.from_arrays([*carried, *added], names=[*batch.schema.names[: len(carried)], *_ADDED, "kept"][: len(carried) + len(added)])
+                # a span begins at a hit word that none of its text comes before
+                before, after = np.r_[False, hit[:-1]], np.r_[hit[1:], False]
+                before[at[:-1][at[:-1] < len(hit)]] = False
+                after[at[1:][at[1:] > 0] - 1] = False
+                begin, end = np.flatnonzero(hit & ~before), np.flatnonzero(hit & ~after) + 1
+                of = np.searchsorted(at, begin, side="right") - 1
+                spans = pa.StructArray.from_arrays([pa.array(begin - at[of]), pa.array(end - at[of])], ["start", "end"])
+                spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(begin, at).astype(np.int32)), spans).cast(_SPAN_LIST)
+                added = [pa.array(np.diff(at), pa.int64()), pa.array(total[at[1:]] - total[at[:-1]], pa.int64()), spans, pa.array([sorted(x) for x in found], pa.list_(pa.string()))]
+                if cut:
+                    added.append(_without(data, offsets, starts[begin], ends[end - 1], own.column(at_text)))
+                yield pa.RecordBatch.from_arrays([*carried, *added], names=[*batch.schema.names[: len(carried)], *names[: len(added)]])
 
     return run
 
 
-def _without(data: np.ndarray, start: int, end: int, firsts: np.ndarray, lasts: np.ndarray) -> str:
-    """The text data[start:end] without the bytes from each first up to its last."""
-    left = []
-    for first, last in zip(firsts.tolist(), lasts.tolist()):
-        left.append(data[start:first].tobytes())
-        start = last
-    left.append(data[start:end].tobytes())
-    return b"".join(left).decode()
-
-
-def with_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, with_text: bool = False, block_bytes: int = 16 << 20, unnamed: bool = False) -> DataFrame:
+def with_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, with_text: bool = False, block_bytes: int = 4 << 20, unnamed: bool = False, names: tuple[str, ...] = _ADDED) -> DataFrame:
     """The rows of docs with all their columns and n_words, n_hit, hit_spans (of words, end exclusive,
     merged), items (ids as strings of the items with occurring windows, sorted) and, with_text, kept:
-    the text without the hit spans. With unnamed, items without an id
-    mark hits too and add nothing to items. Blocks of the benchmark follow each other in one pass."""
-    taken = {*_ADDED, "kept"} & set(docs.columns)
+    the text without the hit spans. names: other names for these five. With unnamed, items without an id
+    mark hits too and add nothing to items."""
+    names = list(names)
+    taken = {n.lower() for n in names} & {c.lower() for c in docs.columns}
     if taken:
         raise ValueError(f"docs has columns {sorted(taken)}; rename them")
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
     if not unnamed:
         items = items.where("item is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
-    at = docs.columns.index(text_col)
-    fields = [T.StructField(f.name, f.dataType, True) for f in docs.schema]
+    at = X.place_of(docs.columns, text_col)
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    fields += [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("hit_spans", T.ArrayType(span)), T.StructField("items", T.ArrayType(T.StringType()))]
-    out = docs
+    types = [T.LongType(), T.LongType(), T.ArrayType(span), T.ArrayType(T.StringType()), T.StringType()]
+    fields = [T.StructField(f.name, f.dataType, True) for f in docs.schema] + [T.StructField(n, t) for n, t in zip(names, types)]
+    spark, out = docs.sparkSession, docs
     for block in range(blocks):
         rows = items if blocks == 1 else items.where(F.pmod(F.xxhash64(F.coalesce("item", "text")), F.lit(blocks)) == block)
-        phrases = Phrases([tuple(r) for r in rows.collect()], window)
-        cut = with_text and block == blocks - 1
-        out = out.mapInArrow(_scan(phrases, at, block > 0, cut), T.StructType(fields + [T.StructField("kept", T.StringType())] * cut))
+        shared = spark.sparkContext.broadcast(Phrases([tuple(r) for r in rows.collect()], window))
+        last = block == blocks - 1
+        cut = with_text and last
+        run = lambda batches, shared=shared, again=block > 0, cut=cut: _scan(shared.value, at, again, cut, names)(batches)
+        out = out.mapInArrow(run, T.StructType(fields if cut else fields[:-1]))
+        if not last:
+            out = scratch(out)
+            shared.unpersist()
     return out
 
 
