@@ -1,28 +1,36 @@
 """Secret scans: base patterns, and a linear-chain conditional random field over tokens.
 
 The field tags each token as secret begin (B), inside (I) or outside (O). Its observations are the
-shape classes of the token and of its neighbours and two features of the file; its weights maximise
-the conditional likelihood of a bounded training set written by rule in this module (seeded, about
-`TRAINING_SEQUENCES` short sequences; no corpus row is read). Decoding is by Viterbi. A token whose
-outside score leads by more than any change of labels around it could win back is outside in every
-best labelling, which splits texts into short runs; only those are decoded, exactly.
-
-Base spans are whole matches of the patterns and always stay; spans of the field are added unless
-base spans cover them wholly, and so may overlap one that is a part of a longer secret. Offsets are code points, ends exclusive. One pass, no shuffle; the model is
-a few dozen numbers.
-
-Defined results: a null text counts as empty; texts without tokens have no spans; rows keep their
-order of ids but no other column unless asked for.
+shape of a token and of its neighbours, the token as a word (of a list of words that go with secrets,
+or with what looks like one) or its provider's prefix, the nearest words before and after, the place it
+has (value of an assignment to such a word, inside the quotes of one, beside one, user part of an
+address), and features of the file: how dense such words, assignments and quotes are, and the share of
+indented lines. Its weights maximise the conditional likelihood of a bounded training set: about
+`TRAINING_TEXTS` short texts written by rule in this module (seeded; no corpus row is read). Decoding
+is by Viterbi. A token whose outside score leads by more than any change of labels around it could win
+back is outside in every best labelling, which splits texts into short runs; only those are decoded,
+exactly.
+
+Base spans are whole matches of the patterns and always stay; spans of the field are added unless base
+spans cover them wholly, and so may overlap one that is a part of a longer secret. Offsets are code
+points, ends exclusive. One pass, no shuffle, linear in the text and its spans; the model is a few
+thousand numbers.
+
+Defined results: a null text counts as empty (its redacted text is null); texts without tokens have no
+spans; every row is scanned by itself, so repeated rows have the same spans; rows keep all their columns.
 """
 
 from __future__ import annotations
 
+import random
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, types as T
 
 from . import _text as X
 
@@ -32,12 +40,23 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(rb"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "crf")
 
-SHAPES = ("edge", "word", "key", "assign", "quote", "mark", "number", "hex24", "hex12", "access", "mixed20", "mixed8", "path", "letters24", "capitals", "prefixed")
+SHAPES = ("edge", "word", "key", "assign", "quote", "mark", "number", "hex24", "hex12", "access", "mixed20", "mixed8", "path", "letters24", "capitals", "prefixed", "uuid", "slashes", "code")
 _SHAPE = {s: i for i, s in enumerate(SHAPES)}
 O, B, I = range(3)
-TRAINING_SEQUENCES = 1200
-_KEY = re.compile(rb"(?i)passw|secret|token|api_?key|credential|auth|pwd")
-_PREFIXED = re.compile(rb"(?:gh[pousr]_|sk-|pk_|xox[abprs]-|glpat-|npm_|AIza|eyJ)[A-Za-z0-9_.-]{12,}$")
+TRAINING_TEXTS = 1500
+#: Words that stand beside secrets, and beside what looks like one but is none; fixed values.
+CUES = ("password", "passwd", "passphrase", "passcode", "pwd", "secret", "token", "apikey", "api_key", "api-key", "credential", "bearer", "authorization", "auth", "private", "access", "signature", "login", "pin", "key")
+OTHERS = ("is", "was", "user", "username", "commit", "sha", "sha1", "sha256", "md5", "hash", "checksum", "uuid", "guid", "id", "version", "build", "order", "serial", "isbn", "model", "revision", "release", "ticket", "invoice", "https", "http", "reset", "policy", "count", "length", "limit", "expired", "invalid", "name")
+_WORDS = {w: i + 1 for i, w in enumerate(CUES + OTHERS)}
+#: What the keys of some providers begin with; fixed values.
+PREFIXES = ("ghp_", "gho_", "ghs_", "sk-", "sk_", "pk_", "xoxb-", "xoxp-", "glpat-", "npm_", "AIza", "eyJ", "hf_", "SG.", "shpat_")
+_CUE_IN = re.compile(rb"(?i)passw|passphrase|passcode|pwd|secret|token|api[_-]?key|credential|bearer|authorization|_auth|_key$|^key$|^pin$|login")
+_PREFIXED = re.compile(rb"(?:" + b"|".join(re.escape(p.encode()) for p in PREFIXES) + rb"|[a-z]{2,6}[_-](?:[a-z]{2,4}[0-9]?[_-])?)(?=[A-Za-z0-9_.-]{12,}$)(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9_.-]*[A-Za-z0-9]{12,}[A-Za-z0-9_.-]*$")
+_UUID = re.compile(rb"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}$")
+#: Places: none, the value of a cue, in its quotes, after "is" or "was", beside a cue, user part.
+NOWHERE, VALUE, IN_QUOTES, SAID, BESIDE, USER_PART = range(6)
+_REACH = 8
+FILE_FEATURES = 4
 _CACHED = 200_000
 
 _CLASS = np.zeros(256, np.uint8)  # 0 space, 1 token characters, 2 = and :, 3 quotes, 4 other marks
@@ -62,12 +81,17 @@ def shape_of(token: bytes) -> int:
         return _SHAPE["quote"]
     if first == 4:
         return _SHAPE["mark"]
+    token = token.rstrip(b".") or token
     n = len(token)
     digits = sum(48 <= c <= 57 for c in token)
     upper = sum(65 <= c <= 90 for c in token)
     lower = sum(97 <= c <= 122 for c in token)
     high = sum(c >= 128 for c in token)
-    if _PREFIXED.match(token):
+    if token[:2] == b"//":
+        return _SHAPE["slashes"]
+    if n == 36 and _UUID.match(token):
+        return _SHAPE["uuid"]
+    if n >= 15 and not high and _PREFIXED.match(token):
         return _SHAPE["prefixed"]
     if token.startswith(b"AKIA") and n >= 16 and digits + upper == n:
         return _SHAPE["access"]
@@ -75,7 +99,7 @@ def shape_of(token: bytes) -> int:
         return _SHAPE["number"]
     if not high and digits >= 2 and all(48 <= c <= 57 or 97 <= c <= 102 for c in token) and n >= 12:
         return _SHAPE["hex24"] if n >= 24 else _SHAPE["hex12"]
-    if _KEY.search(token) and n <= 24:
+    if n <= 32 and not high and _CUE_IN.search(token):
         return _SHAPE["key"]
     if n >= 20 and not high and digits >= 3 and lower + upper >= 3 and b"." not in token.strip(b"."):
         return _SHAPE["mixed20"]
@@ -87,62 +111,180 @@ def shape_of(token: bytes) -> int:
         return _SHAPE["letters24"]
     if upper == n and n > 1:
         return _SHAPE["capitals"]
+    if n >= 6 and digits and lower + upper and not high:
+        return _SHAPE["code"]
     return _SHAPE["word"]
 
 
-def _training(seed: int = 11) -> list[tuple[list[int], list[int], list[float]]]:
-    """Sequences of shapes, labels and file features, by rule."""
-    pick = np.random.default_rng(seed)
-    s = _SHAPE
-    values = ("hex24", "hex12", "access", "mixed20", "mixed8", "prefixed", "letters24")
-    loose = ("hex24", "access", "mixed20", "prefixed")
+def word_of(token: bytes) -> int:
+    """The number of the token as one of the listed words, or of its prefix; 0 for others."""
+    if len(token) > 32:
+        low = ""
+    else:
+        low = token.decode(errors="replace").lower().strip("._-/+")
+    if low in _WORDS:
+        return _WORDS[low]
+    for i, p in enumerate(PREFIXES):
+        if token.startswith(p.encode()):
+            return 1 + len(_WORDS) + i
+    if low and _CUE_IN.search(token):
+        return next((_WORDS[w] for w in CUES[:-1] if w in low), _WORDS["key"])
+    return 0
+
+
+_N_WORDS = 1 + len(_WORDS) + len(PREFIXES)
+_N_CUES = len(CUES)
+
+
+def _training(seed: int = 11) -> list[tuple[bytes, list[tuple[int, int]]]]:
+    """Texts and the byte spans of their secrets, by rule."""
+    pick = random.Random(seed)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    some = lambda letters, a, b: "".join(pick.choices(letters, k=pick.randint(a, b)))
+    syllables = [c + v for c in "bdfgklmnprstvz" for v in "aeiou"]
+    word = lambda: "".join(pick.choices(syllables, k=pick.randint(1, 4))) + pick.choice(["", "n", "s", "r"])
+
+    def prose(n):
+        out = []
+        for _ in range(n):
+            w = pick.random()
+            out.append(word() if w < 0.9 else word().capitalize() if w < 0.94 else some(digits, 1, 5) if w < 0.97 else pick.choice(["the", "is", "key", "user", "token", "login", "id", "was", "secret", "access"]))
+            if pick.random() < 0.1:
+                out[-1] += pick.choice([".", ",", ":", ";", "!", "?"])
+        return " ".join(out)
+
+    def mixed(a, b):  # letters of both cases and digits
+        return pick.choice(upper) + some(lower + upper + digits, a, b) + pick.choice(digits) + pick.choice(lower) + pick.choice(digits)
+
+    def value():
+        return pick.choice([lambda: mixed(6, 30), lambda: some(lower + digits, 6, 12) + pick.choice(digits) + some(lower, 1, 4), lambda: some("abcdef" + digits, 16, 64), lambda: word() + some(digits, 2, 4), lambda: mixed(10, 20) + "=" * pick.randint(1, 2), lambda: mixed(4, 9) + pick.choice("/+") + mixed(8, 20), lambda: some(lower + upper, 26, 40), provider])()
+
+    def provider():
+        return pick.choice(PREFIXES[:-2] + (some(lower, 2, 5) + "_",)) + mixed(14, 36)
+
+    def uuid():
+        return "-".join(some("abcdef" + digits, n, n) for n in (8, 4, 4, 4, 12))
+
+    cue = lambda: pick.choice([pick.choice(CUES[:11]), pick.choice(["db_pwd", "my_password", "SECRET_KEY", "auth_token", "client_secret", "ACCESS_TOKEN", "DB_PASSWORD", "passphrase"])])
+    assign = lambda: pick.choice([" = ", "=", ": ", ":", " := "])
+
+    def positive():
+        k, v = pick.randrange(10), value()
+        if k < 4:
+            q = pick.choice(["", "", '"', "'"])
+            key = pick.choice(["{}", '"{}"']).format(cue())
+            return key + assign() + q, v, q
+        if k == 4:
+            return f"{pick.choice(['the', 'my', 'your'])} {pick.choice(['password', 'passcode', 'pwd', 'token', 'login', 'secret'])} {pick.choice(['is', 'was'])} ", mixed(4, 16), ""
+        if k == 5:
+            return f"{word()}{pick.choice(['://', 'ql://', 's://'])}{word()}:", pick.choice([mixed(3, 12), word() + some(digits, 1, 4), word(), some(lower, 8, 14)]), f"@{word()}.{word()}{pick.choice(['', '/' + word(), ':' + some(digits, 4, 4)])}"
+        if k == 6:
+            joined = pick.choice(["-", " "])
+            q = pick.choice(['"', "'"]) if joined == " " else pick.choice(["", '"'])
+            return f"{pick.choice(['passphrase', 'my_passphrase', 'password', 'PASSPHRASE'])}{assign()}{q}", joined.join(word() for _ in range(pick.randint(3, 5))), q
+        if k == 7:
+            return pick.choice(["Authorization: Bearer ", "Bearer ", "bearer ", "Authorization: Basic "]), mixed(16, 40), ""
+        if k == 8:
+            return pick.choice(["credentials: ", "login: ", "credential ", "api key ", "access key "]), pick.choice([mixed(8, 20), provider()]), ""
+        return "", provider(), ""
+
+    def negative():
+        return pick.choice([
+            lambda: f"{pick.choice(['commit', 'revision', 'build', 'sha', 'release'])}{pick.choice([' ', ': '])}{some('abcdef' + digits, 7, 14)}", uuid, lambda: f"{pick.choice(['id', 'uuid', 'guid', 'order', 'token id', 'key'])}{pick.choice([' ', ': ', '='])}{uuid()}",
+            lambda: f"{pick.choice(['order', 'serial', 'invoice', 'ticket', 'isbn', 'model'])} {some(upper, 2, 3)}-{some(digits, 4, 9)}", lambda: f"version {some(digits, 1, 2)}.{some(digits, 1, 2)}", lambda: f"https://{word()}.{word()}/{word()}/{some(lower + digits, 4, 12)}",
+            lambda: f"http://{word()}:{some(digits, 4, 4)}/{word()}", lambda: f"{word()}@{word()}.com", lambda: f"the {pick.choice(['password', 'token', 'secret', 'key', 'login'])} {pick.choice(['reset', 'policy', 'expired', 'of', 'and', 'was', 'is'])} {word()}", lambda: f"{pick.choice(['token', 'key', 'secret', 'pin'])}: {word()} {word()}",
+            lambda: f"{word()}: {word()}", lambda: f"{word()} = {some(digits, 1, 6)}", lambda: f"{cue()} {pick.choice(['count', 'length', 'limit'])} = {some(digits, 1, 5)}", lambda: f"{word()}{some(digits, 1, 4)} {some(upper, 2, 5)}{some(digits, 1, 4)}", lambda: f"/{word()}/{word()}_{some(digits, 1, 3)}.{word()}", lambda: f'{word()}="{word()} {word()}"',
+            lambda: some(lower, 20, 30), lambda: f"{word()}-{word()}-{word()}", lambda: f"{pick.choice(['md5', 'sha256', 'checksum', 'hash'])}{pick.choice([' ', ': ', '='])}{some('abcdef' + digits, 12, 23)}", lambda: f"{word()}_{word()}_{some(digits, 1, 6)}",
+        ])()
+
     out = []
-    for _ in range(TRAINING_SEQUENCES):
-        shapes, labels = [], []
-
-        def put(shape: str, label: int = O) -> None:
-            shapes.append(s[shape])
-            labels.append(label)
-
-        def plain(n: int) -> None:
-            for _ in range(n):
-                put(pick.choice(["word", "capitals", "number", "path", "mark", "key", "mixed8", "quote", "assign"], p=[0.8, 0.03, 0.04, 0.02, 0.04, 0.02, 0.01, 0.02, 0.02]))
-
-        plain(int(pick.integers(0, 8)))
-        kind = pick.random()
-        if kind < 0.4:
-            put("key")
-            if pick.random() < 0.2:
-                put("quote")
-            put("assign")
-            quoted = pick.random() < 0.5
-            if quoted:
-                put("quote")
-            put(str(pick.choice(values)), B)
-            if pick.random() < 0.1:  # padding of an encoding
-                put("assign", I)
-            if quoted:
-                put("quote")
-        elif kind < 0.6:
-            put(str(pick.choice(loose)), B)
-        elif kind < 0.7:  # a short code or a plain word after a key is none
-            put("key")
+    for _ in range(TRAINING_TEXTS):
+        text, spans = prose(pick.randint(0, 7)), []
+        for _ in range(pick.randint(1, 3)):
+            text += pick.choice([" ", " ", "\n", "\n    ", ". "]) if text else ""
             if pick.random() < 0.5:
-                put("assign")
-            put(str(pick.choice(["word", "number", "word", "path"])))
-        elif kind < 0.8:
-            put(str(pick.choice(["hex12", "letters24", "mixed8"])))
-        plain(int(pick.integers(0, 8)))
-        has_key = float(s["key"] in shapes)
-        out.append((shapes, labels, [has_key, float(pick.random() < 0.2)]))
+                before, secret, after = positive()
+                start = len(text) + len(before)
+                text += before + secret + after
+                spans.append((start, start + len(secret)))
+            else:
+                text += negative()
+            text += pick.choice([" ", "\n", ", "]) + prose(pick.randint(0, 6))
+        out.append((text.encode(), spans))
     return out
 
 
+#: Of each token: shape, before, after, word, word before, word after, place, shape at its place, length.
+_SIZES = (len(SHAPES),) * 3 + (_N_WORDS,) * 3 + (6, 6 * len(SHAPES), 6)
+
+
+def _shifted(x: np.ndarray, by: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Of each token what x has `by` tokens later; 0 beyond the text. first, last: each token's text."""
+    at = np.arange(len(x)) + by
+    inside = (at >= first) & (at < last)
+    return np.where(inside, x[np.clip(at, 0, max(len(x) - 1, 0))], 0)
+
+
+def observations(shapes: np.ndarray, words: np.ndarray, sizes: np.ndarray, at: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """A row of feature numbers per token. at: first token of each text and one more; marks: the first
+    byte of each token."""
+    n = len(shapes)
+    count = np.diff(at)
+    first, last = np.repeat(at[:-1], count), np.repeat(at[1:], count)
+    s = _SHAPE
+    passing = (shapes == s["assign"]) | (shapes == s["quote"]) | (shapes == s["mark"])
+
+    def nearest(step):
+        out, done = np.zeros(n, np.int64), np.zeros(n, bool)
+        for k in (1, 2, 3):
+            w, p = _shifted(words, k * step, first, last), _shifted(passing.astype(np.int8), k * step, first, last)
+            out = np.where(done, out, w)
+            done |= p == 0
+        return out
+
+    place = np.zeros(n, np.int64)
+    cues = np.flatnonzero((shapes == s["key"]) | ((words > 0) & (words <= _N_CUES)))
+    said = (_WORDS["is"], _WORDS["was"])
+    is_, was = said
+    for i in cues.tolist():
+        end, j = int(last[i]), i + 1
+        if j < end and shapes[j] == s["quote"]:
+            j += 1
+        if j >= end:
+            continue
+        if shapes[j] == s["assign"]:
+            j += 1
+            if j < end and shapes[j] == s["quote"]:
+                close = marks[j]
+                j += 1
+                for t in range(j, min(end, j + _REACH)):
+                    if shapes[t] == s["quote"] and marks[t] == close:
+                        break
+                    place[t] = IN_QUOTES
+            elif j < end:
+                place[j] = VALUE
+        elif j == i + 1:
+            if words[j] in (is_, was) and j + 1 < end:
+                place[j + 1] = SAID
+            elif place[j] == NOWHERE:
+                place[j] = BESIDE
+    for i in np.flatnonzero(shapes == s["slashes"]).tolist():
+        if i + 3 < last[i] and i > first[i] and shapes[i - 1] == s["assign"] and shapes[i + 1] == s["assign"]:
+            t = i + 2
+            while t < min(int(last[i]), i + 2 + _REACH) and shapes[t] not in (s["mark"], s["assign"], s["quote"]):
+                t += 1
+            if t < last[i] and marks[t] == 0x40:
+                place[i + 2 : t] = USER_PART
+    length = np.minimum(np.log2(np.maximum(sizes, 1)).astype(np.int64), 5)
+    columns = [shapes, _shifted(shapes, -1, first, last), _shifted(shapes, 1, first, last), words, nearest(-1), nearest(1), place, place * len(SHAPES) + shapes, length]
+    return np.stack(columns, axis=1) + np.r_[0, np.cumsum(_SIZES)[:-1]]
+
+
 class Field:
-    """Weights of a trained field: one row of three label scores per observation."""
+    """Weights of a trained field: three label scores per observation, and the moves between labels."""
 
-    def __init__(self, own: np.ndarray, before: np.ndarray, after: np.ndarray, file: np.ndarray, moves: np.ndarray):
-        self.own, self.before, self.after, self.file, self.moves = own, before, after, file, moves
+    def __init__(self, own: np.ndarray, file: np.ndarray, moves: np.ndarray):
+        self.own, self.file, self.moves = own, file, moves
         self._bounds()
 
     def _bounds(self) -> None:
@@ -161,15 +303,16 @@ class Field:
         inside[:-1] = (emissions[:, I] - emissions[:, B])[1:]
         return (lead > self.margin_last) & (lead > self.margin_middle + inside)
 
-    def emissions(self, shapes: np.ndarray, first: np.ndarray, file: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """Label scores of all tokens; first marks each text's first token, file has a row per text."""
-        previous = np.r_[0, shapes[:-1]]
-        previous[first] = 0
-        following = np.r_[shapes[1:], 0]
-        following[first[1:] - 1] = 0
-        if len(shapes):
-            following[-1] = 0
-        return self.own[shapes] + self.before[previous] + self.after[following] + (file @ self.file)[row]
+    def _with(self, own: np.ndarray, file: np.ndarray) -> "Field":
+        self.own, self.file = own, file
+        return self
+
+    def emissions(self, observed: np.ndarray, file: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Label scores of all tokens; file has a row per text."""
+        out = (file @ self.file)[row]
+        for column in observed.T:
+            out += self.own[column]
+        return out
 
     def viterbi(self, emissions: np.ndarray, starts: bool, ends: bool) -> list[int]:
         """The best labels of a run; its neighbours, if any, are outside."""
@@ -189,51 +332,61 @@ class Field:
 
 
 @lru_cache(maxsize=1)
-def trained_field(steps: int = 120, rate: float = 0.5, ridge: float = 1e-3) -> Field:
+def trained_field(steps: int = 90, rate: float = 0.4, ridge: float = 3e-4) -> Field:
     """Maximum conditional likelihood by accelerated gradient steps over the padded training set."""
     data = _training()
-    n, longest, k = len(data), max(len(x[0]) for x in data), len(SHAPES)
-    shapes, labels, mask = np.zeros((n, longest + 2), int), np.zeros((n, longest), int), np.zeros((n, longest), bool)
-    for i, (x, y, _) in enumerate(data):
-        shapes[i, 1 : len(x) + 1], labels[i, : len(y)], mask[i, : len(y)] = x, y, True
-    file = np.array([x[2] for x in data])
-    sizes = [k * 3] * 3 + [file.shape[1] * 3, 9]
-    cuts = np.cumsum(sizes)[:-1]
-    one = np.eye(3)
-    shown = np.eye(k)[shapes]
-    seen = (one[labels[:, :-1]][:, :, :, None] * one[labels[:, 1:]][:, :, None, :] * mask[:, 1:, None, None]).sum(axis=(0, 1))
+    raw, offsets = X.text_buffer(pa.array([t for t, _ in data], pa.binary()))
+    starts, ends, at, observed, file, _ = Scanner(None).observe(raw, offsets)
+    n, longest = len(data), int(np.diff(at).max())
+    row = np.repeat(np.arange(n), np.diff(at))
+    column = np.arange(len(row)) - at[row]
+    labels = np.zeros(len(row), np.int64)
+    for r, (_, spans) in enumerate(data):
+        for a, b in spans:
+            inside = np.flatnonzero((starts[at[r] : at[r + 1]] < offsets[r] + b) & (ends[at[r] : at[r + 1]] > offsets[r] + a)) + at[r]
+            labels[inside] = I
+            labels[inside[:1]] = B
+    one, k = np.eye(3), sum(_SIZES)
+    mask = np.zeros((n, longest), bool)
+    mask[row, column] = True
+    both = mask[:, 1:]
+    padded = np.zeros((n, longest), np.int64)
+    padded[row, column] = labels
+    seen = (one[padded[:, :-1]][:, :, :, None] * one[padded[:, 1:]][:, :, None, :] * both[:, :, None, None]).sum(axis=(0, 1))
 
     def parts(w):
-        a, b, c, f, m = np.split(w, cuts)
-        m = m.reshape(3, 3).copy()
+        m = w[-9:].reshape(3, 3).copy()
         m[O, I] = -1e4
-        return a.reshape(k, 3), b.reshape(k, 3), c.reshape(k, 3), f.reshape(-1, 3), m
+        return w[: 3 * k].reshape(k, 3), w[3 * k : -9].reshape(-1, 3), m
 
     def soft(x, axis):
         top = x.max(axis=axis, keepdims=True)
         return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
 
     def gradient(w):
-        a, b, c, f, m = parts(w)
-        e = a[shapes[:, 1:-1]] + b[shapes[:, :-2]] + c[shapes[:, 2:]] + (file @ f)[:, None]
+        own, f, m = parts(w)
+        e = np.zeros((n, longest, 3))
+        e[row, column] = Field.emissions(Field.__new__(Field)._with(own, f), observed, file, row)
         alpha, beta = np.zeros((longest, n, 3)), np.zeros((longest, n, 3))
         alpha[0] = e[:, 0] + np.array([0, 0, -1e4])
         for t in range(1, longest):
-            step = soft(alpha[t - 1][:, :, None] + m, 1) + e[:, t]
-            alpha[t] = np.where(mask[:, t, None], step, alpha[t - 1])
+            alpha[t] = np.where(mask[:, t, None], soft(alpha[t - 1][:, :, None] + m, 1) + e[:, t], alpha[t - 1])
         for t in range(longest - 2, -1, -1):
-            step = soft(m + (e[:, t + 1] + beta[t + 1])[:, None, :], 2)
-            beta[t] = np.where(mask[:, t + 1, None], step, beta[t + 1])
+            beta[t] = np.where(mask[:, t + 1, None], soft(m + (e[:, t + 1] + beta[t + 1])[:, None, :], 2), beta[t + 1])
         total = soft(alpha[-1], 1)
-        d = (one[labels] - np.exp((alpha + beta).transpose(1, 0, 2) - total[:, None, None])) * mask[:, :, None]
-        flat = d.reshape(-1, 3)
-        g = [shown[:, a : a + longest].reshape(-1, k).T @ flat for a in (1, 0, 2)] + [file.T @ d.sum(axis=1)]
+        d = one[labels] - np.exp((alpha + beta)[column, row] - total[row, None])
+        g = np.zeros((k, 3))
+        for c in observed.T:
+            for label in range(3):
+                g[:, label] += np.bincount(c, weights=d[:, label], minlength=k)
+        texts = np.zeros((n, 3))
+        np.add.at(texts, row, d)
         pair = np.exp(alpha[:-1].transpose(1, 0, 2)[:, :, :, None] + m + (e[:, 1:] + beta[1:].transpose(1, 0, 2))[:, :, None, :] - total[:, None, None, None])
-        g.append(seen - (pair * mask[:, 1:, None, None]).sum(axis=(0, 1)))
-        g[4][O, I] = 0
-        return np.concatenate([x.ravel() for x in g]) / n * 10 - ridge * w
+        moves = seen - (pair * both[:, :, None, None]).sum(axis=(0, 1))
+        moves[O, I] = 0
+        return np.concatenate([x.ravel() for x in (g, file.T @ texts, moves)]) / n * 4 - ridge * w
 
-    w = np.zeros(sum(sizes))
+    w = np.zeros(3 * k + 3 * FILE_FEATURES + 9)
     look, last = w.copy(), w.copy()
     for i in range(steps):
         w = look + rate * gradient(look)
@@ -242,33 +395,41 @@ def trained_field(steps: int = 120, rate: float = 0.5, ridge: float = 1e-3) -> F
     return Field(*parts(w))
 
 
-def _covered(start: int, end: int, spans) -> bool:
-    """Do the spans, sorted by start, hold all of [start, end) between them?"""
+def _union(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the runs that spans, sorted by start, make where they meet."""
+    starts, ends = [], []
     for a, b in spans:
-        if a > start:
-            break
-        start = max(start, b)
-        if start >= end:
-            return True
-    return False
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def _covered(start: int, end: int, union: tuple[list[int], list[int]]) -> bool:
+    """Does one of the runs hold all of [start, end)?"""
+    i = bisect_right(union[0], start) - 1
+    return i >= 0 and end <= union[1][i]
 
 
 class Scanner:
     def __init__(self, field: Field):
         self.field = field
-        self.known: dict[bytes, int] = {}
+        self.known: dict[bytes, tuple[int, int]] = {}
 
-    def _shapes(self, tokens: list[bytes]) -> np.ndarray:
+    def _kinds(self, tokens: list[bytes]) -> np.ndarray:
+        """Shape and word of each token."""
         if len(self.known) > _CACHED:
             self.known.clear()
         known = self.known
-        found = [known.get(t, -1) for t in tokens]
-        for i, shape in enumerate(found):
-            if shape < 0:
-                found[i] = shape_of(tokens[i])
+        found = [known.get(t) for t in tokens]
+        for i, kind in enumerate(found):
+            if kind is None:
+                found[i] = (shape_of(tokens[i]), word_of(tokens[i]))
                 if len(tokens[i]) <= 48:
                     known[tokens[i]] = found[i]
-        return np.array(found, np.int64)
+        return np.array(found, np.int64).reshape(-1, 2)
 
     def _tokens(self, data: np.ndarray, offsets: np.ndarray):
         kind = _CLASS[data]
@@ -281,18 +442,34 @@ class Scanner:
         starts, ends = starts[real], ends[real]
         return starts, ends, np.searchsorted(starts, offsets)
 
+    def observe(self, data: np.ndarray, offsets: np.ndarray):
+        """Tokens (starts, ends, first of each text), their observations, those of the texts, and each
+        token's text."""
+        starts, ends, at = self._tokens(data, offsets)
+        which, tokens = X.distinct(data, starts, ends)
+        kinds = self._kinds(tokens.to_pylist())[which]
+        shapes, words = kinds[:, 0], kinds[:, 1]
+        row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        n, count = len(at) - 1, np.maximum(np.diff(at), 1)
+        lines = np.flatnonzero(data == 0x0A)
+        lines = lines[lines + 1 < len(data)]
+        of = np.searchsorted(offsets, lines, side="right") - 1
+        share = lambda rows, weights=None: np.bincount(rows, weights=weights, minlength=n)
+        s = _SHAPE
+        indented = share(of, np.isin(data[lines + 1], (0x20, 0x09)).astype(float)) / np.maximum(share(of), 1)
+        file = np.stack([
+            np.minimum(share(row, shapes == s["key"]) / count * 10, 1), np.minimum(share(row, shapes == s["assign"]) / count * 5, 1), np.minimum(share(row, shapes == s["quote"]) / count * 5, 1), indented,
+        ], axis=1)
+        return starts, ends, at, observations(shapes, words, ends - starts, at, data[starts]), file, row
+
     def field_spans(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
         """(text, start byte, end byte) of the field's spans in a slice."""
-        starts, ends, at = self._tokens(data, offsets)
+        if not len(data):
+            return []
+        starts, ends, at, observed, file, row = self.observe(data, offsets)
         if not len(starts):
             return []
-        which, tokens = X.distinct(data, starts, ends)
-        shapes = self._shapes(tokens.to_pylist())[which]
-        row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-        first = np.unique(at[:-1][at[:-1] < at[1:]])
-        counts = np.maximum(np.diff(at), 1)
-        file = np.c_[np.bincount(row, weights=shapes == _SHAPE["key"], minlength=len(counts)) > 0, np.bincount(row, weights=(shapes == _SHAPE["assign"]) | (shapes == _SHAPE["mark"]), minlength=len(counts)) / counts > 0.15].astype(float)
-        e = self.field.emissions(shapes, first, file, row)
+        e = self.field.emissions(observed, file, row)
         at_open = np.flatnonzero(~self.field.surely_outside(e))
         if not len(at_open):
             return []
@@ -312,7 +489,10 @@ class Scanner:
                     j = i + 1
                     while j < len(labels) and labels[j] == I:
                         j += 1
-                    out.append((r, int(starts[a + i]), int(ends[a + j - 1])))
+                    begin, end = int(starts[a + i]), int(ends[a + j - 1])
+                    while end - begin > 1 and data[end - 1] == 0x2E:  # a full stop ends the sentence
+                        end -= 1
+                    out.append((r, begin, end))
                     i = j
                 else:
                     i += 1
@@ -348,51 +528,76 @@ class Scanner:
         out += [(int(r), 2, int(s), int(t)) for r, s, t in zip(np.searchsorted(offsets, starts, side="right") - 1, starts, ends)]
         return sorted(out, key=lambda s: (s[0], s[2], s[1]))
 
-    def spans(self, data: np.ndarray, offsets: np.ndarray) -> list[list[tuple[int, int, int]]]:
-        """Per text the (kind, start, end) of all spans by start, in code points."""
+    def byte_spans(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(text, kind, start byte, end byte) of all spans, by text and start."""
         base = self.base_spans(data, offsets)
         taken: dict[int, list] = {}
         for r, _, a, b in base:
             taken.setdefault(r, []).append((a, b))
-        added = [(r, 3, a, b) for r, a, b in self.field_spans(data, offsets) if not _covered(a, b, taken.get(r, ()))]
-        out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(offsets) - 1)]
-        points: dict[int, np.ndarray] = {}
-        for r, kind, a, b in sorted(base + added, key=lambda s: (s[0], s[2], s[1])):
-            if r not in points:
-                points[r] = np.r_[0, np.cumsum((data[offsets[r] : offsets[r + 1]] & 0xC0) != 0x80)]
-            p = points[r]
-            out[r].append((kind, int(p[a - offsets[r]]), int(p[b - offsets[r]])))
-        return out
+        runs = {r: _union(spans) for r, spans in taken.items()}
+        added = [(r, 3, a, b) for r, a, b in self.field_spans(data, offsets) if r not in runs or not _covered(a, b, runs[r])]
+        return sorted(base + added, key=lambda s: (s[0], s[2], s[1]))
+
+    def spans(self, data: np.ndarray, offsets: np.ndarray) -> list[list[tuple[int, int, int]]]:
+        """Per text the (kind, start, end) of all spans by start, in code points."""
+        return _in_code_points(self.byte_spans(data, offsets), data, offsets)
+
+
+def _in_code_points(spans, data: np.ndarray, offsets: np.ndarray) -> list[list[tuple[int, int, int]]]:
+    out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(offsets) - 1)]
+    at, points = -1, None
+    for r, kind, a, b in spans:
+        if r != at:
+            at, points = r, np.r_[0, np.cumsum((data[offsets[r] : offsets[r + 1]] & 0xC0) != 0x80)]
+        out[r].append((kind, int(points[a - offsets[r]]), int(points[b - offsets[r]])))
+    return out
+
+
+def _redacted(spans, data: np.ndarray, offsets: np.ndarray, mark: bytes, text: pa.Array) -> pa.Array:
+    """The texts with each run of overlapping spans replaced by the mark; null stays null."""
+    left, at, longer = [], 0, np.zeros(len(offsets) - 1, np.int64)
+    runs: list[list[int]] = []
+    for r, _, a, b in spans:
+        if runs and runs[-1][0] == r and a < runs[-1][2]:
+            runs[-1][2] = max(runs[-1][2], b)
+        else:
+            runs.append([r, a, b])
+    raw = data.tobytes()
+    for r, a, b in runs:
+        left += (raw[at:a], mark)
+        at = b
+        longer[r] += len(mark) - (b - a)
+    left.append(raw[at:])
+    ends = offsets + np.r_[0, np.cumsum(longer)]
+    made = pa.LargeStringArray.from_buffers(len(longer), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(b"".join(left))).cast(pa.string())
+    return pc.if_else(text.is_valid(), made, pa.scalar(None, pa.string())) if text.null_count else made
 
 
-_SPANS = "array<struct<kind: string, start: long, end: long>>"
 _ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def with_secrets(docs: DataFrame, text_col: str = "text", spans_col: str = "secret_spans") -> DataFrame:
+def with_secrets(docs: DataFrame, text_col: str = "text", spans_col: str = "secret_spans", redacted_col: str | None = None, mark: str = "[SECRET]") -> DataFrame:
     """The rows of docs with all their columns and their spans: kind (assign, access, hex, crf), start
-    and end in code points, by start."""
-    if spans_col in docs.columns:
-        raise ValueError(f"docs has a column {spans_col}; name another")
+    and end in code points, by start; and with redacted_col the text with each run of overlapping spans
+    replaced by the mark."""
+    added = [spans_col] + ([redacted_col] if redacted_col else [])
+    taken = {c.lower() for c in docs.columns} & {c.lower() for c in added}
+    if taken:
+        raise ValueError(f"docs has columns {sorted(taken)}; name others")
     at = X.place_of(docs.columns, text_col)
     field = trained_field()
 
     def run(batches):
         scanner = Scanner(field)
         for batch in batches:
-            found = [s for _, data, offsets in X.slices(batch.column(at)) for s in scanner.spans(data, offsets)]
-            spans = pa.array([[{"kind": KINDS[k], "start": a, "end": b} for k, a, b in row] for row in found], _ARROW_SPANS)
-            yield pa.RecordBatch.from_arrays([*batch.columns, spans], names=[*batch.schema.names, spans_col])
+            for first, data, offsets in X.slices(batch.column(at)):
+                own = batch.slice(first, len(offsets) - 1)
+                found = scanner.byte_spans(data, offsets)
+                columns = [pa.array([[{"kind": KINDS[k], "start": a, "end": b} for k, a, b in row] for row in _in_code_points(found, data, offsets)], _ARROW_SPANS)]
+                if redacted_col:
+                    columns.append(_redacted(found, data, offsets, mark.encode(), own.column(at)))
+                yield pa.RecordBatch.from_arrays([*own.columns, *columns], names=[*batch.schema.names, *added])
 
     spans_type = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema] + [T.StructField(spans_col, spans_type)])
-    return docs.mapInArrow(run, schema)
-
-
-def redacted(text, spans, mark: str = "[SECRET]"):
-    """The text column with each run of overlapping spans replaced by the mark."""
-    empty = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    step = lambda a, s: F.when(s["start"] >= a["at"], F.struct(F.concat(a["out"], F.substring(text, a["at"].cast("int") + 1, (s["start"] - a["at"]).cast("int")), F.lit(mark)).alias("out"), s["end"].alias("at"))).otherwise(F.struct(a["out"].alias("out"), F.greatest(a["at"], s["end"]).alias("at")))
-    done = F.aggregate(spans, empty, step)
-    rest = F.concat(done["out"], F.substring(text, done["at"].cast("int") + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, rest).otherwise(text)
+    types = [T.StructField(spans_col, spans_type)] + ([T.StructField(redacted_col, T.StringType())] if redacted_col else [])
+    return docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema] + types))

@@ -1,18 +1,21 @@
 """Toxicity: a Levenshtein automaton intersected with a lexicon trie, weighed by context.
 
-Fitting, on a bounded sample of labelled rows, gathers how many toxic and clean texts hold each word
-and each word stem (a prefix that stands for all its continuations); terms that mark toxic texts
-become the lexicon, a word that may be misspelled also beside a stem that covers it, for a stem is found
-exactly alone. A word within reach that clean training texts hold no less than toxic ones is a word of
-its own and no misspelling. The trie of the lexicon and the automaton of all strings within an entry's edit
-distance run as one lazily determinised machine, so a word is read once whatever the lexicon's size,
-and misspelled entries are found with the exact ones. Each hit is scored in a window of words around
-it: inside quotation marks or beside words of reporting it counts as quotation, beside words of
-address it counts as abuse. A logistic regression over the sums of these scores gives the text's
-score. Labels are read by the fit alone; a score sees nothing but the text.
-
-What goes to the driver is the lexicon (at most `max_terms`), the sample's own words near it and the
-features of the sampled rows (at most `sample_rows`); what goes to executors is the model. Scoring is one pass without a shuffle.
+Fitting, on a bounded sample of labelled rows, counts how many toxic and clean texts hold each word.
+Words that stand in more toxic texts than chance explains are the lexicon, each with the edits that its
+length allows, its first letter like any other; a stem (a prefix that stands for all its continuations,
+without edits) is added beside them only where it is in many more toxic texts than any word of the
+lexicon that begins with it. A word within reach that
+clean texts hold no less than toxic ones is a word of its own and no misspelling. The trie of the
+lexicon and the automaton of all strings within an entry's edit distance run as one lazily determinised
+machine, so a word is read once whatever the lexicon's size, and misspelled entries are found with the
+exact ones. Each hit is scored in a window of words around it: inside quotation marks or beside words
+of reporting it counts as quotation, beside words of address it counts as abuse. A logistic regression
+over the sums of these scores gives the text's score; its weights are learned from features that each
+row got by the lexicon of the other rows (`FOLDS` parts), so no row weighs a lexicon that was chosen by
+it. Labels are read by the fit alone; a score sees nothing but the text.
+
+The sample (at most `sample_rows` rows) bounds what goes to the driver: the lexicon, the sample's own
+words near it and the features of its rows; what goes to executors is the model. No list of terms is cut. Scoring is one pass without a shuffle.
 
 Defined results: words of any length end at ASCII characters other than letters and digits and at
 Unicode punctuation, symbols and spaces; null, empty and blank texts have no hits and get the score of the intercept; a label
@@ -29,9 +32,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from . import _text as X
+from ._scratch import scratch
 
 IN_WORD = X.byte_class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -46,6 +51,13 @@ FEATURES = 9
 #: A misspelled hit counts fully only of entries in many more toxic texts than this, and than clean
 #: texts with words near them by chance.
 CHANCE = 10
+FOLDS = 3
+#: A stem has to stand in so many times the toxic texts of the most frequent entry that begins with it.
+STEM_GAIN = 1.5
+#: How many times the share of clean texts with a term the share of toxic ones has to be.
+LEAST_LIFT = 4
+#: Natural logarithm of the odds against all words' chances that a lexicon entry has to show.
+EVIDENCE = 3.0
 _CACHED = 200_000
 
 
@@ -73,7 +85,7 @@ def _spaced(low: np.ndarray) -> np.ndarray:
 
 
 def edits_allowed(entry: str, stem: bool) -> int:
-    return 0 if stem or len(entry) < 5 else 1 if len(entry) < 9 else 2
+    return 0 if stem or len(entry) < 4 else 1 if len(entry) < 9 else 2
 
 
 class Lexicon:
@@ -86,6 +98,7 @@ class Lexicon:
         self.reach = [0]
         for number, (text, stem) in enumerate(entries):
             node, edits = 0, edits_allowed(text, stem)
+            self.reach[0] = max(self.reach[0], edits)
             for c in text:
                 if c not in self.children[node]:
                     self.children[node][c] = len(self.children)
@@ -123,7 +136,7 @@ class Lexicon:
         out, open_ = dict.fromkeys(state), list(state)
         while open_:
             node, edits = open_.pop()
-            if node and edits < self.reach[node]:
+            if edits < self.reach[node]:
                 for child in self.children[node].values():
                     new = (child, edits + 1)
                     if edits + 1 <= self.reach[child] and new not in out:
@@ -143,11 +156,10 @@ class Lexicon:
             child = self.children[node].get(c)
             if child is not None:
                 put(child, edits)
-            if node:  # the first character of an entry is never edited
-                put(node, edits + 1)
-                for other, to in self.children[node].items():
-                    if other != c:
-                        put(to, edits + 1)
+            put(node, edits + 1)
+            for other, to in self.children[node].items():
+                if other != c:
+                    put(to, edits + 1)
         for node, edits in best.items():
             for entry, allowed, stem in self.ends[node]:
                 if stem and edits <= allowed and (stem_hit is None or edits < stem_hit[1]):
@@ -260,21 +272,70 @@ def _terms(text: str) -> set[str]:
 
 
 def _count_terms(batches):
-    toxic, clean = Counter(), Counter()
+    """Per term, how many toxic and clean texts of each fold hold it."""
+    counts: dict[str, list[int]] = {}
     for batch in batches:
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            (toxic if label else clean).update(_terms(text or ""))
-    terms = list(toxic.keys() | clean.keys())
+        for text, label, fold in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for term in _terms(text or ""):
+                counts.setdefault(term, [0] * (2 * FOLDS))[2 * fold + (label == 0)] += 1
+    terms = list(counts)
     for i in range(0, len(terms), 50_000):
         part = terms[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([toxic[t] for t in part], pa.int64()), pa.array([clean[t] for t in part], pa.int64())], names=["term", "toxic", "clean"])
-
-
-def _misspelled(batches, lexicon: Lexicon):
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *[pa.array([counts[t][k] for t in part], pa.int64()) for k in range(2 * FOLDS)]], names=["term", *_COUNTS])
+
+
+_COUNTS = [f"{kind}{fold}" for fold in range(FOLDS) for kind in ("toxic", "clean")]
+
+
+def _counts_without(row, fold: int | None) -> tuple[int, int]:
+    """Toxic and clean texts of a term, but for those of a fold."""
+    return tuple(sum(row[f"{kind}{f}"] for f in range(FOLDS) if f != fold) for kind in ("toxic", "clean"))
+
+
+def _evidence(toxic: int, clean: int, share: float) -> float:
+    """How unlikely (bound of a tail, as a negative logarithm) so many toxic of all a word's texts are."""
+    n = toxic + clean
+    rate = toxic / n
+    if rate <= share:
+        return 0.0
+    return n * (rate * np.log(rate / share) + ((1 - rate) * np.log((1 - rate) / (1 - share)) if rate < 1 else 0.0))
+
+
+def _chosen(rows, fold: int | None, n_toxic: int, n_clean: int, n_words: int) -> tuple[list[tuple[str, bool]], list[float], list[int]]:
+    """Entries, strengths and numbers of toxic texts of the lexicon of all rows but those of a fold."""
+    if not n_toxic or not n_clean:
+        return [], [], []
+    found = []
+    for row in rows:
+        toxic, clean = _counts_without(row, fold)
+        lift = np.log((toxic + 0.5) / (n_toxic + 1) / ((clean + 0.5) / (n_clean + 1)))
+        evidence = _evidence(toxic, clean, n_toxic / (n_toxic + n_clean)) if toxic else 0.0
+        if toxic >= 3 and lift >= np.log(LEAST_LIFT) and evidence >= np.log(max(n_words, 1)) + EVIDENCE:
+            found.append((row.term.removesuffix("*"), row.term.endswith("*"), float(lift), toxic, evidence))
+    out = [f for f in found if not f[1]]
+    most: dict[str, int] = {}  # toxic texts of the most frequent word that begins so
+    for text, _, _, toxic, _ in out:
+        for n in STEM_LENGTHS:
+            if len(text) >= n:
+                most[text[:n]] = max(most.get(text[:n], 0), toxic)
+    stems: set[str] = set()
+    for f in sorted((f for f in found if f[1]), key=lambda f: (-f[4], -len(f[0]), f[0])):
+        nested = any(f[0].startswith(s) or s.startswith(f[0]) for s in stems)
+        if not nested and f[3] >= STEM_GAIN * most.get(f[0], 0):
+            stems.add(f[0])
+            out.append(f)
+    out.sort(key=lambda f: (-f[3], f[0], f[1]))
+    return [(f[0], f[1]) for f in out], [f[2] for f in out], [f[3] for f in out]
+
+
+def _misspelled(batches, lexicons: list[Lexicon]):
+    """Words of the sample that a lexicon (model) finds by edits, and the entry."""
     for batch in batches:
-        found = [lexicon.find(t) or (0, 0) for t in batch.column(0).to_pylist()]
-        named = pa.RecordBatch.from_arrays([*batch.columns, pa.array([e for e, _ in found], pa.int64())], names=["term", "toxic", "clean", "entry"])
-        yield named.filter(pa.array([edits > 0 for _, edits in found], pa.bool_()))
+        terms = batch.column(0).to_pylist()
+        for model, lexicon in enumerate(lexicons):
+            found = [lexicon.find(t) or (0, 0) for t in terms]
+            named = pa.RecordBatch.from_arrays([*batch.columns, pa.array([model] * len(found), pa.int64()), pa.array([e for e, _ in found], pa.int64())], names=["term", *_COUNTS, "model", "entry"])
+            yield named.filter(pa.array([edits > 0 for _, edits in found], pa.bool_()))
 
 
 def _regress(x: np.ndarray, y: np.ndarray, each: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -304,60 +365,65 @@ def training_rows(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 != 2
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 12_000, max_terms: int = 400, least_share: float = 0.01) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 12_000) -> ToxicityModel:
     """Fit on at most `sample_rows` labelled training rows, those with the smallest hash of their id."""
     marked = labels.where(training_rows(id_col)).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null")
     marked = marked.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(marked), "id").select("text", (F.col("label") > 0).cast("int").alias("label"))
-    counted = rows.dropDuplicates(["text"]).mapInArrow(_count_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    share = marked.agg(F.sum((F.col("label") > 0).cast("long")), F.count("*")).first()
-    n_toxic, n = int(share[0] or 0), int(share[1])
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(marked), "id")
+    # equal texts are in one fold, or a row's lexicon would be chosen by its copies
+    rows = scratch(rows.select("text", (F.col("label") > 0).cast("int").alias("label"), F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold")))
+    sizes = {(r.label, r.fold): r.n for r in rows.groupBy("label", "fold").agg(F.countDistinct("text").alias("n")).collect()}
+    every = rows.groupBy("label").agg(F.count("*").alias("n")).collect()
+    n_toxic, n_clean = (sum(r.n for r in every if r.label == x) for x in (1, 0))
     if not n_toxic:
-        return ToxicityModel((), (), (float(np.log(0.5 / (n + 0.5))),) + (0.0,) * FEATURES)
-    lift = (F.col("toxic") + 0.5) / (n_toxic + 1) / ((F.col("clean") + 0.5) / (n - n_toxic + 1))
-    chosen = counted.where((F.col("toxic") >= max(3, int(least_share * n_toxic))) & (F.col("toxic") > F.col("clean")) & (lift >= 10)).select("term", "toxic", "clean", F.log(lift).alias("lift")).orderBy(F.desc("toxic"), "term").limit(20 * max_terms).collect()
-    entries, strengths, stems = [], [], set()
-    for row in sorted(chosen, key=lambda r: (not r.term.endswith("*"), len(r.term), r.term)):
-        text, stem = row.term.removesuffix("*"), row.term.endswith("*")
-        covered = any(text[:k] in stems for k in range(min(STEM_LENGTHS), len(text) + 1))
-        if covered and not edits_allowed(text, stem):  # a stem finds it exactly, which is all it may be found by
-            continue
-        entries.append((row.toxic, text, stem, float(row.lift)))
-        if stem:
-            stems.add(text)
-    entries = sorted(entries, reverse=True)[:max_terms]
-    strengths = tuple(s for *_, s in entries)
-    lexicon = [(t, s) for _, t, s, _ in entries]
-    near = counted.where(~F.col("term").endswith("*")).select("term", "toxic", "clean")
-    near = near.mapInArrow(lambda batches: _misspelled(batches, Lexicon(lexicon)), "term string, toxic long, clean long, entry long").collect()
-    own = frozenset(r.term for r in near if r.clean >= 2 and r.clean * n_toxic > r.toxic * (n - n_toxic))
-    by_chance = Counter()
-    for r in near:
-        by_chance[r.entry] += r.clean if r.term not in own else 0
-    credits = tuple(e[0] / (e[0] + CHANCE * (1 + by_chance[i])) for i, e in enumerate(entries))
-    model = ToxicityModel(tuple(lexicon), strengths, (0.0,) * (FEATURES + 1), own, credits)
-    measured = rows.mapInArrow(_featurize(model), "label int, features array<double>, share double").collect()
+        return ToxicityModel((), (), (float(np.log(0.5 / (n_clean + 0.5))),) + (0.0,) * FEATURES)
+    counted = rows.dropDuplicates(["text"]).mapInArrow(_count_terms, ", ".join(["term string", *[f"{c} long" for c in _COUNTS]])).groupBy("term").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+    counted = scratch(counted)
+    word = ~F.col("term").endswith("*")
+    n_words = counted.where(word).count()
+    toxic, clean = (sum((F.col(f"{kind}{f}") for f in range(1, FOLDS)), F.col(f"{kind}0")) for kind in ("toxic", "clean"))
+    candidates = counted.where((toxic >= 3) & (toxic > clean)).collect()
+    made = []
+    for fold in (None, *range(FOLDS)):
+        t, c = (sum(n for (label, f), n in sizes.items() if label == x and f != fold) for x in (1, 0))
+        made.append((*_chosen(candidates, fold, t, c, n_words), t, c))
+    near = counted.where(word).mapInArrow(lambda batches: _misspelled(batches, [Lexicon(m[0]) for m in made]), ", ".join(["term string", *[f"{c} long" for c in _COUNTS], "model long", "entry long"])).collect()
+    models = []
+    for number, (entries, strengths, held, t, c) in enumerate(made):
+        counts = [(r, *_counts_without(r, number - 1 if number else None)) for r in near if r.model == number]
+        own = frozenset(r.term for r, x, y in counts if y >= 2 and y * t > x * c)
+        by_chance = Counter()
+        for r, _, y in counts:
+            by_chance[r.entry] += y if r.term not in own else 0
+        credits = tuple(h / (h + CHANCE * (1 + by_chance[i])) for i, h in enumerate(held))
+        models.append(ToxicityModel(tuple(entries), tuple(strengths), (0.0,) * (FEATURES + 1), own, credits))
+    model, folds = models[0], models[1:]
+    measured = rows.mapInArrow(_featurize(folds), "label int, features array<double>, share double").collect()
     x, y = np.array([r.features for r in measured]).reshape(-1, FEATURES), np.array([r.label for r in measured], float)
     each = np.array([r.share for r in measured])
     if not len(y) or y.sum() in (0, len(y)):
-        return ToxicityModel(model.entries, strengths, (float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))),) + (0.0,) * FEATURES, own, credits)
-    return ToxicityModel(model.entries, strengths, tuple(map(float, _regress(x, y, each))), own, credits)
+        weights = (float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))),) + (0.0,) * FEATURES
+    else:
+        weights = tuple(map(float, _regress(x, y, each)))
+    return ToxicityModel(model.entries, model.strengths, weights, model.own_words, model.credits)
 
 
-def _featurize(model: ToxicityModel):
-    """Label, features and weight of each row. A toxic row comes at half weight as it is, and at the
-    other half as if misspelled: labelled texts spell most terms right, and would teach nothing of texts
-    that don't."""
+def _featurize(models: list[ToxicityModel]):
+    """Label, features (by the model of the row's fold, which is of the other rows) and weight of each
+    row. A toxic row comes at half weight as it is, and at the other half as if misspelled: labelled
+    texts spell most terms right, and would teach nothing of texts that don't."""
 
     def run(batches):
-        scorer = Scorer(model)
+        scorers = [Scorer(m) for m in models]
         for batch in batches:
-            for first, data, offsets in X.slices(batch.column(0)):
-                label = np.array(batch.column(1).slice(first, len(offsets) - 1).to_pylist(), np.int32)
-                f, toxic = scorer.features(data, offsets), label > 0
-                f = np.r_[f, scorer.features(data, offsets, misspelled=True)[toxic]]
-                share = np.r_[np.where(toxic, 0.5, 1.0), np.full(toxic.sum(), 0.5)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.r_[label, label[toxic]]), pa.array(f.tolist(), pa.list_(pa.float64())), pa.array(share)], names=["label", "features", "share"])
+            for fold, scorer in enumerate(scorers):
+                part = batch.filter(pc.equal(batch.column(2), fold))
+                for first, data, offsets in X.slices(part.column(0)):
+                    label = np.array(part.column(1).slice(first, len(offsets) - 1).to_pylist(), np.int32)
+                    f, toxic = scorer.features(data, offsets), label > 0
+                    f = np.r_[f, scorer.features(data, offsets, misspelled=True)[toxic]]
+                    share = np.r_[np.where(toxic, 0.5, 1.0), np.full(toxic.sum(), 0.5)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.r_[label, label[toxic]]), pa.array(f.tolist(), pa.list_(pa.float64())), pa.array(share)], names=["label", "features", "share"])
 
     return run
 
