@@ -13,7 +13,7 @@ from tidemark.llm.decontaminate import with_contamination
 from tidemark.llm._text import free_names, place_of, quoted
 from tidemark.llm.minhash import one_of_each
 from tidemark.llm.pieces import encode_and_decode
-from tidemark.llm.secrets import redacted, with_secrets
+from tidemark.llm.secrets import with_secrets
 from tidemark.llm.toxicity import fit_toxicity, with_toxicity
 from tidemark.shipping import ship
 
@@ -55,9 +55,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark."""
     ship(spark)
-    (spans,) = free_names(docs.columns, "_spans")
-    out = with_secrets(docs, spans_col=spans)
-    return _retexted(out, docs.columns, redacted(F.col("text"), F.col(spans)))
+    spans, text = free_names(docs.columns, "_spans", "_redacted")
+    return _retexted(with_secrets(docs, spans_col=spans, redacted_col=text), docs.columns, F.col(text))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
