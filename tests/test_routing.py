@@ -16,7 +16,7 @@ def test_default_ranges():
 
 def test_every_way_to_locate_agrees(spark):
     pick = random.Random(20)
-    keys = [b"", b"\x00", b"00", b"a", b"key_shard_a", b"\x7f", b"\x80", b"\x80key", b"\xfe", b"\xff"] + [bytes(pick.randrange(256) for _ in range(pick.randint(1, 8))) for _ in range(100)]
+    keys = [b"", b"\x00", b"\x01\x00", b"harbour:7", b"~", b"\x7f\xff", b"\x80", b"\x80harbour:8", b"\xc3\xa9", b"\xfe\xff", b"\xff"] + [bytes(pick.randrange(256) for _ in range(pick.randint(1, 8))) for _ in range(100)]
     df = spark.createDataFrame([(bytearray(k),) for k in dict.fromkeys(keys)], "key binary")
     for n in (1, 2, 7, 100):
         ranges = S.default_range_map(n)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Upper end of the default ranges.
 TOP = b"\xff"
@@ -58,6 +58,37 @@ def row_id(key: Column) -> Column:
     return F.when(F.instr(text, ":") > 0, F.substring(text, F.instr(text, ":") + 1, F.length(text))).otherwise(text)
 
 
+def time_bytes(ts: Column) -> Column:
+    """A timestamp as eight bytes that sort as it does (it must not be negative)."""
+    return F.unhex(F.lpad(F.hex(ts.cast("long")), 16, "0"))
+
+
+def version_key(key: Column, ts: Column) -> Column:
+    """Key and timestamp as one key: versions of a key follow each other in time, and no key's versions
+    lie between another's."""
+    return F.concat(key.cast("binary"), F.lit(b"\x00"), time_bytes(ts))
+
+
+def split_version_key(versioned: Column) -> tuple[Column, Column]:
+    """Key and timestamp of a version key."""
+    size = F.octet_length(versioned)
+    return F.substring(versioned, F.lit(1), size - 9), F.conv(F.hex(F.substring(versioned, size - 7, F.lit(8))), 16, 10).cast("long")
+
+
+def versions_range(key: bytes) -> tuple[bytes, bytes]:
+    """[start, end) of the version keys of one key."""
+    return check_key(key) + b"\x00", check_key(key) + b"\x01"
+
+
+def row_fields(df: DataFrame, value_col: str, names: list[str]) -> DataFrame:
+    """df with fields of its row values, each parsed once: of a JSON object its fields; of any other text
+    id is the text itself."""
+    text = F.decode(value_col, "UTF-8")
+    parsed = df.withColumn("_text", text).withColumn("_row", F.when(F.ltrim("_text").startswith("{"), F.try_parse_json("_text")))
+    whole = F.when(F.col("_row").isNull(), F.col("_text"))
+    return parsed.select(*df.columns, *[F.coalesce(F.try_variant_get("_row", f"$.{n}", "string"), whole if n == "id" else F.lit(None).cast("string")).alias(n) for n in dict.fromkeys(names)])
+
+
 def row_field(value: Column, name: str) -> Column:
     """A field of a row value: of its JSON object; of any other text, id is the text itself."""
     text = F.decode(value, "UTF-8")

@@ -1,13 +1,13 @@
 """Key ranges: which shard a key belongs to, and changes of the table of shards.
 
 A shards table has shard_id, start_key, end_key (null: no upper bound). It is small by nature (one row
-per range); `locate` broadcasts it after counting its rows, and falls back to a sort-free lookup by
-joined ranges where there are more.
+per range); `locate` broadcasts it after counting its rows, and where there are more broadcasts a bounded
+number of coarse ranges and joins keys with the ranges inside theirs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tidemark import model as M
 from tidemark.functions.keys import TOP
@@ -52,12 +52,20 @@ def locate(keys: DataFrame, shards: DataFrame) -> DataFrame:
     if len(rows) <= MOST_RANGES:
         ranges = F.broadcast(ranges)
         return keys.join(ranges, inside, "left").drop("start_key", "end_key").withColumn("shard_id", F.coalesce("shard_id", F.lit(0)))
-    # many ranges: each key meets the ranges of its first byte
-    first = lambda c: F.coalesce(F.conv(F.substring(F.hex(c), 1, 2), 16, 10).cast("int"), F.lit(0))
-    spread = ranges.withColumn("_byte", F.explode(F.sequence(first(F.col("start_key")), F.when(F.col("end_key").isNull(), F.lit(255)).otherwise(first(F.col("end_key"))))))
-    found = keys.withColumn("_byte", first(F.col("key"))).join(spread, "_byte").where(inside)
-    lost = keys.join(found.select("key").distinct(), "key", "left_anti").withColumn("shard_id", F.lit(0))
-    return found.select(*keys.columns, "shard_id").unionByName(lost.select(*keys.columns, "shard_id"))
+    # many ranges: a bounded number of coarse ranges, each the ranges from one start to another, is
+    # broadcast, and a key meets the ranges of its coarse one
+    starts = [r.key for r in shards.select(F.col("start_key").alias("key")).where(F.pmod(F.xxhash64("key"), F.lit(_sampled(shards))) == 0).distinct().limit(MOST_RANGES - 1).orderBy("key").collect()]
+    edges = [None, *starts, None]
+    coarse = F.broadcast(keys.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:]))], T.StructType([T.StructField("_coarse", T.IntegerType()), T.StructField("_from", shards.schema["start_key"].dataType), T.StructField("_to", shards.schema["start_key"].dataType)])))
+    below = lambda c, end: end.isNull() | (c < end)
+    spread = ranges.join(coarse, below(F.col("start_key"), F.col("_to")) & (F.col("_from").isNull() | F.col("end_key").isNull() | (F.col("end_key") > F.col("_from")))).select("_coarse", "shard_id", "start_key", "end_key")
+    placed = keys.join(coarse, (F.col("_from").isNull() | (F.col("key") >= F.col("_from"))) & below(F.col("key"), F.col("_to"))).drop("_from", "_to")
+    return placed.join(spread.withColumnRenamed("_coarse", "_of"), (F.col("_coarse") == F.col("_of")) & inside, "left").select(*keys.columns, F.coalesce("shard_id", F.lit(0)).alias("shard_id"))
+
+
+def _sampled(shards: DataFrame) -> int:
+    """One of how many starts is the edge of a coarse range."""
+    return 2 * shards.count() // MOST_RANGES + 1
 
 
 def pruned(located: DataFrame, shards: list[tuple[int, object, object]], start, end) -> DataFrame:
@@ -70,7 +78,7 @@ def pruned(located: DataFrame, shards: list[tuple[int, object, object]], start,
 
 
 def coverage_gaps(shards: DataFrame, low, high) -> DataFrame:
-    """Stretches of [low, high) that no shard owns, and shards without a leader if the column is there."""
+    """Stretches of [low, high) that no shard owns."""
     order = Window.orderBy("start_key")
     edges = shards.select("start_key", "end_key").withColumn("covered", F.coalesce(F.max("end_key").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(low)))
     gaps = edges.where(F.col("start_key") > F.col("covered")).select(F.col("covered").alias("gap_start"), F.col("start_key").alias("gap_end"))
@@ -78,17 +86,30 @@ def coverage_gaps(shards: DataFrame, low, high) -> DataFrame:
     return gaps.union(last.select("gap_start", "gap_end"))
 
 
+def leaderless(shards: DataFrame) -> DataFrame:
+    """Shards without a leader."""
+    return shards.where("leader_id is null").select("shard_id")
+
+
+def quorum_index(matches: DataFrame) -> DataFrame:
+    """shard_id, quorum: the largest log index that a majority of each shard's replicas (shard_id,
+    node_id, match_index) holds."""
+    held = F.sort_array(F.collect_list("match_index"), asc=False)
+    return matches.groupBy("shard_id").agg(F.element_at(held, (F.floor(F.count("*") / 2) + 1).cast("int")).alias("quorum"))
+
+
 def newest_leaders(reports: DataFrame) -> DataFrame:
     """shard_id, leader_id, leader_term: the report of the newest term, of equals the first."""
     order = F.struct(F.col("term"), -F.col("seq"))
     return reports.groupBy("shard_id").agg(F.max_by("node_id", order).alias("leader_id"), F.max("term").alias("leader_term"))
 
 
-def leader_codes(reports: DataFrame, shards: DataFrame) -> DataFrame:
-    """shard_id, node_id, term, code: 4 unknown shard, 5 not a replica, 6 not a newer term."""
-    rows = reports.join(shards.withColumn("known", F.lit(True)), "shard_id", "left")
+def leader_codes(reports: DataFrame, shards: DataFrame, *more: str) -> DataFrame:
+    """shard_id, node_id, term, code (and more columns of the reports): 4 unknown shard, 5 not a replica,
+    6 not a newer term."""
+    rows = reports.join(F.broadcast(shards.withColumn("known", F.lit(True))), "shard_id", "left")
     outside = (F.size("nodes") > 0) & ~F.array_contains("nodes", F.col("node_id"))
-    return rows.select("shard_id", "node_id", "term", code((F.col("known").isNull(), M.NO_SHARD), (F.coalesce(outside, F.lit(False)), M.NODE_NOT_SERVING), (F.col("leader_id").isNotNull() & (F.col("term") <= F.col("leader_term")), M.STALE_LEADER)))
+    return rows.select(*more, "shard_id", "node_id", "term", code((F.col("known").isNull(), M.NO_SHARD), (F.coalesce(outside, F.lit(False)), M.NODE_NOT_SERVING), (F.col("leader_id").isNotNull() & (F.col("term") <= F.col("leader_term")), M.STALE_LEADER)))
 
 
 def split_codes(proposals: DataFrame, shards: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark import model as M
+from tidemark.functions.keys import in_range
 from tidemark.operators.read import newest_locks, newest_versions, newest_writes
 
 
@@ -23,12 +24,20 @@ def code(*cases: tuple[Column, int]) -> Column:
 def prewrite_codes(writes: DataFrame, locks: DataFrame, write_records: DataFrame, versions: DataFrame) -> DataFrame:
     """key, start_ts, code of each wanted lock: 101 where the key's newest lock is held, 102 where a
     newer commit or version (a deletion too) exists."""
-    held = newest_locks(locks).select("key", (F.col("status") == "LOCKED").alias("held"))
-    committed = newest_writes(write_records).select("key", F.col("commit_ts").alias("written"))
-    version = newest_versions(versions).select("key", F.col("commit_ts").alias("version"))
+    keys = writes.select("key").distinct()
+    of_keys = lambda rows: rows.join(keys, "key", "left_semi")  # noqa: E731  before the aggregates, which then see the batch's keys only
+    held = newest_locks(of_keys(locks)).select("key", (F.col("status") == "LOCKED").alias("held"))
+    committed = newest_writes(of_keys(write_records)).select("key", F.col("commit_ts").alias("written"))
+    version = newest_versions(of_keys(versions)).select("key", F.col("commit_ts").alias("version"))
     rows = writes.join(held, "key", "left").join(committed, "key", "left").join(version, "key", "left")
     newer = F.coalesce(F.greatest("written", "version") > F.col("start_ts"), F.lit(False))
-    return rows.select("key", "start_ts", code((F.coalesce("held", F.lit(False)), M.LOCKED), (newer, M.WRITE_CONFLICT)))
+    first = F.coalesce(F.col("first") == F.col("start_ts"), F.lit(True)) if "first" in writes.columns else F.lit(True)
+    return rows.select("key", "start_ts", code((F.coalesce("held", F.lit(False)), M.LOCKED), (newer, M.WRITE_CONFLICT), (~first, M.LOCKED)))
+
+
+def first_of_key(writes: DataFrame) -> DataFrame:
+    """The batch's writes with the oldest transaction that wants each key; the others find it locked."""
+    return writes.select("key", "start_ts").join(writes.groupBy("key").agg(F.min("start_ts").alias("first")), "key")
 
 
 def all_granted(codes: DataFrame) -> DataFrame:
@@ -39,6 +48,7 @@ def all_granted(codes: DataFrame) -> DataFrame:
 def commit_codes(commits: DataFrame, locks: DataFrame) -> DataFrame:
     """key, start_ts, commit_ts, code: 201 where the key has no lock, 202 where only others have, 203
     where the lock isn't held."""
+    locks = locks.join(commits.select("key").distinct(), "key", "left_semi")
     own = locks.select("key", "start_ts", "status", F.lit(True).alias("own"))
     any_lock = locks.groupBy("key").agg(F.lit(True).alias("any"))
     rows = commits.join(own, ["key", "start_ts"], "left").join(any_lock, "key", "left")
@@ -56,6 +66,7 @@ def committed(commits: DataFrame, locks: DataFrame) -> tuple[DataFrame, DataFram
 
 def rollback_codes(rollbacks: DataFrame, locks: DataFrame) -> DataFrame:
     """key, start_ts, code: success without any lock on the key, 202 where only others have one."""
+    locks = locks.join(rollbacks.select("key").distinct(), "key", "left_semi")
     own = locks.select("key", "start_ts", F.lit(True).alias("own"))
     any_lock = locks.groupBy("key").agg(F.lit(True).alias("any"))
     rows = rollbacks.join(own, ["key", "start_ts"], "left").join(any_lock, "key", "left")
@@ -70,14 +81,14 @@ def rolled_back(locks: DataFrame, rollbacks: DataFrame) -> DataFrame:
 def cleaned(locks: DataFrame, requests: DataFrame) -> DataFrame:
     """Locks left after each request removed its key's newest lock: whichever it is, or only that of
     the named start_ts (null: any)."""
-    newest = locks.groupBy("key").agg(F.max("start_ts").alias("start_ts"))
+    newest = locks.join(requests.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.max("start_ts").alias("start_ts"))
     gone = newest.join(requests.select("key", F.col("start_ts").alias("named")), "key").where("named is null or named = start_ts")
     return rolled_back(locks, gone)
 
 
 def stale_reads(reads: DataFrame, write_records: DataFrame) -> DataFrame:
     """Reads (start_ts, key) whose key was committed by somebody after the reader's start."""
-    newest = write_records.groupBy("key").agg(F.max("commit_ts").alias("commit_ts"))
+    newest = write_records.join(reads.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.max("commit_ts").alias("commit_ts"))
     return reads.join(newest, "key").where(F.col("commit_ts") > F.col("start_ts")).select("start_ts", "key", "commit_ts")
 
 
@@ -102,10 +113,10 @@ def lock_fates(locks: DataFrame, write_records: DataFrame, now: float, ttl: floa
     return rows.select("key", "start_ts", status.alias("status"), "commit_ts")
 
 
-def resolved(locks: DataFrame, write_records: DataFrame, now: float, ttl: float = 5.0) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Locks of committed transactions rolled forward, of dead ones cleared: new versions, new write
-    records, locks left."""
-    fates = lock_fates(locks, write_records, now, ttl)
+def resolved(locks: DataFrame, write_records: DataFrame, now: float, ttl: float = 5.0, start=None, end=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Locks of [start, end) of committed transactions rolled forward, of dead ones cleared: new versions,
+    new write records, locks left."""
+    fates = lock_fates(locks, write_records, now, ttl).where(in_range(F.col("key"), start, end))
     versions, records, _ = committed(fates.where("status = 'COMMITTED'").select("key", "start_ts", "commit_ts"), locks)
     return versions, records, rolled_back(locks, fates.where("status <> 'PENDING'"))
 

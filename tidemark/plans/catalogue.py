@@ -275,16 +275,21 @@ def txn_validate_reads(spark, d):
     return T.stale_reads(w.select("start_ts", "key"), w)
 
 
-_WRITTEN = WRITES.replace("'customer:' || o_custkey", "'item:' || (o_orderkey % 4999)")
-_READ = WRITES.replace("'customer:' || o_custkey", "'item:' || (o_orderkey * 7 % 4999)")
+_PAIRED = "(SELECT o_orderkey AS txn, (o_orderkey // 2) % 4999 AS pair, o_orderkey % 2 AS side, o_orderkey // 2 * 100 + o_orderkey % 2 AS start_ts, o_orderkey // 2 * 100 + 50 + o_orderkey % 2 AS commit_ts FROM orders)"
+_WRITTEN = f"(SELECT 'item:' || pair || ':' || side AS key, start_ts, commit_ts FROM {_PAIRED})"
+_READ = f"(SELECT 'item:' || pair || ':' || (CASE WHEN txn % 3 = 0 THEN side ELSE 1 - side END) AS key, start_ts, commit_ts FROM {_PAIRED})"
 
 
 @query(f"""WITH o AS (SELECT DISTINCT r.start_ts AS reader, w.start_ts AS writer FROM {_READ} r JOIN {_WRITTEN} w ON r.key = w.key AND r.start_ts <> w.start_ts AND r.start_ts < w.commit_ts AND w.start_ts < r.commit_ts)
   SELECT a.reader AS start_ts, a.writer AS other_ts FROM o a JOIN o b ON a.reader = b.writer AND a.writer = b.reader WHERE a.reader < a.writer""")
 def write_skew_pairs(spark, d):
-    w = write_records(spark, d)
-    item = lambda c: F.concat(F.lit("item:"), (c % 4999).cast("string"))
-    return T.write_skew(w.withColumn("key", item(F.col("txn") * 7)), w.withColumn("key", item(F.col("txn"))))
+    """Orders two by two as transactions at one time: each writes its side and, but for every third one,
+    reads the other's."""
+    n = F.col("o_orderkey")
+    pair, side = F.floor(n / 2), n % 2
+    t = table(spark, d, "orders").select(n.alias("txn"), (pair % 4999).alias("pair"), side.alias("side"), (pair * 100 + side).cast("long").alias("start_ts"), (pair * 100 + 50 + side).cast("long").alias("commit_ts"))
+    item = lambda c: F.concat_ws(":", F.lit("item"), F.col("pair").cast("string"), c.cast("string"))
+    return T.write_skew(t.withColumn("key", item(F.when(F.col("txn") % 3 == 0, F.col("side")).otherwise(1 - F.col("side")))), t.withColumn("key", item(F.col("side"))))
 
 
 @query("SELECT event_id AS request, sum(user_id % 9 + 1) OVER (ORDER BY event_id)::BIGINT - user_id % 9 AS first_ts, sum(user_id % 9 + 1) OVER (ORDER BY event_id)::BIGINT AS last_ts FROM events")
@@ -352,7 +357,7 @@ def sql_insert_upsert(spark, d):
 def sql_projection(spark, d):
     o = table(spark, d, "orders")
     packed = keyed(o, "orders", "o_orderkey", F.encode(F.to_json(F.struct(F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").cast("string").alias("price"))), "UTF-8").alias("value"))
-    return packed.select(K.row_id(F.col("key")).alias("id"), K.row_field(F.col("value"), "priority").alias("priority"), K.row_field(F.col("value"), "price").alias("price"))
+    return K.row_fields(packed, "value", ["priority", "price"]).select(K.row_id(F.col("key")).alias("id"), "priority", "price")
 
 
 # shards
@@ -402,26 +407,193 @@ def leader_report_max_term(spark, d):
     return S.newest_leaders(reports)
 
 
-def _table_of_shards(spark):
-    return spark.createDataFrame([(0, "", "n", [1, 2, 3], {1: "a", 2: "b", 3: "c"}, 1, 4), (1, "n", "t", [1, 2, 3], {1: "a", 2: "b", 3: "c"}, None, 0), (2, "t", "~", [4, 5, 6], {4: "d", 5: "e", 6: "f"}, 5, 2)], "shard_id int, start_key string, end_key string, nodes array<int>, addresses map<int, string>, leader_id int, leader_term long")
+# Shards derived from nations: 25 ranges of item keys, three replicas each, some without a leader.
+_TABLE_SQL = """(SELECT n_nationkey AS shard_id, 'item:' || lpad((4 * n_nationkey)::VARCHAR, 3, '0') AS start_key, 'item:' || lpad((4 * n_nationkey + CASE WHEN n_nationkey % 7 = 3 THEN 3 ELSE 4 END)::VARCHAR, 3, '0') AS end_key,
+  n_nationkey % 3 AS zone, CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE n_nationkey % 3 * 10 + n_regionkey % 3 END AS leader_id, (n_regionkey + 1)::BIGINT AS leader_term FROM nation)"""
+
+
+def _item(n) -> F.Column:
+    return F.concat(F.lit("item:"), F.lpad(n.cast("string"), 3, "0"))
+
+
+def _replicas(zone) -> F.Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: (zone * 10 + i).cast("int"))
+
+
+def _homes(nodes) -> F.Column:
+    return F.map_from_arrays(nodes, F.transform(nodes, lambda n: F.concat(F.lit("host"), n.cast("string"))))
+
 
+def _table_of_shards(spark, d):
+    n = F.col("n_nationkey")
+    zone = (n % 3).cast("int")
+    return table(spark, d, "nation").select(
+        n.cast("int").alias("shard_id"), _item(4 * n).alias("start_key"), _item(4 * n + F.when(n % 7 == 3, 3).otherwise(4)).alias("end_key"), _replicas(zone).alias("nodes"), _homes(_replicas(zone)).alias("addresses"),
+        F.when(n % 5 != 0, zone * 10 + F.col("n_regionkey") % 3).cast("int").alias("leader_id"), (F.col("n_regionkey") + 1).cast("long").alias("leader_term"),
+    )
 
-@query("SELECT * FROM (VALUES (1, 0), (2, 7), (3, 8), (4, 8), (5, 9), (6, 0), (7, 10)) t(proposal, code)")
+
+@query(f"""WITH t AS {_TABLE_SQL}, p AS (SELECT o_orderkey AS proposal, o_custkey % 28 AS shard_id, 'item:' || lpad((4 * (o_custkey % 28) + o_orderkey % 6 - 1)::VARCHAR, 3, '0') AS split_key,
+    o_orderkey % 40 AS new_id, o_orderkey % 3 AS zone FROM orders WHERE o_custkey % 28 > 0)
+  SELECT proposal, CASE WHEN n.shard_id IS NOT NULL AND coalesce(o.end_key = split_key AND n.start_key = split_key, false) THEN CASE WHEN n.zone = p.zone THEN 0 ELSE 10 END
+    WHEN n.shard_id IS NOT NULL THEN 9 WHEN o.shard_id IS NULL THEN 7 WHEN NOT (o.start_key < split_key AND split_key < o.end_key) THEN 8 ELSE 0 END::INT AS code
+  FROM p LEFT JOIN t o ON o.shard_id = p.shard_id LEFT JOIN t n ON n.shard_id = p.new_id""")
 def split_validate(spark, d):
-    rows = [(1, 0, "g", 7, [1, 2, 3]), (2, 8, "g", 7, [1]), (3, 0, "", 7, [1]), (4, 0, "n", 7, [1]), (5, 0, "g", 1, [1, 2, 3]), (6, 1, "t", 2, [4, 5, 6]), (7, 1, "t", 2, [1, 2])]
-    return S.split_codes(spark.createDataFrame(rows, "proposal int, shard_id int, split_key string, new_id int, nodes array<int>"), _table_of_shards(spark))
+    shard, order = F.col("o_custkey") % 28, F.col("o_orderkey")
+    proposals = table(spark, d, "orders").where(shard > 0).select(order.alias("proposal"), shard.cast("int").alias("shard_id"), _item(4 * shard + order % 6 - 1).alias("split_key"), (order % 40).cast("int").alias("new_id"), _replicas((order % 3).cast("int")).alias("nodes"))
+    return S.split_codes(proposals, _table_of_shards(spark, d))
 
 
-@query("SELECT * FROM (VALUES (1, 0), (2, 12), (3, 13), (4, 13), (5, 14), (6, 15), (7, 0), (8, 16)) t(proposal, code)")
+@query(f"""WITH t AS {_TABLE_SQL}, p AS (SELECT o_orderkey AS proposal, o_custkey % 28 AS shard_id, o_orderkey % 3 AS source, o_orderkey // 3 % 4 AS target, o_orderkey % 11 = 0 AS twice, o_orderkey % 13 = 0 AS unlisted, o_orderkey % 5 = 0 AS elsewhere FROM orders)
+  SELECT proposal, CASE WHEN t.shard_id IS NULL THEN 12 WHEN twice OR unlisted THEN 13 WHEN t.zone = target THEN CASE WHEN elsewhere THEN 16 ELSE 0 END WHEN t.zone <> source THEN 14 WHEN source = target THEN 15 ELSE 0 END::INT AS code
+  FROM p LEFT JOIN t ON t.shard_id = p.shard_id""")
 def move_validate(spark, d):
-    to = {4: "d", 5: "e", 6: "f"}
-    rows = [(1, 0, [1, 2, 3], [4, 5, 6], to), (2, 9, [1], [4], to), (3, 0, [1, 2, 3], [4, 4], to), (4, 0, [1, 2, 3], [7], to), (5, 0, [1, 2], [4, 5, 6], to), (6, 0, [1, 2, 3], [3, 4], {3: "c", 4: "d"}), (7, 2, [1], [4, 5, 6], to), (8, 2, [1], [4, 5, 6], {4: "d", 5: "e", 6: "z"})]
-    return S.move_codes(spark.createDataFrame(rows, "proposal int, shard_id int, from_nodes array<int>, nodes array<int>, addresses map<int, string>"), _table_of_shards(spark))
+    order = F.col("o_orderkey")
+    nodes = _replicas((F.floor(order / 3) % 4).cast("int"))
+    wanted = F.when(order % 11 == 0, F.concat(F.slice(nodes, 1, 2), F.slice(nodes, 1, 1))).otherwise(nodes)
+    homes = F.when(order % 13 == 0, _homes(F.slice(nodes, 2, 2))).when(order % 5 == 0, F.map_from_arrays(nodes, F.transform(nodes, lambda n: F.concat(F.lit("other"), n.cast("string"))))).otherwise(_homes(nodes))
+    homes = F.when((order % 11 == 0) & (order % 13 != 0) & (order % 5 != 0), _homes(nodes)).otherwise(homes)
+    proposals = table(spark, d, "orders").select(order.alias("proposal"), (F.col("o_custkey") % 28).cast("int").alias("shard_id"), _replicas((order % 3).cast("int")).alias("from_nodes"), wanted.alias("nodes"), homes.alias("addresses"))
+    return S.move_codes(proposals, _table_of_shards(spark, d))
 
 
-@query("SELECT * FROM (VALUES (9, 1, 1, 4), (0, 7, 9, 5), (0, 2, 4, 6), (0, 2, 5, 0), (1, 3, 1, 0)) t(shard_id, node_id, term, code)")
+@query(f"""SELECT l_orderkey AS report, l_suppkey % 28 AS shard_id, CASE WHEN t.shard_id IS NULL THEN 4 WHEN l_partkey % 30 NOT BETWEEN t.zone * 10 AND t.zone * 10 + 2 THEN 5 WHEN leader_id IS NOT NULL AND l_linenumber <= leader_term THEN 6 ELSE 0 END::INT AS code
+  FROM (SELECT DISTINCT l_orderkey, l_suppkey, l_partkey, l_linenumber FROM lineitem) LEFT JOIN {_TABLE_SQL} t ON t.shard_id = l_suppkey % 28""")
 def leader_codes(spark, d):
-    return S.leader_codes(spark.createDataFrame([(9, 1, 1), (0, 7, 9), (0, 2, 4), (0, 2, 5), (1, 3, 1)], "shard_id int, node_id int, term long"), _table_of_shards(spark))
+    reports = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber").distinct()
+    reports = reports.select(F.col("l_orderkey").alias("report"), (F.col("l_suppkey") % 28).cast("int").alias("shard_id"), (F.col("l_partkey") % 30).cast("int").alias("node_id"), F.col("l_linenumber").cast("long").alias("term"))
+    return S.leader_codes(reports, _table_of_shards(spark, d), "report").select("report", F.col("shard_id").cast("long").alias("shard_id"), "code")
+
+
+@query(f"""SELECT coalesce(before, 'item:') AS gap_start, start_key AS gap_end FROM (SELECT start_key, lag(end_key) OVER (ORDER BY start_key) AS before FROM {_TABLE_SQL}) WHERE start_key > coalesce(before, 'item:')
+  UNION ALL SELECT max(end_key), 'item;' FROM {_TABLE_SQL}""")
+def route_coverage_gaps(spark, d):
+    return S.coverage_gaps(_table_of_shards(spark, d), "item:", "item;")
+
+
+@query(f"SELECT shard_id FROM {_TABLE_SQL} WHERE leader_id IS NULL")
+def route_leaderless(spark, d):
+    return S.leaderless(_table_of_shards(spark, d)).select(F.col("shard_id").cast("long").alias("shard_id"))
+
+
+@query("""SELECT shard_id, min(match_index) AS quorum FROM (SELECT s_nationkey AS shard_id, s_suppkey * 7 % 1009 AS match_index, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey * 7 % 1009 DESC) AS place, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier)
+  WHERE place <= n // 2 + 1 GROUP BY shard_id""")
+def log_quorum_index(spark, d):
+    return S.quorum_index(table(spark, d, "supplier").select(F.col("s_nationkey").alias("shard_id"), F.col("s_suppkey").alias("node_id"), (F.col("s_suppkey") * 7 % 1009).alias("match_index")))
+
+
+# a log with locks, and the store
+
+
+_CASES = """(SELECT event_id AS e, event_id % 7 AS kind, epoch_us(ts) AS t, 'event:' || event_id AS key, value::VARCHAR AS value FROM events)"""
+
+
+def _log(spark, d):
+    """Commands of each event's key by one of seven scripts: a write; a lock committed, rolled back, met
+    by another, too old, committed under another start; a commit without a lock."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("e"), (F.col("event_id") % 7).cast("int").alias("kind"), micros(F.col("ts")).alias("t"), F.concat(F.lit("event:"), F.col("event_id").cast("string")).cast("binary").alias("key"), F.col("value").cast("string").cast("binary").alias("value"))
+    none = F.lit(None).cast("long")
+
+    def step(number, kind, type_, timestamp=none, start=none, commit=none):
+        has = type_ in ("SET", "PREWRITE")
+        return e.where(F.col("kind") == kind).select((F.col("e") * 4 + number).alias("idx"), F.lit(type_).alias("type"), "key", (F.col("value") if has else F.lit(None).cast("binary")).alias("value"), timestamp.alias("timestamp"), start.alias("start_ts"), commit.alias("commit_ts"), F.col("key").alias("primary_key"), F.lit(0.0).alias("lock_time"))
+
+    t = F.col("t")
+    steps = [
+        step(0, 0, "SET", t), step(0, 1, "PREWRITE", start=t), step(1, 1, "COMMIT", start=t, commit=t + 5), step(0, 2, "PREWRITE", start=t), step(1, 2, "ROLLBACK", start=t),
+        step(0, 3, "PREWRITE", start=t), step(1, 3, "PREWRITE", start=t + 1), step(0, 4, "SET", t + 10), step(1, 4, "PREWRITE", start=t), step(0, 5, "PREWRITE", start=t), step(1, 5, "COMMIT", start=t + 1, commit=t + 5), step(2, 5, "CLEAN_LOCK"),
+        step(0, 6, "COMMIT", start=t, commit=t + 5), step(1, 6, "DELETE", t + 7),
+    ]
+    log = steps[0]
+    for more in steps[1:]:
+        log = log.unionByName(more)
+    return log
+
+
+@query(f"""WITH c AS {_CASES},
+  r AS (SELECT e * 4 + s AS idx, key, CASE WHEN kind = 3 AND s = 1 THEN 101 WHEN kind = 4 AND s = 1 THEN 102 WHEN kind = 5 AND s = 1 THEN 202 WHEN kind = 6 AND s = 0 THEN 201 ELSE 0 END::INT AS code FROM c, range(3) g(s) WHERE s < CASE kind WHEN 0 THEN 1 WHEN 5 THEN 3 ELSE 2 END)
+  SELECT 'result' AS kind, key, NULL::BIGINT AS ts, NULL::BIGINT AS start_ts, NULL::VARCHAR AS value, idx, code FROM r
+  UNION ALL SELECT 'version', key, CASE kind WHEN 0 THEN t WHEN 1 THEN t + 5 WHEN 4 THEN t + 10 ELSE t + 7 END, NULL, CASE WHEN kind < 6 THEN value END, NULL, NULL FROM c WHERE kind IN (0, 1, 4, 6)
+  UNION ALL SELECT 'write', key, t + 5, t, NULL, NULL, NULL FROM c WHERE kind = 1
+  UNION ALL SELECT 'lock', key, NULL, t, value, NULL, NULL FROM c WHERE kind = 3""")
+def apply_log(spark, d):
+    return L.apply_log(_log(spark, d)).select("kind", F.col("key").cast("string").alias("key"), "ts", "start_ts", F.col("value").cast("string").alias("value"), "idx", "code")
+
+
+_FATES = f"""(SELECT l.key AS key, l.start_ts AS start_ts, l.value AS value, w.commit_ts AS commit_ts, CASE WHEN w.commit_ts IS NOT NULL THEN 'COMMITTED' WHEN p.key IS NOT NULL THEN 'PENDING' ELSE 'ABORTED' END AS fate
+  FROM {LOCKS} l LEFT JOIN {_OWN_WRITES} w ON w.key = l.primary_key AND w.start_ts = l.start_ts
+  LEFT JOIN (SELECT * FROM {LOCKS} WHERE key = primary_key AND status = 'LOCKED' AND {NOW} - lock_time < 600000.0) p ON p.key = l.primary_key AND p.start_ts = l.start_ts WHERE l.status = 'LOCKED')"""
+
+
+@query(f"""SELECT 'version' AS kind, key, commit_ts AS ts, value FROM {_FATES} WHERE fate = 'COMMITTED' UNION ALL SELECT 'write', key, commit_ts, NULL FROM {_FATES} WHERE fate = 'COMMITTED'
+  UNION ALL SELECT 'lock', key, start_ts, value FROM {_FATES} WHERE fate = 'PENDING' UNION ALL SELECT 'lock', key, start_ts, value FROM {LOCKS} WHERE status <> 'LOCKED'""")
+def lock_resolve(spark, d):
+    versions, records, left = T.resolved(locks(spark, d), _own_writes(spark, d), NOW, 600_000.0)
+    rows = lambda kind, df, ts, value: df.select(F.lit(kind).alias("kind"), "key", F.col(ts).alias("ts"), value.alias("value"))
+    none = F.lit(None).cast("string")
+    return rows("version", versions, "ts", F.col("value")).union(rows("write", records, "commit_ts", none)).union(rows("lock", left, "start_ts", F.col("value")))
+
+
+def _database(spark, rows):
+    """A database of its own with (key, value) rows."""
+    from tidemark.store import Database
+    from tidemark.workspace import shared_folder
+
+    db = Database(spark, shared_folder(spark, "store"))
+    db.load(rows.select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value")))
+    return db
+
+
+@query("""SELECT name, region FROM (SELECT n_nationkey::VARCHAR AS id, CASE WHEN n_nationkey = 7 THEN 'O''Land' ELSE n_name END AS name, CASE WHEN n_nationkey = 7 THEN '9' ELSE n_regionkey::VARCHAR END AS region FROM nation UNION ALL SELECT '99', 'Atlantis', '2')
+  WHERE id >= '1' AND id < '99x' AND region::INT >= 1""")
+def sql_statement(spark, d):
+    from tidemark.sql import SQL
+
+    n = table(spark, d, "nation")
+    value = F.to_json(F.struct(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("region")))
+    sql = SQL(_database(spark, n.select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("key"), value.alias("value"))))
+    sql.execute("INSERT INTO nation (id, name, region) VALUES (7, 'O''Land', 9), (99, 'Atlantis', 2)")
+    return sql.execute("SELECT name, region FROM nation WHERE id >= '1' AND id < '99x' AND region >= 1;")
+
+
+def _sharded(spark, d):
+    db = _database(spark, order_keys(spark, d).select("key", F.col("o_totalprice").cast("string").alias("value")))
+    store = db.store
+    store.init_routes({0: (b"", b"orders:3"), 1: (b"orders:3", b"orders:60"), 2: (b"orders:60", None)})
+    for shard in range(3):
+        store.set_shard_nodes(shard, [1, 2, 3], {1: "a", 2: "b", 3: "c"})
+        store.report_leader(shard, shard + 1, 4)
+    return db
+
+
+@query(f"SELECT key, CASE WHEN key < 'orders:3' THEN 0 WHEN key < 'orders:45' THEN 1 WHEN key < 'orders:60' THEN 9 ELSE 2 END::INT AS shard_id FROM {ORDER_KEYS}")
+def split_shard(spark, d):
+    db = _sharded(spark, d)
+    if db.store.split_shard(1, b"orders:45", 9) or db.store.split_shard(1, b"orders:45", 9):  # the second time it is done already
+        raise RuntimeError("the split was refused")
+    pieces = [rows.select(F.col("key").cast("string").alias("key"), F.lit(shard).alias("shard_id")) for shard, rows in db.scan_pieces(b"", None)]
+    out = pieces[0]
+    for piece in pieces[1:]:
+        out = out.union(piece)
+    return out
+
+
+@query(f"""SELECT s.shard_id AS shard_id, s.nodes AS nodes, s.leader_id AS leader_id, count(key) AS n FROM (VALUES (0, '1,2,3', 1), (1, '4,5,6', NULL), (2, '1,2,3', 3)) s(shard_id, nodes, leader_id)
+  LEFT JOIN (SELECT key, CASE WHEN key < 'orders:3' THEN 0 WHEN key < 'orders:60' THEN 1 ELSE 2 END AS shard FROM {ORDER_KEYS}) ON shard = s.shard_id GROUP BY ALL""")
+def move_shard(spark, d):
+    db = _sharded(spark, d)
+    if db.store.move_shard(1, [1, 2, 3], [4, 5, 6], {4: "d", 5: "e", 6: "f"}):
+        raise RuntimeError("the move was refused")
+    located = S.locate(db.scan(b"", None).select("key"), db.store.shards())
+    counts = located.groupBy("shard_id").agg(F.count("*").alias("n"))
+    return db.store.shards().join(F.broadcast(counts), "shard_id", "left").select("shard_id", F.array_join(F.col("nodes").cast("array<string>"), ",").alias("nodes"), "leader_id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(f"SELECT 'users:' || user_id AS key, epoch_us(ts) AS ts, count(*) AS n FROM events WHERE user_id % 10 = 3 GROUP BY ALL")
+def version_keys(spark, d):
+    v = event_versions(spark, d).select(K.version_key(F.col("key"), F.col("ts")).alias("versioned")).groupBy("versioned").agg(F.count("*").alias("n"))
+    key, ts = K.split_version_key(F.col("versioned"))
+    return v.select(key.cast("string").alias("key"), ts.alias("ts"), "n").where(F.substring("key", -1, 1) == "3")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

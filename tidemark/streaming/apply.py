@@ -23,7 +23,9 @@ def apply_changes(changes: DataFrame, store: Store, checkpoint: str) -> Streamin
         rows = batch.where(F.col("type").isin("SET", "DELETE")).select("key", F.col("timestamp").alias("ts"), (F.col("type") == "SET").alias("live"), F.when(F.col("type") == "SET", F.col("value")).alias("value"), F.col("idx").alias("seq"))
         newest = rows.agg(F.max("ts")).first()[0]
         if newest is not None:
-            store.publish(store.manifest(), add={"versions": rows}, clock=newest)
+            # a write record each, so that transactions which read these keys see the change
+            records = rows.select("key", F.col("ts").alias("commit_ts"), F.col("ts").alias("start_ts"))
+            store.update(lambda base: {"add": {"versions": rows, "write_records": records}, "clock": newest})
 
     return changes.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(add).start()
 
