@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import _text as X
-from ._scratch import scratch
+from ._scratch import drop, scratch
 
 IN_WORD = ~X.byte_class((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 LOWER = np.arange(256, dtype=np.uint8)
@@ -309,7 +309,7 @@ def with_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     types = [T.LongType(), T.LongType(), T.ArrayType(span), T.ArrayType(T.StringType()), T.StringType()]
     fields = [T.StructField(f.name, f.dataType, True) for f in docs.schema] + [T.StructField(n, t) for n, t in zip(names, types)]
-    spark, out = docs.sparkSession, docs
+    spark, out, before = docs.sparkSession, docs, None
     for block in range(blocks):
         rows = items if blocks == 1 else items.where(F.pmod(F.xxhash64(F.coalesce("item", "text")), F.lit(blocks)) == block)
         shared = spark.sparkContext.broadcast(Phrases([tuple(r) for r in rows.collect()], window))
@@ -320,6 +320,9 @@ def with_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
         if not last:
             out = scratch(out)
             shared.unpersist()
+            if before is not None:
+                drop(before)
+            before = out
     return out
 
 

@@ -19,7 +19,7 @@ sampled.
 
 Nodes are shingle sets, not rows: rows with equal sets are in one class by that, and rows that share an
 id (or have none) but not a text are unlike each other like any others. Words are told apart by 64-bit
-BLAKE2 hashes, shingles by 64-bit hashes of these, sets by 128 bits.
+hashes, shingles by 64-bit hashes of these, sets by 128 bits.
 
 Defined results: words are runs of letters, digits and non-ASCII characters, ASCII lower-cased; a text
 with fewer words than a shingle has is one shingle; a text without words (or null) is its own class; a
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import _text as X
-from ._scratch import scratch
+from ._scratch import drop, scratch
 from .toxicity import IN_WORD, _LOWER
 
 #: Tables of at most so many ids are broadcast, larger ones shuffled.
@@ -113,12 +113,11 @@ def _poisson(hashes: np.ndarray, mean: float) -> np.ndarray:
     return np.searchsorted(np.array(terms), (hashes >> np.uint64(11)).astype(np.float64) * 2.0**-53, side="right")
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int, hashes_of: X.WordHashes) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of each text, sorted, and their n + 1 offsets."""
     low = _LOWER[data]
     starts, ends, at = X.words(low, offsets, IN_WORD)
-    which, distinct = X.distinct(low, starts, ends)
-    hashes = hashes_of(distinct)[which]
+    hashes = X.word_hashes(low, starts, ends, 5)
     size = np.diff(at)
     row, made = [], []
     long = np.flatnonzero(size >= words)
@@ -146,12 +145,11 @@ def _signed(words: int, bands: int, rows: int):
     hasher = DartMinHash(bands * rows)
 
     def run(batches):
-        hashes_of = X.WordHashes()
         for batch in batches:
             ids = X.ids_of(batch.column(0))
             for first, data, offsets in X.slices(batch.column(2)):
                 n = len(offsets) - 1
-                elements, at = shingle_sets(data, offsets, words, hashes_of)
+                elements, at = shingle_sets(data, offsets, words)
                 filled = np.flatnonzero(np.diff(at) > 0)
                 signature = hasher.signatures(elements, np.ones(len(elements)), np.r_[at[filled], at[-1]]) if len(filled) else np.empty((0, bands * rows), np.uint64)
                 keys = np.zeros((len(filled), bands), np.uint64)
@@ -193,10 +191,11 @@ def _verify(threshold: float):
 def _sets_of(signed: DataFrame, sets: DataFrame, reps: DataFrame) -> DataFrame:
     """rep and shingles of the named sets, each read from the one row that stands for it."""
     named = scratch(sets.join(reps, "rep", "left_semi").select("rep", "name1", "name2", F.col("least.id").alias("id"), F.col("least.mark").alias("mark")))
-    if named.count() <= BROADCAST_IDS:  # else the rows that stand for a set are shuffled
-        named = F.broadcast(named)
-    rows = signed.select("id", "mark", "name1", "name2", "shingles").join(named, ["id", "mark", "name1", "name2"])
-    return scratch(rows.select("rep", "shingles").dropDuplicates(["rep"]))
+    few = named.count() <= BROADCAST_IDS  # else the rows that stand for a set are shuffled
+    rows = signed.select("id", "mark", "name1", "name2", "shingles").join(F.broadcast(named) if few else named, ["id", "mark", "name1", "name2"])
+    found = scratch(rows.select("rep", "shingles").dropDuplicates(["rep"]))
+    drop(named)
+    return found
 
 
 def _links(signed: DataFrame, sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
@@ -205,7 +204,9 @@ def _links(signed: DataFrame, sets: DataFrame, pairs: DataFrame, threshold: floa
     found = _sets_of(signed, sets, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct())
     left = pairs.join(found.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
     both = left.join(found.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
-    return both.mapInArrow(_verify(threshold), "a long, b long")
+    out = scratch(both.mapInArrow(_verify(threshold), "a long, b long"))
+    drop(pairs, found)
+    return out
 
 
 def _pairs_of_small_groups(open_: DataFrame) -> DataFrame:
@@ -264,7 +265,9 @@ def _links_in_blocks(signed: DataFrame, sets: DataFrame, large: DataFrame, thres
     few = large.where("root <> largest").select("band", "key", dealt(few_blocks).alias("i"), every(all_blocks).alias("j"), F.lit(0).alias("side"), "rep", "root")
     rest = large.select("band", "key", every(few_blocks).alias("i"), dealt(all_blocks).alias("j"), F.lit(1).alias("side"), "rep", "root")
     rows = few.union(rest).join(found, "rep").select("band", "key", "i", "j", "side", "rep", "root", "shingles")
-    return rows.groupBy("band", "key", "i", "j").applyInArrow(_block_links(threshold), "a long, b long").distinct()
+    out = scratch(rows.groupBy("band", "key", "i", "j").applyInArrow(_block_links(threshold), "a long, b long").distinct())
+    drop(found)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -277,7 +280,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        edges = scratch(small)
+        before, edges = edges, scratch(small)
+        drop(before)
         now = tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first())
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
@@ -293,19 +297,21 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     sets = scratch(sets.withColumn("rep", F.monotonically_increasing_id()))  # once written, the numbers stay
     entries = sets.select("rep", F.posexplode("bands").alias("band", "key"))
     groups = entries.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
-    entries = scratch(entries.join(groups, ["band", "key"]).select("band", "key", "size", "rep"))
+    shared = scratch(entries.join(groups, ["band", "key"]).select("band", "key", "size", "rep"))
     # the hub of a group is its most central text: the one that meets most others over all bands
-    central = entries.groupBy("rep").agg(F.sum("size").alias("meets"))
-    entries = entries.join(central, "rep")
+    central = shared.groupBy("rep").agg(F.sum("size").alias("meets"))
+    entries = shared.join(central, "rep")
     hubs = entries.groupBy("band", "key").agg(F.max_by("rep", F.struct("meets", -F.col("rep"))).alias("hub"))
     entries = scratch(entries.join(hubs, ["band", "key"]).select("band", "key", "size", "hub", "rep"))
-    linked = scratch(_links(signed, sets, entries.where("hub <> rep").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct(), threshold))
+    drop(shared)
+    linked = _links(signed, sets, entries.where("hub <> rep").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct(), threshold)
     first = scratch(components(linked))
     # groups that still hold several components
     labelled = entries.join(first, entries.rep == first.node, "left").select("band", "key", "size", "hub", "rep", F.coalesce("root", "rep").alias("root"))
     parts = labelled.groupBy("band", "key", "root").agg(F.count("*").alias("own"))
     mixed = parts.groupBy("band", "key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("own", "root")).alias("largest"), F.max("own").alias("most")).where("roots > 1")
     open_ = scratch(labelled.join(mixed.select("band", "key", "largest", "most"), ["band", "key"]))
+    drop(entries, first)
     more = _links(signed, sets, _pairs_of_small_groups(open_.where(F.col("size") <= SMALL_GROUP)), threshold)
     large = open_.where(F.col("size") > SMALL_GROUP)
     if large.head(1):
@@ -313,6 +319,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     # the smallest row of a component is the smallest of those of its sets
     rooted = sets.select("rep", "name1", "name2", "least").join(components(linked.union(more)).withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     rooted = scratch(rooted)
+    drop(sets, linked, open_)
     smallest = rooted.groupBy("root").agg(F.min("least").alias("class"))
     named = rooted.join(smallest, "root").select("name1", "name2", F.col("class").alias("least"))
     classed = signed.where("n > 0").select("id", "mark", "name1", "name2").join(named, ["name1", "name2"]).select("id", "mark", "least")

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from . import _text as X
-from ._scratch import scratch
+from ._scratch import drop, scratch
 
 IN_WORD = X.byte_class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -330,7 +330,9 @@ def _chosen(rows, fold: int | None, n_toxic: int, n_clean: int, n_words: int) ->
 
 def _misspelled(batches, lexicons: list[Lexicon]):
     """Words of the sample that a lexicon (model) finds by edits, and the entry."""
+    every = Lexicon(sorted({e for lexicon in lexicons for e in lexicon.entries}))
     for batch in batches:
+        batch = batch.filter(pa.array([every.find(t) is not None for t in batch.column(0).to_pylist()], pa.bool_()))
         terms = batch.column(0).to_pylist()
         for model, lexicon in enumerate(lexicons):
             found = [lexicon.find(t) or (0, 0) for t in terms]
@@ -399,6 +401,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         models.append(ToxicityModel(tuple(entries), tuple(strengths), (0.0,) * (FEATURES + 1), own, credits))
     model, folds = models[0], models[1:]
     measured = rows.mapInArrow(_featurize(folds), "label int, features array<double>, share double").collect()
+    drop(rows, counted)
     x, y = np.array([r.features for r in measured]).reshape(-1, FEATURES), np.array([r.label for r in measured], float)
     each = np.array([r.share for r in measured])
     if not len(y) or y.sum() in (0, len(y)):
