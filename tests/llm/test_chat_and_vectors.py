@@ -50,7 +50,7 @@ def test_mixed_records_in_one_column(spark):
     assert got == [(0, "user", "q<1>"), (0, "assistant", "a"), (1, "user", "q"), (1, "assistant", "b"), (2, "user", "p"), (2, "assistant", "r"), (3, "user", "p"), (3, "assistant", "c"), (4, "user", "i"), (4, "assistant", "o")]
     odd = df.union(spark.createDataFrame([(9, '{"what": 1}')], df.schema))
     with pytest.raises(Exception, match="no mapping"):
-        canonical_turns(odd, "id", "record").collect()
+        canonical_turns(odd, "id", "record", on_unknown="raise").collect()
     assert canonical_turns(odd, "id", "record", on_unknown="drop").where("conv_id = 9").collect() == []
 
 
@@ -68,7 +68,23 @@ def test_fingerprints_choose_a_tables_mapping_and_see_all_messages(spark, monkey
     assert [(r.conv_id, r.text) for r in canonical_turns(records, "id", "record", on_unknown="drop").orderBy("conv_id", "turn").collect()] == [(1, "q"), (1, "a")]
     for i in (2, 3):
         with pytest.raises(Exception, match="no mapping"):
-            canonical_turns(records.where(f"id = {i}"), "id", "record").collect()
+            canonical_turns(records.where(f"id = {i}"), "id", "record", on_unknown="raise").collect()
+    assert [(r.role, r.text) for r in canonical_turns(records.where("id = 2"), "id", "record").collect()] == [("", unlike)]
+
+
+def test_records_without_turns_and_broken_ones(spark):
+    none = [None, "", " \n\t", '{"messages": []}', '{"conversations": []}']
+    broken = ["[]", "not json", '{"messages": [}', "3", '{"messages": "text"}', '{"messages": [], "more": 1}', "{}", "null", '{"prompt": null, "answer": 2}']
+    df = spark.createDataFrame(list(enumerate(none + broken)), "id long, record string")
+    for mode, want in (("keep", [(len(none) + i, 0, "", t) for i, t in enumerate(broken)]), ("drop", [])):
+        assert sorted((r.conv_id, r.turn, r.role, r.text) for r in canonical_turns(df, "id", "record", on_unknown=mode).collect()) == want
+    empty = '{"prompt": null, "response": ""}'
+    got = canonical_turns(spark.createDataFrame([(1, empty)], df.schema), "id", "record").orderBy("turn").collect()
+    assert [(r.role, r.text or "") for r in got] == [("user", ""), ("assistant", "")]
+    with pytest.raises(ValueError):
+        canonical_turns(df, "id", "record", on_unknown="guess")
+    out = format_chats(canonical_turns(df, "id", "record")).withColumn("turns", read_turns(F.col("formatted"))).collect()
+    assert {r.conv_id: [t.text for t in r.turns] for r in out} == {len(none) + i: [t] for i, t in enumerate(broken)}
 
 
 def brute(rows, queries, k=10):
@@ -84,7 +100,7 @@ def brute(rows, queries, k=10):
 def search(spark, rows, **options):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
     index = fit_index(df, **options)
-    indexed = index.add_orders(df, "vec_id", "embedding")
+    indexed = index.stored_index(df, "vec_id", "embedding")
     out = {}
     for r in index.search(indexed, indexed.where("id % 10 = 0"), block_queries=7).orderBy("query_id", "rank").collect():
         out.setdefault(r.query_id, []).append((r.score, r.vec_id))
@@ -115,6 +131,14 @@ def test_a_repeated_query_is_one_and_unlike_vectors_of_an_id_are_two(spark):
         assert [rank for rank, _ in twenty] == [k for k in range(1, 11) for _ in (0, 1)] and {1, 2, 10, 19, 21} <= {v for _, v in twenty}
 
 
+def test_repeated_rows_are_candidates_each(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(1, 21)] + [(5, [5.0, 1.0]), (5, [5.5, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    index = fit_index(df)
+    found = index.search(index.stored_index(df, "vec_id", "embedding"), index.add_orders(df.where("vec_id = 4"), "vec_id", "embedding")).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in found][:5] == [(3, 1.0), (5, 1.0), (5, 1.0), (5, 1.5), (2, 2.0)]
+
+
 def test_equal_unusable_and_few_vectors(spark):
     rows = [(i, [1.0, 2.0]) for i in range(40)] + [(100, None), (101, [0.0, 0.0]), (110, [1.0, None]), (120, [float("nan"), 1.0]), (130, [float("inf"), 1.0]), (140, [5.0, 5.0])]
     got = search(spark, rows)

@@ -14,8 +14,11 @@ A conversation is one output row, so its turns meet in one task by definition; o
 window over its turns, one sort for the whole plan.
 
 Defined results: turns are ordered by turn, then role, then text, nulls first; a null role or text is
-empty; rows with a null conversation id form one conversation; JSON records of unknown layout raise,
-or are dropped with on_unknown="drop"; columns that the mapping does not name are ignored.
+empty; rows with a null conversation id form one conversation; repeated rows are turns of their own. Of
+JSON records, a null or blank one and one with an empty message list have no turns; one of unknown
+layout, or that is no JSON object, is kept as one turn with an empty role and the record as its text
+(on_unknown="drop" drops it, "raise" raises). A table of unknown layout raises. Columns that the mapping
+does not name are ignored; roles of row layouts are taken as they are.
 """
 
 from __future__ import annotations
@@ -127,9 +130,12 @@ def _fixed_turns(mapping: Mapping, field) -> Column:
     return F.array(*made)
 
 
-def canonical_turns(df: DataFrame, id_col: str, json_col: str | None = None, ignored: tuple[str, ...] = (), mappings: tuple[Mapping, ...] = MAPPINGS, on_unknown: str = "raise") -> DataFrame:
+def canonical_turns(df: DataFrame, id_col: str, json_col: str | None = None, ignored: tuple[str, ...] = (), mappings: tuple[Mapping, ...] = MAPPINGS, on_unknown: str = "keep") -> DataFrame:
     """conv_id, turn, role and text rows of records in any mapped layout; ignored fields (and the id)
-    take no part in fingerprints."""
+    take no part in fingerprints. on_unknown: what becomes of JSON records without a mapping (keep,
+    drop or raise)."""
+    if on_unknown not in ("keep", "drop", "raise"):
+        raise ValueError(f"on_unknown is {on_unknown!r}")
     skip = {id_col, *ignored}
     if json_col is None:
         paths = [p for p in field_paths(df.schema) if p.split(".")[0] not in skip]
@@ -146,8 +152,9 @@ def canonical_turns(df: DataFrame, id_col: str, json_col: str | None = None, ign
             turns = _fixed_turns(chosen, lambda n: F.col(n).cast("string"))
     else:
         record = F.col(json_col)
-        known = fingerprint(json_paths(record, tuple(skip)))
-        turns = None
+        paths = json_paths(record, tuple(skip))
+        known, none = fingerprint(paths), F.array().cast(_TURNS)
+        turns = F.when(F.coalesce(record.rlike(r"^\s*$"), F.lit(True)), none)
         for m in mappings:
             if m.rows:
                 continue
@@ -158,9 +165,14 @@ def canonical_turns(df: DataFrame, id_col: str, json_col: str | None = None, ign
             else:
                 made = _fixed_turns(m, lambda n: F.get_json_object(record, f"$.{n}"))
             made = made.cast(_TURNS)
-            turns = F.when(known == _of(m), made) if turns is None else turns.when(known == _of(m), made)
+            turns = turns.when(known == _of(m), made)
+            if m.messages:  # an empty list shows no element paths
+                empty = F.get_json_object(record, f"$.{m.messages[0]}") == "[]"
+                turns = turns.when((known == fingerprint(F.array(F.lit(m.messages[0])))) & empty, none)
         if on_unknown == "raise":
-            turns = turns.otherwise(F.raise_error(F.concat(F.lit("no mapping for fields "), F.array_join(F.array_sort(json_paths(record, tuple(skip))), ", "))).cast(_TURNS))
+            turns = turns.otherwise(F.raise_error(F.concat(F.lit("no mapping for fields "), F.coalesce(F.array_join(F.array_sort(paths), ", "), F.lit("of what is no JSON object")))).cast(_TURNS))
+        elif on_unknown == "keep":
+            turns = turns.otherwise(F.array(_turn(0, "", record)).cast(_TURNS))
     return df.select(F.col(id_col).alias("conv_id"), F.explode(turns).alias("t")).select("conv_id", "t.turn", "t.role", "t.text")
 
 

@@ -80,7 +80,7 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     index = fit_index(vectors)
-    indexed = index.add_orders(vectors, "vec_id", "embedding")
+    indexed = index.stored_index(vectors, "vec_id", "embedding")
     return index.search(indexed, indexed.where("id % 100 = 0"))
 
 
