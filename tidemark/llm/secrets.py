@@ -7,9 +7,8 @@ has (value of an assignment to such a word, inside the quotes of one, beside one
 address), and features of the file: how dense such words, assignments and quotes are, and the share of
 indented lines. Its weights maximise the conditional likelihood of a bounded training set: about
 `TRAINING_TEXTS` short texts written by rule in this module (seeded; no corpus row is read). Decoding
-is by Viterbi. A token whose outside score leads by more than any change of labels around it could win
-back is outside in every best labelling, which splits texts into short runs; only those are decoded,
-exactly.
+is by Viterbi. A token is outside in every best labelling if no run of tokens that holds it could gain by
+other labels, whatever they were; only what is left, short runs, is decoded, exactly.
 
 Base spans are whole matches of the patterns and always stay; spans of the field are added unless base
 spans cover them wholly, and so may overlap one that is a part of a longer secret. Offsets are code
@@ -50,14 +49,12 @@ OTHERS = ("is", "was", "user", "username", "commit", "sha", "sha1", "sha256", "m
 _WORDS = {w: i + 1 for i, w in enumerate(CUES + OTHERS)}
 #: What the keys of some providers begin with; fixed values.
 PREFIXES = ("ghp_", "gho_", "ghs_", "sk-", "sk_", "pk_", "xoxb-", "xoxp-", "glpat-", "npm_", "AIza", "eyJ", "hf_", "SG.", "shpat_")
-_CUE_IN = re.compile(rb"(?i)passw|passphrase|passcode|pwd|secret|token|api[_-]?key|credential|bearer|authorization|_auth|_key$|^key$|^pin$|login")
+_CUE_IN = r"passw|passphrase|passcode|pwd|secret|token|api[_-]?key|credential|bearer|authorization|_auth|_key\.*$|^key\.*$|^pin\.*$|login"
 _PREFIXED = re.compile(rb"(?:" + b"|".join(re.escape(p.encode()) for p in PREFIXES) + rb"|[a-z]{2,6}[_-](?:[a-z]{2,4}[0-9]?[_-])?)(?=[A-Za-z0-9_.-]{12,}$)(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9_.-]*[A-Za-z0-9]{12,}[A-Za-z0-9_.-]*$")
-_UUID = re.compile(rb"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}$")
 #: Places: none, the value of a cue, in its quotes, after "is" or "was", beside a cue, user part.
 NOWHERE, VALUE, IN_QUOTES, SAID, BESIDE, USER_PART = range(6)
 _REACH = 8
 FILE_FEATURES = 4
-_CACHED = 200_000
 
 _CLASS = np.zeros(256, np.uint8)  # 0 space, 1 token characters, 2 = and :, 3 quotes, 4 other marks
 _CLASS[0x21:0x80] = 4
@@ -73,63 +70,72 @@ _LOWER[65:91] += 32
 _IS_HEX = X.byte_class((0x30, 0x39), (0x61, 0x66))
 
 
-def shape_of(token: bytes) -> int:
-    first = _CLASS[token[0]]
-    if first == 2:
-        return _SHAPE["assign"]
-    if first == 3:
-        return _SHAPE["quote"]
-    if first == 4:
-        return _SHAPE["mark"]
-    token = token.rstrip(b".") or token
-    n = len(token)
-    digits = sum(48 <= c <= 57 for c in token)
-    upper = sum(65 <= c <= 90 for c in token)
-    lower = sum(97 <= c <= 122 for c in token)
-    high = sum(c >= 128 for c in token)
-    if token[:2] == b"//":
-        return _SHAPE["slashes"]
-    if n == 36 and _UUID.match(token):
-        return _SHAPE["uuid"]
-    if n >= 15 and not high and _PREFIXED.match(token):
-        return _SHAPE["prefixed"]
-    if token.startswith(b"AKIA") and n >= 16 and digits + upper == n:
-        return _SHAPE["access"]
-    if digits == n or (digits and digits + token.count(b".") + token.count(b"-") == n):
-        return _SHAPE["number"]
-    if not high and digits >= 2 and all(48 <= c <= 57 or 97 <= c <= 102 for c in token) and n >= 12:
-        return _SHAPE["hex24"] if n >= 24 else _SHAPE["hex12"]
-    if n <= 32 and not high and _CUE_IN.search(token):
-        return _SHAPE["key"]
-    if n >= 20 and not high and digits >= 3 and lower + upper >= 3 and b"." not in token.strip(b"."):
-        return _SHAPE["mixed20"]
-    if n >= 8 and not high and digits >= 2 and lower + upper >= 2 and b"." not in token.strip(b"."):
-        return _SHAPE["mixed8"]
-    if any(c in b"/_." for c in token.rstrip(b".")):
-        return _SHAPE["path"]
-    if n >= 24 and upper >= 3 and lower >= 3 and not high:
-        return _SHAPE["letters24"]
-    if upper == n and n > 1:
-        return _SHAPE["capitals"]
-    if n >= 6 and digits and lower + upper and not high:
-        return _SHAPE["code"]
-    return _SHAPE["word"]
-
-
-def word_of(token: bytes) -> int:
-    """The number of the token as one of the listed words, or of its prefix; 0 for others."""
-    if len(token) > 32:
-        low = ""
-    else:
-        low = token.decode(errors="replace").lower().strip("._-/+")
-    if low in _WORDS:
-        return _WORDS[low]
-    for i, p in enumerate(PREFIXES):
-        if token.startswith(p.encode()):
-            return 1 + len(_WORDS) + i
-    if low and _CUE_IN.search(token):
-        return next((_WORDS[w] for w in CUES[:-1] if w in low), _WORDS["key"])
-    return 0
+def _sums(members: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """How many bytes of a class lie before each place."""
+    out = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(members[data], out=out[1:])
+    return out
+
+
+_DIGIT, _UPPER, _LOW, _HIGH = (X.byte_class(c) for c in ((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)))
+_ANY_HEX = X.byte_class((0x30, 0x39), (0x41, 0x46), (0x61, 0x66))
+
+
+def kinds_of(tokens: pa.Array) -> np.ndarray:
+    """Shape and word of each token (binary), two columns. A word is the number of one of the listed
+    words, or of a provider's prefix, or of the cue in a name; 0 for others."""
+    n_all = len(tokens)
+    if not n_all:
+        return np.empty((0, 2), np.int64)
+    data, offsets = X.text_buffer(tokens)
+    starts, ends = offsets[:-1], offsets[1:].copy()
+    while True:  # full stops after a token are none of its own
+        stop = (ends - starts > 1) & (data[ends - 1] == 0x2E)
+        if not stop.any():
+            break
+        ends[stop] -= 1
+    low = starts.copy()
+    while True:
+        stop = (low < ends - 1) & (data[low] == 0x2E)
+        if not stop.any():
+            break
+        low[stop] += 1
+    n = ends - starts
+    count = lambda members, first=starts: (lambda c: c[ends] - c[first])(_sums(members, data))
+    digits, upper, lower, high = (count(m) for m in (_DIGIT, _UPPER, _LOW, _HIGH))
+    letters, dots, dashes = lower + upper, count(X.byte_class(0x2E)), count(X.byte_class(0x2D))
+    inner_dots, marks = count(X.byte_class(0x2E), low), count(X.byte_class(0x2F, 0x5F, 0x2E))
+    byte = lambda at: data[np.minimum(starts + at, len(data) - 1)]
+    kind = _CLASS[byte(0)]
+    plain = high == 0
+    cue = (n <= 32) & plain & pc.match_substring_regex(tokens, _CUE_IN, ignore_case=True).to_numpy(zero_copy_only=False)
+    prefixed = np.zeros(n_all, bool)
+    for i in np.flatnonzero((n >= 15) & plain & (digits > 0) & (letters > 0) & (kind == 1)).tolist():
+        prefixed[i] = _PREFIXED.match(data[starts[i] : ends[i]].tobytes()) is not None
+    uuid = (n == 36) & (dashes == 4) & (count(_ANY_HEX) == 32)
+    for at in (8, 13, 18, 23):
+        uuid &= byte(at) == 0x2D
+    akia = (n >= 16) & (digits + upper == n)
+    for at, c in enumerate(b"AKIA"):
+        akia &= byte(at) == c
+    hexes = plain & (digits >= 2) & (count(_IS_HEX) == n)
+    mixed = plain & (inner_dots == 0)
+    s = _SHAPE
+    shape = np.select(
+        [kind == 2, kind == 3, kind == 4, (n >= 2) & (byte(0) == 0x2F) & (byte(1) == 0x2F), uuid, prefixed, akia, (digits == n) | ((digits > 0) & (digits + dots + dashes == n)), hexes & (n >= 24), hexes & (n >= 12), cue,
+         mixed & (n >= 20) & (digits >= 3) & (letters >= 3), mixed & (n >= 8) & (digits >= 2) & (letters >= 2), marks > 0, plain & (n >= 24) & (upper >= 3) & (lower >= 3), (upper == n) & (n > 1), plain & (n >= 6) & (digits > 0) & (letters > 0)],
+        [s[x] for x in ("assign", "quote", "mark", "slashes", "uuid", "prefixed", "access", "number", "hex24", "hex12", "key", "mixed20", "mixed8", "path", "letters24", "capitals", "code")], s["word"],
+    )
+    text = tokens.cast(pa.large_string() if pa.types.is_large_binary(tokens.type) else pa.string())
+    name = pc.ascii_trim(pc.ascii_lower(text), "._-/+")
+    word = pc.fill_null(pc.index_in(name, value_set=pa.array(list(_WORDS), name.type)), -1).to_numpy().astype(np.int64) + 1
+    for i in np.flatnonzero(cue & (word == 0)).tolist():
+        of = name[i].as_py()
+        word[i] = next((_WORDS[w] for w in CUES[:-1] if w in of), _WORDS["key"])
+    for i, p in reversed(list(enumerate(PREFIXES))):
+        begins = pc.starts_with(text, p).to_numpy(zero_copy_only=False)
+        word[begins & ((word == 0) | (word > len(_WORDS)))] = 1 + len(_WORDS) + i
+    return np.stack([shape, word], axis=1)
 
 
 _N_WORDS = 1 + len(_WORDS) + len(PREFIXES)
@@ -288,20 +294,19 @@ class Field:
         self._bounds()
 
     def _bounds(self) -> None:
-        """How far outside must lead for any labelling to gain by it: where the next token isn't
-        inside a span, and where it is and so has to begin one."""
+        """What the moves of a run of tokens in secrets can gain at most over those of outside ones: for
+        each step in the run, and for entering and leaving it."""
         m = self.moves
-        come = {(p, x): m[p, O] - m[p, x] for p in (O, B, I) for x in (B, I) if (p, x) != (O, I)} | {("start", B): 0.0}
-        last = min(d + leave for (_, x), d in come.items() for leave in (m[O, O] - m[x, O], m[O, B] - m[x, B], 0.0))
-        then = min(*(m[B] - m[I]), 0.0)
-        middle = min(d + m[O, B] - m[x, I] + then for (_, x), d in come.items())
-        self.margin_last, self.margin_middle = -last, -middle
+        self.step = float(m[1:, 1:].max() - m[O, O])
+        self.ends = max(float(m[O, B] - m[O, O]), 0.0) + max(float(m[1:, O].max() - m[O, O]), 0.0)
 
     def surely_outside(self, emissions: np.ndarray) -> np.ndarray:
-        lead = emissions[:, O] - np.maximum(emissions[:, B], emissions[:, I])
-        inside = np.zeros(len(emissions))
-        inside[:-1] = (emissions[:, I] - emissions[:, B])[1:]
-        return (lead > self.margin_last) & (lead > self.margin_middle + inside)
+        """Tokens that no run can hold whose labels gain as much as the outside would: of all runs that
+        hold a token, the best one's bound is a difference of extremes of prefix sums."""
+        gain = np.maximum(emissions[:, B], emissions[:, I]) - emissions[:, O] + self.step
+        sums = np.r_[0.0, np.cumsum(gain)]
+        best = np.maximum.accumulate(sums[:0:-1])[::-1] - np.minimum.accumulate(sums[:-1])
+        return best + self.ends - self.step < -1e-6
 
     def _with(self, own: np.ndarray, file: np.ndarray) -> "Field":
         self.own, self.file = own, file
@@ -416,20 +421,6 @@ def _covered(start: int, end: int, union: tuple[list[int], list[int]]) -> bool:
 class Scanner:
     def __init__(self, field: Field):
         self.field = field
-        self.known: dict[bytes, tuple[int, int]] = {}
-
-    def _kinds(self, tokens: list[bytes]) -> np.ndarray:
-        """Shape and word of each token."""
-        if len(self.known) > _CACHED:
-            self.known.clear()
-        known = self.known
-        found = [known.get(t) for t in tokens]
-        for i, kind in enumerate(found):
-            if kind is None:
-                found[i] = (shape_of(tokens[i]), word_of(tokens[i]))
-                if len(tokens[i]) <= 48:
-                    known[tokens[i]] = found[i]
-        return np.array(found, np.int64).reshape(-1, 2)
 
     def _tokens(self, data: np.ndarray, offsets: np.ndarray):
         kind = _CLASS[data]
@@ -447,7 +438,7 @@ class Scanner:
         token's text."""
         starts, ends, at = self._tokens(data, offsets)
         which, tokens = X.distinct(data, starts, ends)
-        kinds = self._kinds(tokens.to_pylist())[which]
+        kinds = kinds_of(tokens)[which]
         shapes, words = kinds[:, 0], kinds[:, 1]
         row = np.repeat(np.arange(len(at) - 1), np.diff(at))
         n, count = len(at) - 1, np.maximum(np.diff(at), 1)
