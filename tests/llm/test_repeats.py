@@ -79,6 +79,33 @@ def test_words_covered_by_a_repeated_window(spark, hot, length):
     assert got == removed_words(rows, length)
 
 
+@pytest.mark.parametrize("length", [255, 256, 257, 300, 1000])
+def test_long_windows(spark, hot, length):
+    pick = random.Random(length)
+    text = lambda n: "".join(pick.choices("abcdefgh ", k=n))
+    shared = [text(n) for n in (length - 1, length, length + 1, length + 40, 2 * length + 7)]
+    rows = [(i, text(pick.randint(0, 60)) + s + text(pick.randint(0, 60))) for i, s in enumerate(shared + shared[1:] + [shared[3][:length] + "!" + shared[4][5:]])]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, bytes(r.kept), len(r.removed_spans)) for r in suffix_array_dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_bytes=length, chunks=3).collect()}
+    assert got == removed_bytes(rows, length)
+    rows = [(i, " ".join(t)) for i, t in rows]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_words=length, chunks=3).collect()}
+    assert got == removed_words(rows, length)
+
+
+@pytest.mark.parametrize("k", [10, 11, 12])
+def test_texts_built_to_collide(spark, hot, k):
+    a, b = "a", "b"
+    for _ in range(k):
+        a, b = a + b, b + a
+    say = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, f"{say} {a} {say}"), (2, f"{say} {b} {say}"), (3, f"{a} {b}"), (4, " ".join(a)), (5, " ".join(b))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup(df).collect()} == removed_words(rows, 35)
+    for length in (50, 2**k):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, bytes(r.kept), len(r.removed_spans)) for r in suffix_array_dedup(df, min_bytes=length).collect()}
+        assert got == removed_bytes(rows, length)
+
+
 def test_null_and_equal_ids(spark):
     same = " ".join(f"w{i}" for i in range(40))
     df = spark.createDataFrame([(None, same), (5, same), (5, same), (9, "other")], "doc_id long, text string")

@@ -3,9 +3,9 @@
 Texts arrive as Arrow string columns; everything here works on their UTF-8 bytes with numpy, in
 slices of bounded size, so that memory does not depend on how many rows an Arrow batch holds.
 
-Words are told apart by their bytes (`distinct`), never by a hash. Where something has to stand for a
-word or a run of words beyond a slice, it is `WordHashes` (BLAKE2) or `chained` (no polynomial, so
-that no texts are known that collide). A difference of prefix sums (polynomial, modulo 2**64) is the
+Words that are looked up are told apart by their bytes (`distinct`), not by a hash. Where something has to
+stand for a word or a run of words beyond a slice, it is a keyed, chained hash (`word_hashes`, `chained`:
+no polynomials, so that no texts collide by their structure). A difference of prefix sums (polynomial, modulo 2**64) is the
 hash of a span in constant time; structured texts can collide in it, so it may nominate, not decide.
 """
 
@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 SLICE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_ODD = np.uint64(0xD6E8FEB86659FD93)
 BYTE_VALUE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 NULL_ID = np.iinfo(np.int64).max
 
@@ -180,33 +181,38 @@ def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     return found.indices.to_numpy(), found.dictionary
 
 
-class WordHashes:
-    """64-bit keyed BLAKE2 hashes of words, remembered for up to `most` short ones."""
-
-    def __init__(self, most: int = 300_000):
-        self.most, self.known = most, {}
-
-    def __call__(self, words: pa.Array) -> np.ndarray:
-        if len(self.known) > self.most:
-            self.known.clear()
-        known, blake = self.known, hashlib.blake2b
-        out = []
-        for w in words.to_pylist():
-            h = known.get(w)
-            if h is None:
-                h = int.from_bytes(blake(w, digest_size=8, key=b"tidemark").digest(), "little")
-                if len(w) <= 48:
-                    known[w] = h
-            out.append(h)
-        return np.array(out, np.uint64)
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int) -> np.ndarray:
+    """Keyed 64-bit hashes of spans: of their lengths and eight bytes after eight, chained; of very long
+    ones BLAKE2."""
+    size = ends - starts
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    h = mix(size.astype(np.uint64) + mix(np.array([key], np.uint64)))
+    long = np.flatnonzero(size > 256)
+    at, left, row = starts, size, np.arange(len(size))
+    if len(long):
+        row = np.flatnonzero((size > 0) & (size <= 256))
+        at, left = starts[row], size[row]
+    while len(row):
+        block = eight[at]
+        part = left < 8
+        block[part] &= (np.uint64(1) << (8 * left[part]).astype(np.uint64)) - np.uint64(1)
+        before = h[row]
+        h[row] = mix((before ^ block) * _ODD + (before >> np.uint64(32)))
+        more = left > 8
+        at, left, row = at[more] + 8, left[more] - 8, row[more]
+    secret = key.to_bytes(8, "little")
+    for i in long.tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=secret).digest(), "little")
+    return h
 
 
 def chained(columns, seed: int) -> np.ndarray:
     """Hash of each row of the given columns of 64-bit numbers, one after the other."""
-    odd = np.uint64(0xD6E8FEB86659FD93)
     h = mix(np.full(1, seed, np.uint64) + np.uint64(0x9E3779B97F4A7C15))
     for column in columns:
-        h = mix((h ^ column) * odd + (h >> np.uint64(32)))
+        h = mix((h ^ column) * _ODD + (h >> np.uint64(32)))
     return h
 
 

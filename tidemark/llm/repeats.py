@@ -4,24 +4,31 @@ A text is a sequence of symbols (bytes, or words), a window is `length` consecut
 text, and the question is which windows also occur elsewhere. Three exchanges of packed arrays
 answer it, and no step holds more than one bounded share of the corpus:
 
-1. A rolling hash marks triggers: a gram of `gram` symbols whose hash is smallest in some window.
-   Which grams of a window are triggers depends on the window's content only, and each window has
-   one, so a repeated window has a repeated trigger. Each chunk of documents sends its distinct
+1. A rolling hash marks triggers: a gram of `gram` symbols whose hash is smallest in some window. Each
+   window belongs to one, the first of its smallest grams, which depends on the window's content only,
+   so a repeated window has a repeated trigger. Each chunk of documents sends its distinct
    trigger fingerprints to buckets; a bucket answers with those seen more than once.
-2. For repeated triggers a chunk sends the phrase around each, once per distinct phrase, to the
-   trigger's bucket. The bucket's dictionary of phrases gives the equal windows. A trigger with very
+2. For repeated triggers a chunk sends the phrase around each (the symbols of the trigger's windows),
+   once per distinct phrase, to the trigger's bucket. The bucket's dictionary of phrases gives the equal windows. A trigger with very
    many occurrences (a licence line in a third of the documents) is hot: its windows are dealt out
    by their own hash, one row per distinct window and chunk, so no bucket gathers its contexts.
 3. The spans found go back to the chunks, which cut them out of the texts.
 
-Messages are aggregated before each exchange: a passage in a third of all documents is one row per
-chunk. Documents are dealt out by a hash of the id; no link, pair or fingerprint list reaches the
-driver.
+Triggers only nominate. Phrases are equal if their symbols are; windows of hot triggers if 128-bit
+hashes of their symbols are (among n of them a chance agreement has a probability of n * n / 2**129).
+Words are symbols by a 64-bit hash, so windows of words agree by chance only if all their words do.
+
+The text is measured first: chunks and buckets are shares of a given size, whatever the size of the
+corpus and the session's settings, and each has a partition of its own. Messages are
+aggregated before each exchange, at most one of a kind from a chunk to a bucket, so a passage in a
+third of all documents is one row per chunk. Documents are dealt out by a hash of id and text; no link,
+pair or fingerprint list reaches the driver.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import secrets
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +40,15 @@ from . import _text as X
 SPACE_OR_CONTROL = X.byte_class(0x20, (0x09, 0x0D))
 #: A trigger with more occurrences than this is dealt out by window.
 HOT_TRIGGER = 200
-PHRASES_AT_ONCE = 40_000
+SYMBOLS_AT_ONCE = 3 << 20
+#: Text of a chunk. A task holds one chunk, or the messages of one bucket, which are about as large as
+#: CHUNKS_A_BUCKET chunks; larger chunks on larger executors make fewer, fuller messages.
+CHUNK_BYTES = 8 << 20
+CHUNKS_A_BUCKET = 2
 
 _COUNTED = np.dtype([("fp", "<u4"), ("n", "u1")])
 _SPAN = np.dtype([("row", "<i4"), ("start", "<i4"), ("end", "<i4")])
-_WINDOW = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("row", "<i4"), ("pos", "<i4"), ("n", "u1")])
+_WINDOW = np.dtype([("hash", "<u8"), ("more", "<u8"), ("doc", "<i8"), ("row", "<i4"), ("pos", "<i4"), ("n", "u1")])
 
 _MESSAGE = "bucket int, chunk int, kind int, blob binary"
 _PHRASES, _WINDOWS, _SPANS = 0, 1, 2
@@ -46,12 +57,14 @@ _PHRASES, _WINDOWS, _SPANS = 0, 1, 2
 @dataclass(frozen=True)
 class Rule:
     """length: symbols of a window; gram: symbols of a trigger; words: symbols are words, not bytes;
-    earlier: only a window of a document with a smaller id counts as a repeat, else any other place."""
+    earlier: only a window of a document with a smaller id counts as a repeat, else any other place; key:
+    of the hashes, drawn anew for each run, so that no text can be made to collide in it."""
 
     length: int
     gram: int
     words: bool
     earlier: bool
+    key: int = field(default_factory=lambda: secrets.randbits(63))
 
     @property
     def context(self) -> int:
@@ -59,7 +72,13 @@ class Rule:
 
     @property
     def phrase(self) -> np.dtype:
-        return np.dtype([("fp", "<u4"), ("doc", "<i8"), ("row", "<i4"), ("pos", "<i4"), ("lo", "u1"), ("hi", "u1"), ("n", "u1"), ("text", "<u8" if self.words else "u1", (self.context,))])
+        offset = "u1" if self.length <= 256 else "<u2" if self.length <= 65_536 else "<u4"
+        return np.dtype([("fp", "<u4"), ("doc", "<i8"), ("row", "<i4"), ("pos", "<i4"), ("lo", offset), ("hi", offset), ("n", "u1"), ("text", "<u8" if self.words else "u1", (self.context,))])
+
+    def names(self, rows: np.ndarray) -> np.ndarray:
+        """A number for each phrase; those with the same symbols and windows, and only they, have the same."""
+        offsets = self.length - self.gram + 1
+        return (X.equal_rows(np.ascontiguousarray(rows["text"])) * offsets + rows["lo"]) * offsets + rows["hi"]
 
 
 class _Slice:
@@ -69,34 +88,48 @@ class _Slice:
         self.rule, self.first, self.data = rule, first, data
         if rule.words:
             self.starts, self.ends, self.at = X.words(data, offsets, ~SPACE_OR_CONTROL)
-            self.symbols = X.span(X.prefix(X.BYTE_VALUE[data]), self.starts, self.ends)
+            self.symbols = X.word_hashes(data, self.starts, self.ends, rule.key)
             values = self.symbols
         else:
             self.at, self.symbols, values = offsets, data, X.BYTE_VALUE[data]
         self.sums = X.prefix(values)
 
-    def triggers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Position, hash and row (in the slice) of each trigger."""
+    def triggers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Position, hash and row (in the slice) of each trigger, and of the windows that are its own (those
+        in which it is the first of the smallest grams) the first and last, as offsets in its phrase."""
         n, k, length = len(self.symbols), self.rule.gram, self.rule.length
         none = np.empty(0, np.int64)
         if n < length:
-            return none, np.empty(0, np.uint64), none
-        grams = X.span_all(self.sums, k)
-        least = _slide(grams, length - k + 1, np.minimum)
+            return none, np.empty(0, np.uint64), none, none, none
+        grams, wide = X.span_all(self.sums, k), length - k + 1
+        least = _slide(grams, wide, np.minimum)
         row_of = np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
         row_end = self.at[1:][row_of[: len(least)]]
         least[np.arange(length, n + 1) > row_end] = 0
-        pad = np.zeros(length - k, np.uint64)
-        most = _slide(np.concatenate([pad, least, pad]), length - k + 1, np.maximum)
-        at = np.flatnonzero((grams == most) & (most > 0))
-        return at, grams[at], row_of[at]
-
-    def reach(self, at: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the phrase of each trigger its start, and the first and last window's offset in it."""
-        base = at + self.rule.gram - self.rule.length
-        low = np.maximum(self.at[row] - base, 0)
-        high = np.minimum(at, self.at[row + 1] - self.rule.length) - base
-        return base, low, high
+        pad = np.zeros(wide - 1, np.uint64)
+        padded = np.concatenate([pad, least, pad])
+        at = np.flatnonzero((grams == _slide(padded, wide, np.maximum)) & (grams > 0))
+        hashes = grams[at]
+        low, high = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        cells = max(1, (1 << 22) // wide)
+        for i in range(0, len(at), cells):  # windows are starts from at - wide + 1 to at
+            own = padded[at[i : i + cells, None] + np.arange(wide)] == hashes[i : i + cells, None]
+            low[i : i + cells] = own.argmax(axis=1)
+            high[i : i + cells] = wide - 1 - own[:, ::-1].argmax(axis=1)
+        # windows that hold an equal gram before this one are that one's
+        again = np.flatnonzero(hashes[1:] == hashes[:-1]) + 1
+        low[again] = np.maximum(low[again], at[again - 1] + wide - at[again])
+        mine = low <= high
+        return at[mine], hashes[mine], row_of[at[mine]], low[mine], high[mine]
+
+    def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of the window at each place, of its symbols."""
+        out = np.empty((2, len(at)), np.uint64)
+        for i in range(0, len(at), 1 << 14):
+            columns = X.as_numbers(self.symbols[at[i : i + (1 << 14), None] + np.arange(self.rule.length)])
+            for seed in (0, 1):
+                out[seed, i : i + (1 << 14)] = X.chained(columns, self.rule.key ^ seed)
+        return out[0], out[1]
 
 
 def _slide(values: np.ndarray, width: int, op) -> np.ndarray:
@@ -143,6 +176,23 @@ def _unsqueezed(blob, dtype: np.dtype) -> np.ndarray:
     return rows
 
 
+def _counts(rows: np.ndarray) -> bytes:
+    """Fingerprints in order, as compressed differences, and their counts."""
+    rows = rows[np.argsort(rows["fp"], kind="stable")]
+    steps = np.diff(rows["fp"], prepend=np.uint32(0)).astype("<u4")
+    plain = steps.view(np.uint8).reshape(-1, 4).T.tobytes() + rows["n"].tobytes()
+    return len(rows).to_bytes(8, "little") + pa.compress(plain, codec="zstd", asbytes=True)
+
+
+def _counted(blob) -> np.ndarray:
+    blob = memoryview(blob)
+    rows = np.empty(int.from_bytes(blob[:8], "little"), _COUNTED)
+    plain = np.frombuffer(pa.decompress(pa.py_buffer(blob[8:]), 5 * len(rows), codec="zstd"), np.uint8)
+    steps = np.ascontiguousarray(plain[: 4 * len(rows)].reshape(4, -1).T).view("<u4").ravel()
+    rows["fp"], rows["n"] = np.cumsum(steps, dtype=np.uint32), plain[4 * len(rows) :]
+    return rows
+
+
 def _messages(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     columns = list(zip(*rows)) if rows else [[], [], [], []]
     return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "chunk", "kind", "blob"])
@@ -159,7 +209,7 @@ def _count_triggers(rule: Rule, buckets: int):
         ids, text = _sorted_chunk(table)
         hashes, docs = [], []
         for part in _slices(rule, text):
-            _, h, row = part.triggers()
+            _, h, row, _, _ = part.triggers()
             hashes.append(h)
             docs.append(ids[part.first + row])
         h, d = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((hashes, np.uint64), (docs, np.int64)))
@@ -173,7 +223,7 @@ def _count_triggers(rule: Rule, buckets: int):
         counted["fp"] = h[at].astype(np.uint32)
         counted["n"] = np.minimum(np.diff(np.r_[at, len(h)]), 255)
         chunk = key[0].as_py()
-        return _messages([(b, chunk, 0, X.pack(x)) for b, x in X.by_key(_bucket(h[at], buckets), counted)])
+        return _messages([(b, chunk, 0, _counts(x)) for b, x in X.by_key(_bucket(h[at], buckets), counted)])
 
     return send
 
@@ -181,7 +231,7 @@ def _count_triggers(rule: Rule, buckets: int):
 def _repeated_triggers():
     def answer(key, table):
         chunks = table.column("chunk").to_pylist()
-        sent = [np.frombuffer(b.as_buffer(), _COUNTED) for b in table.column("blob")]
+        sent = [_counted(b.as_buffer()) for b in table.column("blob")]
         every = np.concatenate(sent)
         order = np.argsort(every["fp"], kind="stable")
         fps = every["fp"][order]
@@ -197,7 +247,7 @@ def _repeated_triggers():
                 reply = np.empty(int(found.sum()), _COUNTED)
                 reply["fp"] = mine["fp"][found]
                 reply["n"] = total[place[found]] > HOT_TRIGGER
-                out.append((bucket, chunk, 0, X.pack(reply)))
+                out.append((bucket, chunk, 0, _counts(reply)))
         return _messages(out)
 
     return answer
@@ -243,23 +293,23 @@ def _send_phrases(rule: Rule, buckets: int):
     def send(key, table, replies):
         ids, text = _sorted_chunk(table)
         chunk = key[0].as_py()
-        known = [np.frombuffer(b.as_buffer(), _COUNTED) for b in replies.column("blob")]
+        known = [_counted(b.as_buffer()) for b in replies.column("blob")]
         if not known:
             return _messages([])
         wide = np.concatenate([(np.int64(b) << 32) | r["fp"].astype(np.int64) for b, r in zip(replies.column("bucket").to_pylist(), known)])
         hot = np.concatenate([r["n"] for r in known])
         order = np.argsort(wide)
         wide, hot = wide[order], hot[order]
-        phrases, phrase_keys, phrase_buckets, windows = [], [], [], []
+        phrases, phrase_buckets, windows = [], [], []
         for part in _slices(rule, text):
-            at, h, row = part.triggers()
+            at, h, row, low, high = part.triggers()
             bucket = _bucket(h, buckets)
             mine = (bucket << 32) | (h & np.uint64(0xFFFFFFFF)).astype(np.int64)
             place = np.searchsorted(wide, mine)
             place[place == len(wide)] = 0
             found = wide[place] == mine
             warm = hot[place].astype(bool)
-            base, low, high = part.reach(at, row)
+            base = at + rule.gram - length
             cold = np.flatnonzero(found & ~warm)
             if len(cold):
                 made = np.zeros(len(cold), rule.phrase)
@@ -267,15 +317,12 @@ def _send_phrases(rule: Rule, buckets: int):
                 made["fp"], made["row"], made["pos"] = h[cold].astype(np.uint32), part.first + r, b - part.at[r]
                 made["doc"], made["lo"], made["hi"] = ids[part.first + r], low[cold], high[cold]
                 where = b[:, None] + np.arange(rule.context)
-                outside = (where < part.at[r][:, None]) | (where >= part.at[r + 1][:, None])
+                outside = (where < (b + low[cold])[:, None]) | (where >= (b + high[cold] + length)[:, None])
                 texts = part.symbols[np.clip(where, 0, len(part.symbols) - 1)]
                 texts[outside] = 0
                 made["text"] = texts
-                start, end = np.maximum(b, part.at[r]), np.minimum(b + rule.context, part.at[r + 1])
-                shape = (low[cold] * 256 + high[cold]).astype(np.uint64)
                 phrases.append(made)
                 phrase_buckets.append(bucket[cold])
-                phrase_keys.append(X.mix(X.span(part.sums, start, end) + shape))
             warm = np.flatnonzero(found & warm)
             if len(warm):
                 count = high[warm] - low[warm] + 1
@@ -283,19 +330,20 @@ def _send_phrases(rule: Rule, buckets: int):
                 at0, one = np.unique(at0, return_index=True)
                 r = np.repeat(row[warm], count)[one]
                 made = np.empty(len(at0), _WINDOW)
-                made["hash"], made["doc"], made["row"], made["pos"], made["n"] = X.span(part.sums, at0, at0 + length), ids[part.first + r], part.first + r, at0 - part.at[r], 1
+                made["hash"], made["more"] = part.windows(at0)
+                made["doc"], made["row"], made["pos"], made["n"] = ids[part.first + r], part.first + r, at0 - part.at[r], 1
                 windows.append(made)
         out, spans = [], []
         if phrases:
-            made, keys, where = np.concatenate(phrases), np.concatenate(phrase_keys), np.concatenate(phrase_buckets)
-            done, sent, n = _settle(rule, keys, made["doc"])
+            made, where = np.concatenate(phrases), np.concatenate(phrase_buckets)
+            done, sent, n = _settle(rule, rule.names(made), made["doc"])
             made["n"] = n
             m = made[done]
             spans.append(_merged(m["row"], m["pos"] + m["lo"].astype(np.int32), m["pos"] + m["hi"].astype(np.int32) + length))
             out += [(b, chunk, _PHRASES, _squeezed(x)) for b, x in X.by_key(where[sent], made[sent])]
         if windows:
             made = np.concatenate(windows)
-            done, sent, made["n"] = _settle(rule, made["hash"], made["doc"])
+            done, sent, made["n"] = _settle(rule, _pairs(made), made["doc"])
             m = made[done]
             spans.append(_merged(m["row"], m["pos"], m["pos"] + length))
             m = made[sent]
@@ -310,6 +358,15 @@ def _send_phrases(rule: Rule, buckets: int):
     return send
 
 
+def _pairs(rows: np.ndarray) -> np.ndarray:
+    """A number for each window, by both its hashes."""
+    order = np.lexsort((rows["more"], rows["hash"]))
+    new = np.r_[False, (rows["hash"][order][1:] != rows["hash"][order][:-1]) | (rows["more"][order][1:] != rows["more"][order][:-1])]
+    out = np.empty(len(rows), np.int64)
+    out[order] = np.cumsum(new[: len(rows)])
+    return out
+
+
 def _per_class(rule: Rule, at: np.ndarray, doc: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per class of equal rows (starting at `at`): the smallest document and how many it has."""
     return np.minimum.reduceat(doc, at), np.add.reduceat(n.astype(np.int64), at)
@@ -348,8 +405,9 @@ def _answer_phrases(rule: Rule, resolve):
         return _messages([(key[0].as_py(), c, _SPANS, X.pack(_merged(m["row"], m["start"], m["end"]))) for c, m in X.by_key(origin, s)])
 
     def _settle_windows(rule, rows, _):
-        order = np.argsort(rows["hash"], kind="stable")
-        at = _group_starts(rows["hash"][order])
+        names = _pairs(rows)
+        order = np.argsort(names, kind="stable")
+        at = _group_starts(names[order])
         least, total = _per_class(rule, at, rows["doc"][order], rows["n"][order])
         group = np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(order)]))
         hit = order[_repeats(rule, least[group], total[group], rows["doc"][order], rows["n"][order])]
@@ -361,7 +419,7 @@ def _answer_phrases(rule: Rule, resolve):
         cuts = np.r_[_group_starts(rows["fp"][order]), len(order)]
         found, at = [], 0
         while at < len(cuts) - 1:
-            to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + PHRASES_AT_ONCE, side="right")) - 1)
+            to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + max(1, SYMBOLS_AT_ONCE // rule.context), side="right")) - 1)
             own = order[cuts[at] : cuts[to]]
             which, start, end = _settle_run(rule, rows[own], resolve)
             found.append((own[which], start, end))
@@ -371,14 +429,9 @@ def _answer_phrases(rule: Rule, resolve):
     def _settle_run(rule, rows, resolve):
         """Phrases that are equal as a whole first; only where a trigger stands in different
         phrases are their windows looked at one by one. rows come by trigger."""
-        values = X.BYTE_VALUE[rows["text"]] if not rule.words else rows["text"]
-        scale = X.mix(np.arange(1, rule.context + 1, dtype=np.uint64)) | np.uint64(1)
-        whole = np.zeros(len(rows), np.uint64)
-        for i in range(0, len(rows), 8192):
-            whole[i : i + 8192] = (values[i : i + 8192] * scale).sum(axis=1, dtype=np.uint64)
-        whole = X.mix(whole + (rows["lo"].astype(np.uint64) << np.uint64(8)) + rows["hi"]) ^ rows["fp"]
+        whole = rule.names(rows)
         order = np.lexsort((whole, rows["fp"]))
-        at = _group_starts(whole[order])
+        at = np.flatnonzero(np.r_[True, (whole[order][1:] != whole[order][:-1]) | (rows["fp"][order][1:] != rows["fp"][order][:-1])])
         group = np.empty(len(rows), np.int64)
         group[order] = np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(order)]))
         least, total = _per_class(rule, at, rows["doc"][order], rows["n"][order])
@@ -446,19 +499,21 @@ def _cut(rule: Rule):
     return cut
 
 
-def remove_repeats(docs: DataFrame, rule: Rule, resolve, id_col: str, text_col: str, chunks: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, rule: Rule, resolve, id_col: str, text_col: str, chunks: int | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """id, units, removed, spans (of symbols, end exclusive) and kept (binary) of each row of docs.
 
-    chunks: shares that documents are dealt into, by default two per shuffle partition; triggers are
-    dealt into as many buckets as there are shuffle partitions. Both stay bounded where the partition
-    count follows the input, and a chunk sends at most one message of a kind to a bucket.
+    chunks: shares that documents are dealt into; by default as many as there are `chunk_bytes` of text,
+    and at least one a core.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = chunks or 2 * parts
-    buckets = max(1, chunks // 2)
-    dealt = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int")).repartition(parts, "chunk")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    if chunks is None:
+        total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        chunks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // chunk_bytes))
+    buckets = -(-chunks // CHUNKS_A_BUCKET)
+    by = lambda df, key: df.repartitionById(buckets if key == "bucket" else chunks, key)
+    dealt = by(source.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int")), "chunk")
     counted = dealt.groupBy("chunk").applyInArrow(_count_triggers(rule, buckets), _MESSAGE)
-    repeated = counted.groupBy("bucket").applyInArrow(_repeated_triggers(), _MESSAGE)
-    phrases = dealt.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(_send_phrases(rule, buckets), _MESSAGE)
-    spans = phrases.groupBy("bucket").applyInArrow(_answer_phrases(rule, resolve), _MESSAGE)
-    return dealt.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(_cut(rule), "id long, units long, removed long, spans array<struct<start: long, end: long>>, kept binary")
+    repeated = by(counted, "bucket").groupBy("bucket").applyInArrow(_repeated_triggers(), _MESSAGE)
+    phrases = dealt.groupBy("chunk").cogroup(by(repeated, "chunk").groupBy("chunk")).applyInArrow(_send_phrases(rule, buckets), _MESSAGE)
+    spans = by(phrases, "bucket").groupBy("bucket").applyInArrow(_answer_phrases(rule, resolve), _MESSAGE)
+    return dealt.groupBy("chunk").cogroup(by(spans, "chunk").groupBy("chunk")).applyInArrow(_cut(rule), "id long, units long, removed long, spans array<struct<start: long, end: long>>, kept binary")

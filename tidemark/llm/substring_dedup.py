@@ -120,7 +120,7 @@ def _automata(rule: Rule, phrases: np.ndarray, least: np.ndarray, total: np.ndar
     return np.zeros_like(totals), totals
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 35, chunks: int | None = None) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 35, chunks: int | None = None, **sizes) -> DataFrame:
     """id_col, n_words, n_removed, removed_spans (of words, end exclusive, maximal) and kept (the
     remaining words joined by one space).
 
@@ -128,5 +128,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     anywhere else, judged on the input.
     """
     gram = max(1, min(12, min_words // 2))
-    out = remove_repeats(docs, Rule(min_words, gram, words=True, earlier=False), _automata, id_col, text_col, chunks)
+    out = remove_repeats(docs, Rule(min_words, gram, words=True, earlier=False), _automata, id_col, text_col, chunks, **sizes)
     return out.select(F.col("id").alias(id_col), F.col("units").alias("n_words"), F.col("removed").alias("n_removed"), F.col("spans").alias("removed_spans"), F.decode("kept", "UTF-8").alias("kept"))

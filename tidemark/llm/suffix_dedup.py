@@ -5,7 +5,8 @@ Prefix-free parsing after a rolling hash: triggers cut each text into overlappin
 occurrences, and a suffix array of the dictionary, sorted to the depth of a window, puts the windows
 of phrases that differ as a whole into corpus order, where equal windows are neighbours. The parse
 itself stays with the documents: each occurrence knows its entry, so a window's verdict is that of
-its dictionary suffix. Phrases found once in the corpus never leave their document's chunk.
+its dictionary suffix. Phrases found once in the corpus never leave their document's chunk. No suffix array
+of the parse is needed or built: a window never reaches beyond the phrase around its trigger.
 
 Defined results: a null text counts as empty; texts under `min_bytes` keep everything; a null id
 sorts after all others; rows with the same id are no repeats of each other; columns besides the id
@@ -49,7 +50,7 @@ def _suffix_array(rule: Rule, phrases: np.ndarray, least: np.ndarray, total: np.
     cuts = np.r_[_group_starts(fps[order]), len(order)]
     at = 0
     while at < len(cuts) - 1:
-        to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + 20_000, side="right")) - 1)
+        to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + max(1, 1_500_000 // rule.context), side="right")) - 1)
         rows = order[cuts[at] : cuts[to]]
         rank = window_ranks(phrases["text"][rows], rule.length)
         r, o = np.nonzero(valid[rows])
@@ -64,12 +65,12 @@ def _suffix_array(rule: Rule, phrases: np.ndarray, least: np.ndarray, total: np.
     return lows, totals
 
 
-def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 50, chunks: int | None = None) -> DataFrame:
+def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 50, chunks: int | None = None, **sizes) -> DataFrame:
     """id_col, n_bytes, n_removed, removed_spans (bytes, end exclusive, maximal) and kept (binary).
 
     Removed is each byte covered by a string of `min_bytes` bytes that also starts in a row with a
     smaller id, judged on the input.
     """
-    gram = max(1, min(24, min_bytes - 8))
-    out = remove_repeats(docs, Rule(min_bytes, gram, words=False, earlier=True), _suffix_array, id_col, text_col, chunks)
+    gram = max(1, min(20, min_bytes - 8))
+    out = remove_repeats(docs, Rule(min_bytes, gram, words=False, earlier=True), _suffix_array, id_col, text_col, chunks, **sizes)
     return out.select(F.col("id").alias(id_col), F.col("units").alias("n_bytes"), F.col("removed").alias("n_removed"), F.col("spans").alias("removed_spans"), "kept")
