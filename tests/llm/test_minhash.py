@@ -110,6 +110,17 @@ def test_rows_that_share_an_id_but_not_a_text(spark):
         assert sorted(str(tuple(r)[:2]) for r in left.collect()) == sorted(map(str, [rows[0], rows[2], rows[6], rows[7], rows[8], rows[9]]))
 
 
+def test_very_long_texts_and_hubs_of_many_pairs(spark, monkeypatch):
+    from tidemark.llm import minhash
+
+    monkeypatch.setattr(minhash, "PAIRS_AT_ONCE", 3)
+    pick = random.Random(5)
+    long = [f"w{pick.randrange(50_000)}" for _ in range(120_000)]
+    base = [f"v{pick.randrange(1000)}" for _ in range(100)]
+    rows = [(1, " ".join(long)), (2, " ".join(edited(pick, long, 500))), (3, " ".join(long[:80_000]))] + [(10 + i, " ".join(edited(pick, base, 1))) for i in range(40)]
+    assert {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == classes(rows)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 105), (105, 103)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

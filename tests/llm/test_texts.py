@@ -242,6 +242,23 @@ def test_planted_secrets_are_found_and_look_alikes_left(spark):
     assert not any(uuid.match(x) and len(x) == 36 for spans in found.values() for x in spans)
 
 
+def test_a_very_long_text_repeated_rows_and_blocks_of_items(spark):
+    pick = random.Random(7)
+    items = [(i, " ".join(f"t{i}x{k}" for k in range(14))) for i in range(30)]
+    long = " ".join(f"w{pick.randrange(5000)}" for _ in range(300_000)).split()
+    for i, t in items[:20]:
+        at = pick.randrange(len(long))
+        long[at:at] = t.split()
+    docs = [(1, " ".join(long)), (2, items[25][1]), (2, items[25][1]), (2, "no hits"), (None, items[26][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items + items[:3], "item_id long, text string")
+    want = sorted((str(i), len(t.split()), sum(w[0] == "t" for w in t.split()), sorted({w[1:].split("x")[0] for w in t.split() if w[0] == "t"})) for i, t in docs[:3] + docs[4:]) + [("2", 2, 0, [])]
+    for block in (1 << 20, 900):
+        got = decontaminate(df, bench, with_text=True, block_bytes=block).collect()
+        assert sorted((str(r.doc_id), r.n_words, r.n_hit, list(r["items"])) for r in got) == sorted(want)
+        assert [len(r.kept.split()) for r in got if r.doc_id == 1] == [300_000]
+
+
 def test_texts_with_very_many_secrets_take_linear_time(spark):
     line = 'token = "abcdef0123" ghp_Abcdefghijklmnopqrstuvwx12 é; '
     df = spark.createDataFrame([(1, line * 16_000), (2, "plain " * 100_000), (2, "plain " * 100_000)], "doc_id long, text string")
@@ -436,3 +453,15 @@ def test_packing_loses_nothing(spark):
     for i, t in enumerate(texts):
         assert sum((pieces[i][p] for p in sorted(pieces[i])), []) == library.encode(t or "", add_bos=True, add_eos=True)
     assert pack_tokens(df.limit(0)).collect() == []
+
+
+def test_packing_of_null_and_repeated_ids(spark):
+    library = sentencepiece.SentencePieceProcessor(model_file=default_model_path())
+    rows = [(None, "one two three"), (None, "four"), (3, "five six"), (3, "seven " * 90), (3, "five six")]
+    want = sorted((str(i), library.encode(t, add_bos=True, add_eos=True)) for i, t in rows)
+    got, long = [], []
+    for r in pack_tokens(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), width=64).collect():
+        ids = np.frombuffer(r.ids, "<u2").tolist()
+        for i, part, a, b in zip(r.doc_ids, r.parts, r.cu_seqlens, r.cu_seqlens[1:]):
+            (got if b - a < 20 and part == 0 else long).append((part, str(i), ids[a:b]))
+    assert sorted(x[1:] for x in got) + [("3", sum((x[2] for x in sorted(long)), []))] == [w for w in want if len(w[1]) < 20] + [w for w in want if len(w[1]) >= 20]

@@ -41,6 +41,7 @@ from .toxicity import IN_WORD, _LOWER
 BROADCAST_IDS = 1_000_000
 #: Groups of up to so many texts are compared by pairs, larger ones in blocks.
 SMALL_GROUP = 12
+PAIRS_AT_ONCE = 4096
 BLOCK = 256
 
 
@@ -172,18 +173,21 @@ def _signed(words: int, bands: int, rows: int):
 
 
 def _verify(threshold: float):
+    """Of rows in which a set (side 0) comes before those it is to be compared with (side 1), the pairs
+    that are as similar as the threshold says."""
+
     def run(batches):
+        first = None
         for batch in batches:
-            a, b = batch.column(2), batch.column(3)
-            keep = []
+            side, blobs, keep = batch.column(2).to_numpy(), batch.column(4), np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
-                x, y = np.frombuffer(a[i].as_buffer(), "<u8"), np.frombuffer(b[i].as_buffer(), "<u8")
-                if min(len(x), len(y)) < threshold * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common >= threshold * (len(x) + len(y) - common) - 1e-9)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+                y = np.frombuffer(blobs[i].as_buffer(), "<u8")
+                if not side[i]:
+                    first = y.copy()
+                elif min(len(first), len(y)) >= threshold * max(len(first), len(y)):
+                    common = len(np.intersect1d(first, y, assume_unique=True))
+                    keep[i] = common >= threshold * (len(first) + len(y) - common) - 1e-9
+            yield batch.select([0, 3]).filter(pa.array(keep))
 
     return run
 
@@ -199,12 +203,17 @@ def _sets_of(signed: DataFrame, sets: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _links(signed: DataFrame, sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are as similar as the threshold says."""
+    """The pairs (a, b) whose shingle sets are as similar as the threshold says. Each set of an a is sent
+    once for up to `PAIRS_AT_ONCE` of its pairs, and a hub's pairs are dealt out accordingly, so neither
+    its set nor its group meets in one task."""
     pairs = scratch(pairs)
     found = _sets_of(signed, sets, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct())
-    left = pairs.join(found.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = left.join(found.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
-    out = scratch(both.mapInArrow(_verify(threshold), "a long, b long"))
+    hot = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > PAIRS_AT_ONCE)
+    dealt = pairs.join(hot, "a", "left").select("a", F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / PAIRS_AT_ONCE))).cast("int").alias("part"), "b")
+    firsts = dealt.select("a", "part").distinct().join(found.withColumnRenamed("rep", "a"), "a").select("a", "part", F.lit(0).alias("side"), F.col("a").alias("b"), "shingles")
+    others = dealt.join(found.withColumnRenamed("rep", "b"), "b").select("a", "part", F.lit(1).alias("side"), "b", "shingles")
+    rows = firsts.union(others).repartition("a", "part").sortWithinPartitions("a", "part", "side", "b")
+    out = scratch(rows.mapInArrow(_verify(threshold), "a long, b long"))
     drop(pairs, found)
     return out
 
@@ -304,7 +313,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     hubs = entries.groupBy("band", "key").agg(F.max_by("rep", F.struct("meets", -F.col("rep"))).alias("hub"))
     entries = scratch(entries.join(hubs, ["band", "key"]).select("band", "key", "size", "hub", "rep"))
     drop(shared)
-    linked = _links(signed, sets, entries.where("hub <> rep").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct(), threshold)
+    linked = _links(signed, sets, entries.where("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), threshold)
     first = scratch(components(linked))
     # groups that still hold several components
     labelled = entries.join(first, entries.rep == first.node, "left").select("band", "key", "size", "hub", "rep", F.coalesce("root", "rep").alias("root"))
