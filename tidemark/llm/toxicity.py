@@ -1,6 +1,7 @@
 """Toxicity: a Levenshtein automaton intersected with a lexicon trie, weighed by context.
 
-Fitting, on a bounded sample of labelled rows, counts how many toxic and clean texts hold each word.
+Fitting, on a bounded sample of labelled rows of which near copies with one label count as one, counts
+how many toxic and clean texts hold each word.
 Words that stand in more toxic texts than chance explains are the lexicon, each with the edits that its
 length allows, its first letter like any other; a stem (a prefix that stands for all its continuations,
 without edits) is added beside them only where it is in many more toxic texts than any word of the
@@ -51,6 +52,8 @@ FEATURES = 9
 #: A misspelled hit counts fully only of entries in many more toxic texts than this, and than clean
 #: texts with words near them by chance.
 CHANCE = 10
+#: Coordinates of the sketches by which the sample's near copies are known, and how many have to agree.
+SKETCH, ALIKE = 16, 9
 FOLDS = 3
 #: A stem has to stand in so many times the toxic texts of the most frequent entry that begins with it.
 STEM_GAIN = 1.5
@@ -271,6 +274,51 @@ def _terms(text: str) -> set[str]:
     return found | stems
 
 
+def _sketch(batches):
+    """A signature of each text's runs of three words; none for a text without words."""
+    from .minhash import DartMinHash, shingle_sets
+
+    hasher = DartMinHash(SKETCH)
+    for batch in batches:
+        for first, data, offsets in X.slices(batch.column(2)):
+            n = len(offsets) - 1
+            elements, at = shingle_sets(data, offsets, 3)
+            filled = np.flatnonzero(np.diff(at) > 0)
+            made = [[] for _ in range(n)]
+            if len(filled):
+                for r, s in zip(filled.tolist(), hasher.signatures(elements, np.ones(len(elements)), np.r_[at[filled], at[-1]]).view(np.int64).tolist()):
+                    made[r] = s
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), batch.column(1).slice(first, n), pa.array(made, pa.list_(pa.int64()))], names=["number", "label", "sketch"])
+
+
+def _unlike(rows: list[tuple[int, int, list[int]]]) -> list[int]:
+    """Of (number, label, sketch) rows the smallest number of each group of one label whose sketches agree
+    in ALIKE coordinates, over any number of steps; rows without a sketch stand for themselves."""
+    empty = [r[0] for r in rows if not r[2]]
+    rows = sorted(r for r in rows if r[2])
+    out = {r[0]: r[0] for r in rows}
+    sketches = np.array([r[2] for r in rows], np.int64).reshape(len(rows), SKETCH)
+
+    def find(i):
+        while out[i] != i:
+            i = out[i]
+        return i
+
+    firsts: dict[tuple, list[int]] = {}
+    for place, (number, label, sketch) in enumerate(rows):
+        for pair in range(0, len(sketch), 2):
+            # unlike texts of a band are met one by one: each is compared with those that began a group
+            heads = firsts.setdefault((label, pair, sketch[pair], sketch[pair + 1]), [])
+            for head in heads:
+                if (sketches[head] == sketches[place]).sum() >= ALIKE:
+                    a, b = find(rows[head][0]), find(number)
+                    out[max(a, b)] = min(a, b)
+                    break
+            else:
+                heads.append(place)
+    return [n for n in out if find(n) == n] + empty
+
+
 def _count_terms(batches):
     """Per term, how many toxic and clean texts of each fold hold it."""
     counts: dict[str, list[int]] = {}
@@ -372,11 +420,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     marked = labels.where(training_rows(id_col)).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null")
     marked = marked.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(marked), "id")
-    # equal texts are in one fold, or a row's lexicon would be chosen by its copies
-    rows = scratch(rows.select("text", (F.col("label") > 0).cast("int").alias("label"), F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold")))
+    every = rows.select("text", (F.col("label") > 0).cast("int").alias("label"), F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"))
+    every = scratch(every.dropDuplicates(["text", "label"]).withColumn("number", F.monotonically_increasing_id()))
+    # one of each group of near copies, or words that they share by descent would seem to go with their label
+    sketched = every.select("number", "label", "text").mapInArrow(_sketch, "number long, label int, sketch array<long>").collect()
+    kept = docs.sparkSession.createDataFrame([(n,) for n in _unlike([(r.number, r.label, r.sketch) for r in sketched])], "number long")
+    rows = scratch(every.join(F.broadcast(kept), "number").select("text", "label", "fold"))
+    drop(every)
     sizes = {(r.label, r.fold): r.n for r in rows.groupBy("label", "fold").agg(F.countDistinct("text").alias("n")).collect()}
-    every = rows.groupBy("label").agg(F.count("*").alias("n")).collect()
-    n_toxic, n_clean = (sum(r.n for r in every if r.label == x) for x in (1, 0))
+    n_toxic, n_clean = (sum(n for (label, _), n in sizes.items() if label == x) for x in (1, 0))
     if not n_toxic:
         return ToxicityModel((), (), (float(np.log(0.5 / (n_clean + 0.5))),) + (0.0,) * FEATURES)
     counted = rows.dropDuplicates(["text"]).mapInArrow(_count_terms, ", ".join(["term string", *[f"{c} long" for c in _COUNTS]])).groupBy("term").agg(*[F.sum(c).alias(c) for c in _COUNTS])
