@@ -271,6 +271,18 @@ def test_batches_of_locks(pair):
     assert [client.next() for _ in range(3)] == [115, 116, 117] and client.run(2) == [119, 120]
 
 
+def test_intents(db):
+    store = db.store
+    assert store.set_intent(b"k", 5, b"v", now=0.0) == M.OK and store.set_intent(b"k", 6, b"w") == M.LOCKED
+    assert store.intent(b"k") == b"v" and store.intent(b"none") is None and [r.start_ts for r in store.locks_of(b"k").collect()] == [5]
+    store.remove_intent(b"k", 6)
+    assert store.intent(b"k") == b"v"
+    store.remove_intent(b"k")
+    assert store.intent(b"k") is None
+    store.flush()
+    store.close()
+
+
 def test_the_table_of_shards(db):
     store = db.store
     assert store.init_routes({0: (b"", b"m"), 1: (b"m", None)}) == M.OK and store.init_routes({0: (b"", None)}) == M.ROUTES_EXIST

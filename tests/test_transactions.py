@@ -94,3 +94,10 @@ def test_a_log_of_plain_writes_is_an_aggregate(spark):
     state, _ = model(commands)
     got = {(bytes(r.key), r.ts): (r.live, r.value and bytes(r.value)) for r in L.apply_writes(df).collect()}
     assert got == {(k, t): v for k, s in state.items() for t, v in s.versions.items()}
+
+
+def test_commands_as_lines(spark):
+    log = spark.createDataFrame([(1, "SET", bytearray(b"\xffk"), bytearray(b""), 5, None, None, None, None), (2, "COMMIT", bytearray(b"k"), None, None, 5, 6, bytearray(b"k"), None), (3, None, None, None, None, None, None, None, None)], L.COMMANDS)
+    assert sorted(map(str, L.from_lines(L.to_lines(log)).collect())) == sorted(map(str, log.collect()))
+    assert L.from_lines(spark.createDataFrame([("broken",)], "value string")).first().type is None
+    assert [r[0] for r in log.orderBy("idx").select(L.writes_new_data(log.type)).collect()] == [True, False, True]

@@ -21,17 +21,18 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
             command.add_argument(n)
         if name in ("get", "scan"):
             command.add_argument("--consistency", choices=(STRONG, FOLLOWER, CACHED), default=STRONG)
+            command.add_argument("--wait", type=float, default=0.0, help="seconds to resolve locks and wait for them")
     a = parser.parse_args(arguments)
     spark = spark or SparkSession.builder.master("local[*]").config("spark.ui.enabled", "false").getOrCreate()
     db = Database(spark, a.data_dir or tempfile.mkdtemp(prefix="tidemark-"))
     if a.command == "get":
-        value = db.get(a.key.encode(), consistency=a.consistency)
+        value = db.get(a.key.encode(), consistency=a.consistency, wait=a.wait)
         if value is None:
             print("Key not found")
             return 1
         print(value.decode())
     elif a.command == "scan":
-        for row in db.scan(a.start.encode(), a.end.encode(), consistency=a.consistency).toLocalIterator():
+        for row in db.scan(a.start.encode(), a.end.encode(), consistency=a.consistency, wait=a.wait).toLocalIterator():
             print(f"{bytes(row.key).decode()}: {bytes(row.value).decode()}")
     else:
         db.set(a.key.encode(), a.value.encode()) if a.command == "set" else db.delete(a.key.encode())

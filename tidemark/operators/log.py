@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark import model as M
 
@@ -18,6 +18,27 @@ COMMANDS = "idx long, type string, key binary, value binary, timestamp long, sta
 RESULTS = "kind string, key binary, ts long, start_ts long, live boolean, value binary, status string, primary_key binary, lock_time double, idx long, code int"
 
 
+#: Commands that write what no lock holds yet; a shard that is split or moved refuses them.
+DATA_COMMANDS = ("SET", "DELETE", "PREWRITE")
+
+
+def writes_new_data(type_: Column) -> Column:
+    """Whether a command is one of these; one whose type can't be read counts as one."""
+    return F.coalesce(type_.isin(*DATA_COMMANDS), F.lit(True))
+
+
+def to_lines(log: DataFrame) -> DataFrame:
+    """Commands as lines of JSON, their bytes in base64, in a column value (of text sinks)."""
+    return log.select(F.to_json(F.struct(*[F.base64(f.name).alias(f.name) if f.dataType.typeName() == "binary" else F.col(f.name) for f in log.schema])).alias("value"))
+
+
+def from_lines(lines: DataFrame) -> DataFrame:
+    """Commands of such lines; of one that isn't a command all fields are null."""
+    plain = COMMANDS.replace("binary", "string")
+    rows = lines.select(F.from_json("value", plain).alias("c")).select("c.*")
+    return rows.select(*[F.unbase64(n).alias(n) if kind == "binary" else F.col(n) for n, kind in (field.strip().split(" ") for field in COMMANDS.split(","))])
+
+
 def apply_writes(log: DataFrame) -> DataFrame:
     """Versions after a log of SET and DELETE commands (idx, type, key, value, timestamp): of several at
     one (key, timestamp) the last one holds."""
