@@ -40,3 +40,28 @@ def test_stages_take_effect_and_keep_clean_rows(spark, tmp_path):
     assert set(got["sentencepiece"]) == clean and got["sentencepiece"][3].decoded == docs[3][1]
     assert {r.doc_id: bytes(r.ids) for r in P.run(spark, folder).collect()} == {i: bytes(r.ids) for i, r in got["sentencepiece"].items()}
     assert np.frombuffer(got["sentencepiece"][504].ids, "<u4").tolist() == [1, 2]
+
+
+def test_columns_of_any_name_and_empty_tables(spark, tmp_path):
+    pick = random.Random(9)
+    say = lambda n: " ".join(f"w{pick.randrange(900)}" for _ in range(n))
+    names = ["items", "kept", "_score", "_node", "_text", "class_id", "mark", "_id", "_mark", "N_WORDS", "n hit", "a.b", "_spans", "_redacted", "label"]
+    rows = [(i, say(40), None, *[f"{n}{i}" for n in names]) for i in range(6)] + [(7, None, 5, *names), (None, "", 5, *names), (7, None, 5, *names)]
+    schema = "doc_id long, TEXT string, n_chars int, " + ", ".join(f"`{n}` string" for n in names)
+    for folder, docs in (("some", rows), ("none", [])):
+        at = str(tmp_path / folder)
+        spark.createDataFrame(docs, schema).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+        frame = spark.read.parquet(f"{at}/documents.parquet")
+        monkey = P.TOXIC_FROM
+        P.TOXIC_FROM = 0.6  # without labels every score is a half
+        try:
+            for name, stage in P.STAGES[:-1]:
+                frame = stage(spark, frame, at)
+                assert frame.columns == ["doc_id", "TEXT", "n_chars", *names], name
+            got = sorted((str(r.doc_id), r.TEXT or "", r["a.b"], r["_id"]) for r in frame.collect())
+            assert got == sorted({(str(r[0]), r[1] or "", r[3 + names.index("a.b")], r[3 + names.index("_id")]) for r in docs})
+            assert P.run(spark, at).count() == len(got)
+        finally:
+            P.TOXIC_FROM = monkey

@@ -32,7 +32,8 @@ def scratch(df: DataFrame, onto: DataFrame | None = None) -> DataFrame:
     read and not what came before. onto: a table made here, which df is added to."""
     spark = df.sparkSession
     path = _paths[onto] if onto is not None else f"{shared_dir(spark).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
-    df.write.mode("append").parquet(path)
+    # the codec of Spark's default works in direct buffers, which pile up beside the heap until it is collected
+    df.write.mode("append").option("compression", "zstd").parquet(path)
     if onto is None:
         _made.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -114,6 +114,21 @@ def slices(column, most: int = SLICE_BYTES):
     give_back()
 
 
+def bounded_batches(df):
+    """df, after its session's Arrow batches are bounded, where it leaves them at Spark's defaults: 10,000
+    long texts at once would be held several times over, by the executor and by its worker."""
+    conf = df.sparkSession.conf
+    for key, default, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m")):
+        if conf.get(key, None) == default:
+            conf.set(key, value)
+    return df
+
+
+def numbered(df):
+    """df with columns c0, c1 and so on: mapInArrow takes no names with dots."""
+    return bounded_batches(df).toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def give_back() -> None:
     """Returns freed memory to the system: a worker lives on after its task, beside those of the next
     stage."""

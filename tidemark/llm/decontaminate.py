@@ -33,7 +33,7 @@ from ._scratch import drop, scratch
 IN_WORD = ~X.byte_class((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 _SAMPLE = 8
 
 
@@ -247,7 +247,7 @@ def _without(data: np.ndarray, offsets: np.ndarray, firsts: np.ndarray, lasts: n
     return pc.if_else(text.is_valid(), made, pa.scalar(None, pa.string())) if text.null_count else made
 
 
-def _scan(phrases: Phrases, at_text: int, again: bool, cut: bool, names: list[str]):
+def _scan(phrases: Phrases, at_text: int, again: bool, cut: bool, names: list[str], columns: list[str]):
     """Adds the hits of a block of phrases; again: to those of blocks before, in the last columns. cut:
     adds the text without its hit words too; what stands between two of them in one span goes with
     them."""
@@ -286,7 +286,7 @@ def _scan(phrases: Phrases, at_text: int, again: bool, cut: bool, names: list[st
                 added = [pa.array(np.diff(at), pa.int64()), pa.array(total[at[1:]] - total[at[:-1]], pa.int64()), spans, pa.array([sorted(x) for x in found], pa.list_(pa.string()))]
                 if cut:
                     added.append(_without(data, offsets, starts[begin], ends[end - 1], own.column(at_text)))
-                yield pa.RecordBatch.from_arrays([*carried, *added], names=[*batch.schema.names[: len(carried)], *names[: len(added)]])
+                yield pa.RecordBatch.from_arrays([*carried, *added], names=[*columns, *names[: len(added)]])
 
     return run
 
@@ -309,14 +309,14 @@ def with_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     types = [T.LongType(), T.LongType(), T.ArrayType(span), T.ArrayType(T.StringType()), T.StringType()]
     fields = [T.StructField(f.name, f.dataType, True) for f in docs.schema] + [T.StructField(n, t) for n, t in zip(names, types)]
-    spark, out, before = docs.sparkSession, docs, None
+    spark, columns, out, before = docs.sparkSession, docs.columns, docs, None
     for block in range(blocks):
         rows = items if blocks == 1 else items.where(F.pmod(F.xxhash64(F.coalesce("item", "text")), F.lit(blocks)) == block)
         shared = spark.sparkContext.broadcast(Phrases([tuple(r) for r in rows.collect()], window))
         last = block == blocks - 1
         cut = with_text and last
-        run = lambda batches, shared=shared, again=block > 0, cut=cut: _scan(shared.value, at, again, cut, names)(batches)
-        out = out.mapInArrow(run, T.StructType(fields if cut else fields[:-1]))
+        run = lambda batches, shared=shared, again=block > 0, cut=cut: _scan(shared.value, at, again, cut, names, columns)(batches)
+        out = X.numbered(out).mapInArrow(run, T.StructType(fields if cut else fields[:-1]))
         if not last:
             out = scratch(out)
             shared.unpersist()

@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import _text as X
 from ._scratch import drop, scratch
@@ -300,7 +300,7 @@ def components(links: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, words: int = 5, bands: int = 32, rows: int = 4) -> DataFrame:
     """id (NULL_ID for null) and mark (a hash of the text) of each row, and least, the smallest (id,
     mark) of its class."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), mark_of(F.col(text_col)).alias("mark"), F.col(text_col).cast("string").alias("text"))
+    source = X.bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), mark_of(F.col(text_col)).alias("mark"), F.col(text_col).cast("string").alias("text"))
     signed = scratch(source.mapInArrow(_signed(words, bands, rows), "id long, mark long, n long, name1 long, name2 long, bands array<long>, shingles binary"))
     sets = signed.where("n > 0").groupBy("name1", "name2").agg(F.min(F.struct("id", "mark")).alias("least"), F.first("bands").alias("bands"))
     sets = scratch(sets.withColumn("rep", F.monotonically_increasing_id()))  # once written, the numbers stay
@@ -354,4 +354,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key, mark = X.free_names(docs.columns, "_id", "_mark")
     kept = found.where(F.struct("id", "mark") == F.col("least")).select(F.col("id").alias(key), F.col("mark").alias(mark)).distinct()
     rows = docs.withColumn(key, F.coalesce(F.col(X.quoted(id_col)).cast("long"), F.lit(X.NULL_ID))).withColumn(mark, mark_of(F.col(X.quoted(text_col))))
-    return rows.join(kept, [key, mark], "left_semi").dropDuplicates([key, mark]).select(*map(X.quoted, docs.columns))
+    left = rows.join(kept, [key, mark], "left_semi")
+    # the join leaves rows dealt out and sorted by both, which is all that the window needs
+    (place,) = X.free_names(left.columns, "_place")
+    one = F.row_number().over(Window.partitionBy(key, mark).orderBy(key, mark))
+    return left.withColumn(place, one).where(F.col(place) == 1).select(*map(X.quoted, docs.columns))

@@ -121,7 +121,7 @@ def _rows_of(ids, tokens: np.ndarray, stop: np.ndarray, width: int, pad: int, nu
 SCHEMA = "group_id long, row int, n_tokens int, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, parts array<int>, ids binary"
 
 
-def pack_tokens(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", width: int = 2048, group_tokens: int = 2_000_000, pad: int = 0, cache_segments: int = 300_000) -> DataFrame:
+def pack_tokens(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", width: int = 2048, group_tokens: int = 2_000_000, pad: int = 0, cache_segments: int = 200_000) -> DataFrame:
     """group_id (a hash of the group's first document and its place), row, n_tokens without padding,
     cu_seqlens (from 0), position_resets, doc_ids and parts (piece numbers of a split document) of
     each segment, and ids: `width` ids of 2 bytes (4, where the vocabulary needs them)."""
@@ -157,7 +157,7 @@ def pack_tokens(docs: DataFrame, model_path: str | None = None, id_col: str = "d
         if held:
             yield flush()
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return X.bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
 def positions(resets: Column, n_tokens: Column) -> Column:

@@ -41,7 +41,7 @@ class Codec:
     """One model's vocabulary with the encoder, the decoder and their memory. by_library: new segments
     are encoded by the sentencepiece library, for callers that only need ids."""
 
-    def __init__(self, model: bytes, cache_segments: int = 300_000, by_library: bool = False):
+    def __init__(self, model: bytes, cache_segments: int = 200_000, by_library: bool = False):
         import ahocorasick
         import sentencepiece
 
@@ -108,7 +108,7 @@ class Codec:
         key = left << 32 | right
         found = self.valid.get(key)
         if found is None:
-            if len(self.valid) > 500_000:
+            if len(self.valid) > 250_000:
                 self.valid.clear()
             found = self.valid[key] = self._merge(self.text[left] + self.text[right]) == [left, right]
         return found
@@ -268,7 +268,7 @@ def _text_of(raw: bytes) -> str:
         return "".join(c if not "\udc80" <= c <= "\udcff" else "�" for c in raw.decode(errors="surrogateescape"))
 
 
-def encode_and_decode(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", cache_segments: int = 300_000) -> DataFrame:
+def encode_and_decode(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", cache_segments: int = 200_000) -> DataFrame:
     """id_col, n_tokens, ids (little-endian unsigned 32-bit, with begin and end ids) and decoded (the
     text of those ids)."""
     with open(model_path or default_model_path(), "rb") as f:
@@ -286,4 +286,4 @@ def encode_and_decode(docs: DataFrame, model_path: str | None = None, id_col: st
                 packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(stop), [None, pa.py_buffer(np.r_[0, stop * 4].astype(np.int64)), pa.py_buffer(ids.astype("<u4"))])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(stop)), pa.array(np.diff(np.r_[0, stop]), pa.int64()), packed.cast(pa.binary()), pa.array([_text_of(t) for t in texts], pa.string())], names=["id", "n_tokens", "ids", "decoded"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n_tokens long, ids binary, decoded string").withColumnRenamed("id", id_col)
+    return X.bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n_tokens long, ids binary, decoded string").withColumnRenamed("id", id_col)

@@ -251,7 +251,6 @@ def observations(shapes: np.ndarray, words: np.ndarray, sizes: np.ndarray, at: n
     place = np.zeros(n, np.int64)
     cues = np.flatnonzero((shapes == s["key"]) | ((words > 0) & (words <= _N_CUES)))
     said = (_WORDS["is"], _WORDS["was"])
-    is_, was = said
     for i in cues.tolist():
         end, j = int(last[i]), i + 1
         if j < end and shapes[j] == s["quote"]:
@@ -270,7 +269,7 @@ def observations(shapes: np.ndarray, words: np.ndarray, sizes: np.ndarray, at: n
             elif j < end:
                 place[j] = VALUE
         elif j == i + 1:
-            if words[j] in (is_, was) and j + 1 < end:
+            if words[j] in said and j + 1 < end:
                 place[j + 1] = SAID
             elif place[j] == NOWHERE:
                 place[j] = BESIDE
@@ -575,7 +574,7 @@ def with_secrets(docs: DataFrame, text_col: str = "text", spans_col: str = "secr
     taken = {c.lower() for c in docs.columns} & {c.lower() for c in added}
     if taken:
         raise ValueError(f"docs has columns {sorted(taken)}; name others")
-    at = X.place_of(docs.columns, text_col)
+    at, names = X.place_of(docs.columns, text_col), docs.columns
     field = trained_field()
 
     def run(batches):
@@ -587,8 +586,8 @@ def with_secrets(docs: DataFrame, text_col: str = "text", spans_col: str = "secr
                 columns = [pa.array([[{"kind": KINDS[k], "start": a, "end": b} for k, a, b in row] for row in _in_code_points(found, data, offsets)], _ARROW_SPANS)]
                 if redacted_col:
                     columns.append(_redacted(found, data, offsets, mark.encode(), own.column(at)))
-                yield pa.RecordBatch.from_arrays([*own.columns, *columns], names=[*batch.schema.names, *added])
+                yield pa.RecordBatch.from_arrays([*own.columns, *columns], names=[*names, *added])
 
     spans_type = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     types = [T.StructField(spans_col, spans_type)] + ([T.StructField(redacted_col, T.StringType())] if redacted_col else [])
-    return docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema] + types))
+    return X.numbered(docs).mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema] + types))

@@ -419,7 +419,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """Fit on at most `sample_rows` labelled training rows, those with the smallest hash of their id."""
     marked = labels.where(training_rows(id_col)).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null")
     marked = marked.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(marked), "id")
+    rows = X.bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(marked), "id")
     every = rows.select("text", (F.col("label") > 0).cast("int").alias("label"), F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"))
     every = scratch(every.dropDuplicates(["text", "label"]).withColumn("number", F.monotonically_increasing_id()))
     # one of each group of near copies, or words that they share by descent would seem to go with their label
@@ -487,7 +487,7 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text",
     """The rows of docs with all their columns and their score between 0 and 1."""
     if score_col in docs.columns:
         raise ValueError(f"docs has a column {score_col}; name another")
-    at = X.place_of(docs.columns, text_col)
+    at, columns = X.place_of(docs.columns, text_col), docs.columns
 
     def run(batches):
         scorer = Scorer(model)
@@ -495,7 +495,7 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text",
             text = batch.column(at).cast(pa.string()) if batch.num_rows else batch.column(at)
             parts = [scorer.scores(scorer.features(data, offsets)) for _, data, offsets in X.slices(text)]
             score = np.concatenate(parts) if parts else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, score_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*columns, score_col])
 
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema] + [T.StructField(score_col, T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return X.numbered(docs).mapInArrow(run, schema)
