@@ -19,6 +19,8 @@ identity normalisation, or another type than BPE are refused.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -179,7 +181,7 @@ class Codec:
             self._by_library(new, segments, found)
         for i in new:
             if found[i] is None:
-                found[i] = np.array(self.segment(segments[i].decode().replace(" ", MARK)), np.int32).tobytes()
+                found[i] = array("i", self.segment(segments[i].decode().replace(" ", MARK))).tobytes()
             if len(segments[i]) <= _CACHED_BYTES:
                 known[segments[i]] = found[i]
         return found
@@ -189,7 +191,7 @@ class Codec:
         spaces alone are left out."""
         new = [i for i in new if segments[i].strip(b" ")]
         for i, ids in zip(new, self.library.encode([segments[i].decode()[1:] for i in new], num_threads=1)):
-            found[i] = np.array(ids, np.int32).tobytes()
+            found[i] = array("i", ids).tobytes()
 
     def encode_slice(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a slice one after the other, with begin and end ids, and each end."""
